@@ -25,6 +25,8 @@ from lineweave.llm.words import shingle_set, words
 #: A pair at the threshold shares no bucket with at most this probability.
 MISS = 1e-6
 ROWS = 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -60,13 +62,20 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH * 64 bits, each the parity of the shingles it stands for: sketches differ in at most |A ^ B| bits."""
+    bit = (s & np.uint64(SKETCH * 64 - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=SKETCH * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: id, n_shingles, digest (16 bytes that tell sets apart; null for an empty set), bands."""
+    """One row per row of docs: id, n_shingles, digest (16 bytes that tell sets apart; null for an empty set), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
-            n_set, digest, keys = np.zeros(len(batch), np.int64), [], []
+            n_set, digest, keys, odd = np.zeros(len(batch), np.int64), [], [], []
             for lo, hi in steps(off):
                 h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 for i in range(lo, hi):
@@ -75,14 +84,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands:
                     if len(s):
                         digest.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes())
                         keys.append(band_keys(signature(s, n_bands * rows), rows))
+                        odd.append(odd_sketch(s))
                     else:
                         digest.append(None)
             yield pa.record_batch(
-                [batch.column(0), flat(n_set, pa.int64()), flat(digest, pa.binary()), lists(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.where(n_set > 0, n_bands, 0), pa.int64())],
-                names=["id", "n_shingles", "digest", "bands"],
+                [batch.column(0), flat(n_set, pa.int64()), flat(digest, pa.binary()), lists(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.where(n_set > 0, n_bands, 0), pa.int64()), lists(np.concatenate(odd or [np.zeros(0, np.int64)]), np.where(n_set > 0, SKETCH, 0), pa.int64())],
+                names=["id", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -113,32 +123,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bands = bands_for(percent / 100)
     signed = written(signatures(docs, id_col, text_col, width, n_bands), "signatures")
     usable = signed.where("id is not null and digest is not null")
-    items = written(usable.groupBy("digest").agg(F.min("id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "items")
+    items = written(usable.groupBy("digest").agg(F.min("id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "items")
     # An id may stand for several texts if the table repeats ids: such items are one node of the graph.
-    members = items.select(F.explode("bands").alias("bucket"), "item", "n")
-    bucket = written(members.groupBy("bucket").agg(F.min("item").alias("first"), F.max("item").alias("last")).where("first != last"), "buckets")
+    words_of = [f"k{i}" for i in range(SKETCH)]
+    members = items.select(F.explode("bands").alias("bucket"), "item", "n", *[F.col("sketch")[i].alias(k) for i, k in enumerate(words_of)])
+    bucket = written(members.groupBy("bucket").agg(F.min("item").alias("centre"), F.max("item").alias("last")).where("centre != last").select("bucket", "centre"), "buckets")
     members = written(members.join(bucket.select("bucket"), "bucket", "left_semi"), "members")
-    wanted = written(members.select("item").distinct(), "wanted")
+    wanted = members.select("item").distinct()
     full = docs.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).join(wanted, "item", "left_semi")
     shingled = written(sets(full, "item", "text", width).select(F.col("id").alias("item"), "shingles"), "sets")
 
-    label, links, done, batch = None, None, None, 1
-    centres = bucket.select("bucket", F.col("first").alias("centre"))
-    while True:
-        lead = centres.join(members.select("bucket", F.col("item").alias("centre"), F.col("n").alias("n_centre")), ["bucket", "centre"])
-        pairs = members.join(lead, "bucket").where("item != centre")
-        if label is not None:
-            pairs = _label(_label(pairs, "item", label, "c_item"), "centre", label, "c_centre").where("c_item != c_centre")
-        pairs = pairs.where(f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)").select(F.greatest("item", "centre").alias("a"), F.least("item", "centre").alias("b")).distinct()
-        found = written(_verified(pairs, shingled, percent), "verified")
-        links = found if links is None else links.unionByName(found)
-        done = centres if done is None else written(done.unionByName(centres), "centres")
-        if label is None or not found.isEmpty():
+    def open_pairs(placed: DataFrame, centres: DataFrame) -> DataFrame:
+        """Pairs of a bucket's centres and texts of other components that sizes and sketches don't rule out.
+
+        A link means |A ^ B| <= (100 - percent) / (100 + percent) * (|A| + |B|), and sketches never differ in more.
+        """
+        lead = centres.join(placed.withColumnRenamed("item", "centre"), ["bucket", "centre"])
+        lead = lead.select("bucket", "centre", F.col("c").alias("c2"), F.col("n").alias("n2"), *[F.col(k).alias(f"{k}_2") for k in words_of])
+        differ = " + ".join(f"bit_count({k} ^ {k}_2)" for k in words_of)
+        may = f"c != c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
+        found = placed.join(lead, "bucket").where(f"item != centre and {may}")
+        return found.select(F.greatest("item", "centre").alias("a"), F.least("item", "centre").alias("b")).distinct()
+
+    # First each text against one centre only, the smallest of its buckets' centres: that joins most of each group.
+    best = members.join(bucket, "bucket").where("item != centre").groupBy("item").agg(F.min(F.struct("centre", "bucket")).alias("best"))
+    pairs = best.select(F.greatest("item", "best.centre").alias("a"), F.least("item", "best.centre").alias("b")).distinct()
+    links = written(_verified(pairs, shingled, percent), "verified")
+    label = written(components(links), "labels")
+    centres, done, batch = bucket, bucket, 1
+    while centres is not None:
+        placed = written(_label(members, "item", label, "c"), "placed")
+        found = written(_verified(open_pairs(placed, centres), shingled, percent), "verified")
+        if not found.isEmpty():
+            links = links.unionByName(found)
             label = written(components(links), "labels")
-        centres = _next_centres(members, label, done, batch)
-        if centres is None:
-            break
-        batch *= 2
+            dropped(docs.sparkSession, placed)
+            placed = written(_label(members, "item", label, "c"), "placed")
+        batch *= 4
+        centres = _next_centres(placed, done, batch)
+        if centres is not None:
+            done = written(done.unionByName(centres), "centres")
+        dropped(docs.sparkSession, placed)
+    for table in (members, bucket, shingled):
+        dropped(docs.sparkSession, table)
 
     own = _label(items.select("digest", "item"), "item", label, "component")
     rows = signed.select("id", "n_shingles", "digest")
@@ -163,14 +190,13 @@ def _verified(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100L * shared >= {percent}L * (n_a + n_b - shared)")).select("a", "b").distinct()
 
 
-def _next_centres(members: DataFrame, label: DataFrame, done: DataFrame, batch: int) -> DataFrame | None:
+def _next_centres(placed: DataFrame, done: DataFrame, batch: int) -> DataFrame | None:
     """Up to `batch` texts per bucket that weren't a centre there and aren't of its largest component; None if no pair is open."""
-    of = written(_label(members.select("bucket", "item"), "item", label, "c"), "placed")
-    size = of.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = written(size.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("most.c").alias("largest")), "mixed")
-    left = of.join(mixed, "bucket").where("c != largest").select("bucket", "item")
-    left = left.join(done.withColumnRenamed("centre", "item"), ["bucket", "item"], "left_anti")
-    order = Window.partitionBy("bucket").orderBy("item")
-    out = written(left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= batch).select("bucket", F.col("item").alias("centre")), "centres")
-    dropped(members.sparkSession, of)
+    size = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
+    mixed = size.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = written(mixed.select("bucket", F.col("most.c").alias("largest")), "mixed")
+    left = placed.join(mixed, "bucket").where("c != largest").select("bucket", F.col("item").alias("centre"))
+    left = left.join(done, ["bucket", "centre"], "left_anti")
+    order = Window.partitionBy("bucket").orderBy("centre")
+    out = written(left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= batch).select("bucket", "centre"), "centres")
     return None if out.isEmpty() else out
