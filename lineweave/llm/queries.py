@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, embed_dedup, langid, minhash, packing, tiff
+from lineweave.llm import bpe, embed_dedup, langid, minhash, packing, tiff, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,22 +34,34 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = urlfilter.train(urlfilter.labelled_table(spark, urlfilter.LABELLED))
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), weights, urlfilter.RULES)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff": op2_tiff,
+    "op3_urlfilter": op3_urlfilter,
     "op5_langid": op5_langid,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
     "op8_embed_dedup": op8_embed_dedup,
     "op9_minhash": op9_minhash,
+    "op10_tokencount": op10_tokencount,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
+    "op3_urlfilter": urlfilter.oracle(),
     "op8_embed_dedup": """
 with recursive v as materialized (
   select vec_id, embedding::double[] as e, list_dot_product(embedding::double[], embedding::double[]) as s from embeddings),
