@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, embed_dedup, langid, minhash, packing, tiff, tokencount, urlfilter
+from lineweave.llm import bpe, brown, embed_dedup, langid, minhash, packing, tiff, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), weights, urlfilter.RULES)
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff": op2_tiff,
     "op3_urlfilter": op3_urlfilter,
+    "op4_brown": op4_brown,
     "op5_langid": op5_langid,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
