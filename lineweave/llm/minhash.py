@@ -125,45 +125,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("id is not null and digest is not null")
     items = written(usable.groupBy("digest").agg(F.min("id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "items")
     # An id may stand for several texts if the table repeats ids: such items are one node of the graph.
-    words_of = [f"k{i}" for i in range(SKETCH)]
-    members = items.select(F.explode("bands").alias("bucket"), "item", "n", *[F.col("sketch")[i].alias(k) for i, k in enumerate(words_of)])
+    members = items.select(F.explode("bands").alias("bucket"), "item")
     bucket = written(members.groupBy("bucket").agg(F.min("item").alias("centre"), F.max("item").alias("last")).where("centre != last").select("bucket", "centre"), "buckets")
     members = written(members.join(bucket.select("bucket"), "bucket", "left_semi"), "members")
     wanted = members.select("item").distinct()
-    full = docs.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).join(wanted, "item", "left_semi")
+    # merged by sorting at any size: the texts' side is too large to copy the other one to each task
+    full = docs.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "item", "left_semi")
     shingled = written(sets(full, "item", "text", width).select(F.col("id").alias("item"), "shingles"), "sets")
 
-    def open_pairs(placed: DataFrame, centres: DataFrame) -> DataFrame:
-        """Pairs of a bucket's centres and texts of other components that sizes and sketches don't rule out.
-
-        A link means |A ^ B| <= (100 - percent) / (100 + percent) * (|A| + |B|), and sketches never differ in more.
-        """
-        lead = centres.join(placed.withColumnRenamed("item", "centre"), ["bucket", "centre"])
-        lead = lead.select("bucket", "centre", F.col("c").alias("c2"), F.col("n").alias("n2"), *[F.col(k).alias(f"{k}_2") for k in words_of])
-        differ = " + ".join(f"bit_count({k} ^ {k}_2)" for k in words_of)
-        may = f"c != c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
-        found = placed.join(lead, "bucket").where(f"item != centre and {may}")
-        return found.select(F.greatest("item", "centre").alias("a"), F.least("item", "centre").alias("b")).distinct()
-
     # First each text against one centre only, the smallest of its buckets' centres: that joins most of each group.
-    best = members.join(bucket, "bucket").where("item != centre").groupBy("item").agg(F.min(F.struct("centre", "bucket")).alias("best"))
-    pairs = best.select(F.greatest("item", "best.centre").alias("a"), F.least("item", "best.centre").alias("b")).distinct()
-    links = written(_verified(pairs, shingled, percent), "verified")
+    best = members.join(bucket, "bucket").where("item != centre").groupBy("item").agg(F.min("centre").alias("centre"))
+    links = written(_verified(best.select(F.greatest("item", "centre").alias("a"), F.least("item", "centre").alias("b")).distinct(), shingled, percent), "verified")
     label = written(components(links), "labels")
-    centres, done, batch = bucket, bucket, 1
-    while centres is not None:
-        placed = written(_label(members, "item", label, "c"), "placed")
-        found = written(_verified(open_pairs(placed, centres), shingled, percent), "verified")
+    centres, done, batch = bucket, None, 1
+    while True:
+        mixed = _mixed(_label(members, "item", label, "c"))
+        left, members = members, written(members.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+        dropped(docs.sparkSession, left)
+        if members.isEmpty():
+            break
+        placed = _label(members, "item", label, "c")
+        if done is not None:
+            centres = _next_centres(placed.join(mixed, "bucket").where("c != largest"), done, batch)
+            if centres.isEmpty():
+                break
+        done = centres if done is None else written(done.unionByName(centres), "centres")
+        found = written(_verified(_open_pairs(placed, centres, items, percent), shingled, percent), "verified")
+        links = links.unionByName(found)
         if not found.isEmpty():
-            links = links.unionByName(found)
             label = written(components(links), "labels")
-            dropped(docs.sparkSession, placed)
-            placed = written(_label(members, "item", label, "c"), "placed")
         batch *= 4
-        centres = _next_centres(placed, done, batch)
-        if centres is not None:
-            done = written(done.unionByName(centres), "centres")
-        dropped(docs.sparkSession, placed)
     for table in (members, bucket, shingled):
         dropped(docs.sparkSession, table)
 
@@ -190,13 +181,31 @@ def _verified(pairs: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100L * shared >= {percent}L * (n_a + n_b - shared)")).select("a", "b").distinct()
 
 
-def _next_centres(placed: DataFrame, done: DataFrame, batch: int) -> DataFrame | None:
-    """Up to `batch` texts per bucket that weren't a centre there and aren't of its largest component; None if no pair is open."""
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(bucket, largest): the buckets with texts of several components, and the one with most of them."""
     size = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
     mixed = size.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = written(mixed.select("bucket", F.col("most.c").alias("largest")), "mixed")
-    left = placed.join(mixed, "bucket").where("c != largest").select("bucket", F.col("item").alias("centre"))
-    left = left.join(done, ["bucket", "centre"], "left_anti")
+    return written(mixed.select("bucket", F.col("most.c").alias("largest")), "mixed")
+
+
+def _next_centres(minor: DataFrame, done: DataFrame, batch: int) -> DataFrame:
+    """Up to `batch` texts per bucket that weren't a centre there; minor: those not of its largest component."""
+    left = minor.select("bucket", F.col("item").alias("centre")).join(done, ["bucket", "centre"], "left_anti")
     order = Window.partitionBy("bucket").orderBy("centre")
-    out = written(left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= batch).select("bucket", "centre"), "centres")
-    return None if out.isEmpty() else out
+    return written(left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= batch).select("bucket", "centre"), "centres")
+
+
+def _open_pairs(placed: DataFrame, centres: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's centres and texts of other components that sizes and sketches don't rule out.
+
+    A link means |A ^ B| <= (100 - percent) / (100 + percent) * (|A| + |B|), and sketches never differ in more.
+    """
+    keys = [f"k{i}" for i in range(SKETCH)]
+    about = items.select("item", "n", *[F.col("sketch")[i].alias(k) for i, k in enumerate(keys)])
+    wide = placed.join(about, "item")
+    lead = centres.join(wide.withColumnRenamed("item", "centre"), ["bucket", "centre"])
+    lead = lead.select("bucket", "centre", F.col("c").alias("c2"), F.col("n").alias("n2"), *[F.col(k).alias(f"{k}_2") for k in keys])
+    differ = " + ".join(f"bit_count({k} ^ {k}_2)" for k in keys)
+    may = f"c != c2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
+    found = wide.join(lead, "bucket").where(f"item != centre and {may}")
+    return found.select(F.greatest("item", "centre").alias("a"), F.least("item", "centre").alias("b")).distinct()
