@@ -144,6 +144,24 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str =
     return text.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def without_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows that predict() would reject; all columns stay as they are, whatever their names."""
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(bool) & bool(model.language)
+            if keep.any():
+                for lo, hi, x in _features(batch, width):
+                    cos = _unit(x * model.idf) @ model.centroids.T
+                    best = np.argmax(cos, axis=1)
+                    keep[lo:hi] &= np.clip(cos[np.arange(hi - lo), best], 0, 1) >= model.threshold[best]
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=docs.columns).filter(pa.array(keep))
+
+    extra = [F.lower(docs[text_col]).alias("_lower"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("_letter")]
+    return docs.select(*[docs[c] for c in docs.columns], *extra).mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Learn from documents whose crc32(doc_id) modulo `folds` isn't `held_out`, predict all: adds held_out to predict()."""
     model = train(docs.where(crc_mod("doc_id", folds) != held_out), "lang", "text", "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, brown, embed_dedup, langid, minhash, packing, tiff, tokencount, urlfilter
+from lineweave.llm import bpe, brown, embed_dedup, langid, minhash, packing, substring, tiff, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents"), width=5, least_words=50, percent=80)
+
+
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digests(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
     "op2_tiff": op2_tiff,
     "op3_urlfilter": op3_urlfilter,
     "op4_brown": op4_brown,
