@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lineweave.llm.common import buffers, crc_mod, flat, lists, steps
 
 DIMS = 4096
+#: Distinct trigrams from which on a text's cosine is held against the full threshold.
+FULL = 256
 _LETTER = np.arange(256, dtype=np.uint32)
 _LETTER[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
@@ -77,7 +79,8 @@ def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: i
     """Fit on at most slots * per_slot labelled texts per language, spread over `slots` by a hash of the key.
 
     The bound (384 a language by default) is a parameter; texts that are null or without a letter are left out. A
-    language's rejection threshold is `far` times the first percentile of its own texts' best cosines.
+    language's rejection threshold is `far` times the first percentile of its own texts' best cosines; for a text of
+    fewer than FULL distinct trigrams, whose cosines are small by nature, it shrinks with the root of their number.
     """
     usable = docs.where(F.col(label_col).isNotNull() & F.col(key).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     order = Window.partitionBy("label", "slot").orderBy("place", "id")
@@ -115,6 +118,14 @@ def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: i
     return Model(idf, np.concatenate(rows), names, np.array(limit))
 
 
+def _nearest(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's nearest centroid, its cosine, and whether it is near enough."""
+    cos = _unit(x * model.idf) @ model.centroids.T
+    best = np.argmax(cos, axis=1)
+    cosine = np.clip(cos[np.arange(len(x)), best], 0, 1)
+    return best, cosine, cosine >= model.threshold[best] * np.sqrt(np.minimum((x > 0).sum(1) / FULL, 1))
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the key, lang_pred, score (best cosine, 0 to 1) and rejected.
 
@@ -127,16 +138,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            best, cosine = np.zeros(n, np.int64), np.zeros(n)
+            best, cosine, near = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
             if model.language:
                 for lo, hi, x in _features(batch, 1):
-                    cos = _unit(x * model.idf) @ model.centroids.T
-                    best[lo:hi] = np.argmax(cos, axis=1)
-                    cosine[lo:hi] = cos[np.arange(hi - lo), best[lo:hi]]
+                    best[lo:hi], cosine[lo:hi], near[lo:hi] = _nearest(x, model)
             known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(model.language)
             lang = pa.array(np.where(known, names.to_numpy(zero_copy_only=False)[best], "und"), pa.string())
-            score = np.where(known, np.clip(cosine, 0, 1), 0.0)
-            near = score >= (model.threshold[best] if model.language else 1.0)
+            score = np.where(known, cosine, 0.0)
             yield pa.record_batch([batch.column(0), lang, flat(score, pa.float64()), flat(~(known & near), pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     text = docs.select(F.col(key).alias("doc_id"), F.lower(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
@@ -146,17 +154,15 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str =
 
 def without_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that predict() would reject; all columns stay as they are, whatever their names."""
-    width = len(docs.columns)
+    columns, width = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(bool) & bool(model.language)
             if keep.any():
                 for lo, hi, x in _features(batch, width):
-                    cos = _unit(x * model.idf) @ model.centroids.T
-                    best = np.argmax(cos, axis=1)
-                    keep[lo:hi] &= np.clip(cos[np.arange(hi - lo), best], 0, 1) >= model.threshold[best]
-            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=docs.columns).filter(pa.array(keep))
+                    keep[lo:hi] &= _nearest(x, model)[2]
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=columns).filter(pa.array(keep))
 
     extra = [F.lower(docs[text_col]).alias("_lower"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("_letter")]
     return docs.select(*[docs[c] for c in docs.columns], *extra).mapInArrow(run, docs.schema)
