@@ -23,6 +23,9 @@ def sample(rows: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFram
 def fit(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42, fit_sample: int | None = 100_000) -> list[tuple[int, list[float]]]:
     """V5: k unit centroids of the unit vectors, numbered from 0, fitted on at most fit_sample rows."""
     x = sample(rows, key, fit_sample, seed).select(key, array_to_vector(unit(F.col(vector))).alias("features"))
+    if k == 1:
+        one = vectors.mean_centroids(sample(rows, key, fit_sample, seed).select(F.lit(0).alias("cluster_id"), unit(F.col(vector)).alias("v")), "cluster_id", "v")
+        return [(0, list(r["centroid"])) for r in one.collect()]  # one row
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=50, initSteps=2).fit(x.orderBy(key))
     centers = np.array(model.clusterCenters())
     centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-8)

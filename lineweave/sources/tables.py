@@ -61,7 +61,7 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """S7."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def manifests(spark: SparkSession, root: str, name: str) -> DataFrame:
