@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,8 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what lies there goes when the driver ends, as results are read from it till then."""
+    if not _made:
+        atexit.register(_clear)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is None:
+            return  # the session has been stopped; a cluster's own clean-up of the folder remains
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,10 +61,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a written() table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
 
 
 def crc_mod(column: str, n: int):
