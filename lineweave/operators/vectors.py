@@ -96,14 +96,26 @@ def mean_centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
 def assign(rows: DataFrame, centroids: list[tuple[int, list[float]]], key: str, vector: str) -> DataFrame:
     """(key, cluster_id, cosine, second_cosine, margin) by the most similar centroid; ties: smaller number.
 
-    The codebook, of a fixed number of rows, is an argument of the expression; k = 1 has second -1.
+    The codebook, whose size doesn't depend on the rows, goes to the tasks; rows meet it in block products. Cosines
+    count rounded to 9 places; k = 1 has second -1; a null vector has no assignment and no row.
     """
-    book = F.array(*[F.struct(F.lit(int(i)).alias("id"), F.lit([float(x) for x in c]).alias("c")) for i, c in centroids])
-    scored = rows.select(key, unit(F.col(vector)).alias("_v")).withColumn("_s", F.transform(book, lambda b: F.struct(F.round(dot(F.col("_v"), b.c), 9).alias("s"), (-b.id).alias("low"))))
-    best = scored.select(key, F.sort_array("_s", asc=False).alias("_s"))
-    second = F.coalesce(F.get("_s", F.lit(1)).s, F.lit(-1.0)) if len(centroids) > 1 else F.lit(-1.0)
-    out = best.select(key, (-F.col("_s")[0].low).cast("int").alias("cluster_id"), F.col("_s")[0].s.alias("cosine"), second.alias("second_cosine"))
-    return out.withColumn("margin", F.col("cosine") - F.col("second_cosine"))
+    book = sorted((int(i), c) for i, c in centroids)
+    numbers, matrix = np.array([i for i, _ in book]), _unit_rows(pd.Series([c for _, c in book]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf[vector].notna()]
+            for lo in range(0, len(pdf), 4096):
+                part = pdf.iloc[lo : lo + 4096]
+                s = np.round(_unit_rows(part[vector]) @ matrix.T, 9)
+                at = np.arange(len(s))
+                best = np.argmax(s, axis=1)
+                first = s[at, best]
+                s[at, best] = -np.inf
+                second = s.max(1) if len(numbers) > 1 else np.full(len(s), -1.0)
+                yield pd.DataFrame({key: part[key].to_numpy(), "cluster_id": numbers[best].astype(np.int32), "cosine": first, "second_cosine": second, "margin": first - second})
+
+    return rows.select(key, vector).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, cluster_id int, cosine double, second_cosine double, margin double")
 
 
 def ranked(assigned: DataFrame, key: str) -> DataFrame:
