@@ -80,13 +80,16 @@ def contour(notes: Column, steps: int = 32) -> Column:
 
 def intervals(notes: Column, limit: int = 12) -> Column:
     """Histogram of intervals clipped to +-limit, mean and largest size, steps, turns and number: 2 * limit + 6."""
-    iv = _steps(_pitches(notes))
-    clipped = F.transform(iv, lambda x: clip(x, -limit, limit).cast("int") + limit)
-    n = F.greatest(F.size(iv).cast("double"), F.lit(1.0))
-    hist = F.transform(_bins(2 * limit + 1), lambda b: F.size(F.filter(clipped, lambda x: x == b)) / n)
-    size = F.transform(iv, lambda x: F.abs(x))
-    extra = F.array(_mean(size), F.coalesce(F.array_max(size), F.lit(0.0)), _mean(F.transform(size, lambda x: (x <= 2).cast("double"))), _turns(iv), F.size(iv).cast("double"))
-    return F.concat(hist, extra)
+
+    def of(iv: Column) -> Column:
+        clipped = F.transform(iv, lambda x: clip(x, -limit, limit).cast("int") + limit)
+        n = F.greatest(F.size(iv).cast("double"), F.lit(1.0))
+        hist = _let(clipped, lambda all_: F.transform(_bins(2 * limit + 1), lambda b: F.size(F.filter(all_, lambda x: x == b)) / n))
+        size = F.transform(iv, lambda x: F.abs(x))
+        extra = F.array(_mean(size), F.coalesce(F.array_max(size), F.lit(0.0)), _mean(F.transform(size, lambda x: (x <= 2).cast("double"))), _turns(iv), F.size(iv).cast("double"))
+        return F.concat(hist, extra)
+
+    return _let(_steps(_pitches(notes)), of)
 
 
 def pitch_classes(notes: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -31,6 +32,12 @@ def penalty(bars: float, limits: Limits) -> float:
     return 0.12 * (bars - limits.preferred_bars) ** 2 + 0.25 * max(0.0, bars - limits.soft_max_bars) ** 2
 
 
+def penalties(bars: np.ndarray, limits: Limits) -> np.ndarray:
+    """penalty() of many lengths."""
+    fair = 0.12 * (bars - limits.preferred_bars) ** 2 + 0.25 * np.maximum(0.0, bars - limits.soft_max_bars) ** 2
+    return np.where(bars > limits.hard_max_bars, 1000.0, np.where(bars < limits.min_bars, 4.0 * (limits.min_bars - bars), fair))
+
+
 def best_cuts(times: list[float], gain: list[float], onsets: list[float], measure: float, limits: Limits) -> list[int]:
     """Indexes into times of the cuts, first and last included, that make the most of evidence less penalties.
 
@@ -39,20 +46,18 @@ def best_cuts(times: list[float], gain: list[float], onsets: list[float], measur
     line is one segment.
     """
     n = len(times)
-    first = [bisect.bisect_left(onsets, t - 1e-6) for t in times]
-    after = [bisect.bisect_left(onsets, t + 1e-6) for t in times]
-    score: list[float | None] = [0.0] + [None] * (n - 1)
-    back = [0] * n
+    t, gains, at = np.array(times), np.array(gain), np.array(onsets)
+    first, after = np.searchsorted(at, t - 1e-6), np.searchsorted(at, t + 1e-6)
+    score, back = np.full(n, -np.inf), np.zeros(n, int)
+    score[0] = 0.0
     for j in range(1, n):
-        best = None
-        for i in range(j):
-            if score[i] is None or (after[j] - first[i] < limits.min_notes and j != n - 1):
-                continue
-            bars = max(0.0, (times[j] - times[i]) / max(1e-6, measure))
-            s = score[i] + gain[j] - penalty(bars, limits) - (limits.split_penalty if i else 0.0)
-            if (best is None or s > best) and s > -1e9:
-                best, back[j] = s, i
-        score[j] = best
+        bars = np.maximum(0.0, (t[j] - t[:j]) / max(1e-6, measure))
+        s = score[:j] + gains[j] - penalties(bars, limits) - np.where(np.arange(j) > 0, limits.split_penalty, 0.0)
+        if j != n - 1:
+            s[after[j] - first[:j] < limits.min_notes] = -np.inf
+        i = int(np.argmax(s))
+        if s[i] > -1e9:
+            score[j], back[j] = s[i], i
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
@@ -82,5 +87,6 @@ def segment_lines(candidates: DataFrame, key: str, limits: Limits = Limits()) ->
         return pd.DataFrame(rows, columns=[key, "start_q", "end_q", "n_notes", "n_bars"])
 
     kind = candidates.schema[key].dataType.simpleString()
-    # one row per line already: no shuffle is needed to fold it
-    return candidates.select(key, "measure_length", "times", "evidence", "onsets").mapInPandas(lambda it: (fold(p) for p in it), f"{key} {kind}, start_q double, end_q double, n_notes long, n_bars double")
+    # one row per line: the work lies in the fold, so lines are spread over all tasks, however few bytes they have
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return candidates.select(key, "measure_length", "times", "evidence", "onsets").repartition(tasks, key).mapInPandas(lambda it: (fold(p) for p in it), f"{key} {kind}, start_q double, end_q double, n_notes long, n_bars double")
