@@ -107,3 +107,19 @@ def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     ahead = size.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = placed.join(F.broadcast(ahead), "_part").withColumn("_rank", F.col("_ahead") + F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33))
     return ranked.where(F.col("_rank").isin(want)).drop("_part", "_id", "_n", "_ahead", "_rank")
+
+
+def aligned(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows in terms of a list of ids: one per id, with nulls where there is none. A repeated key is an error."""
+    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"{key} {twice.first()[0]!r} isn't unique")
+    return ids.select(key).join(rows, key, "left")
+
+
+def looked_up(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Rows with the index's columns; KeyError if a row's key isn't in the index."""
+    missing = rows.join(index.select(key), key, "left_anti")
+    if not missing.isEmpty():
+        raise KeyError(missing.select(key).first()[0])
+    return rows.join(index, key)

@@ -73,3 +73,32 @@ def components(rows: DataFrame, key: str, vector: str, dims: int, fit_sample: in
     centred = rows.select(key, array_to_vector(F.zip_with(vector, F.lit([float(m) for m in mean]), lambda x, m: x - m)).alias("v"))
     model = PCA(k=min(dims, len(mean)), inputCol="v", outputCol="pc").fit(sample(centred, key, fit_sample, seed))
     return model.transform(centred).select(key, vector_to_array("pc").alias("components"))
+
+
+def content_id(rows: DataFrame, key: str, settings: dict) -> str:
+    """Sixteen hex digits that depend on the settings and the set of keys, computed without collecting them."""
+    from lineweave.sources.tables import checksum
+
+    own = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.col(key).cast("string"))).alias("x"), F.sum(F.xxhash64(F.lit("s"), F.col(key).cast("string")) % 1_000_003).alias("s")).first()
+    return checksum({"settings": settings, "rows": [own["n"], own["x"], own["s"]]})[:16]
+
+
+def save(made: dict, rows: DataFrame, key: str, root: str, space: str, k: int, settings: dict) -> str:
+    """Assignments, centroids, statistics and a manifest under space and k; gives the folder."""
+    from lineweave.sources import tables
+
+    spark = rows.sparkSession
+    path = f"{root}/{space}/k{k}/{content_id(rows, key, settings | {'space': space, 'k': k})}"
+    for name in ("assignments", "cluster_stats", "occupancy", "cohesion", "vocabulary"):
+        tables.write_parquet(made[name], f"{path}/{name}")
+    tables.write_parquet(spark.createDataFrame(made["centroids"], "cluster_id int, centroid array<double>"), f"{path}/centroids")
+    tables.write_json(spark, settings | {"space": space, "k": k}, f"{path}/codebook_manifest.json")
+    return path
+
+
+def latest(spark, root: str, space: str, k: int) -> str | None:
+    """The last codebook of a space and size, by name; None where there is none."""
+    from lineweave.sources import tables
+
+    found = tables.manifests(spark, f"{root}/{space}/k{k}", "codebook_manifest.json").orderBy(F.desc("path")).first()
+    return found and found["path"]

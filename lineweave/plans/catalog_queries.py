@@ -215,10 +215,20 @@ def json_notes(spark, d):
     return e.select("event_id", F.size(notes).alias("n"), F.array_join(F.transform(notes, lambda x: F.format_string("%d/%.3f/%.3f/%d", x.p, x.o, x.d, x.v)), ";").alias("notes"))
 
 
+def reindex_alignment(spark, d):
+    ids = table(spark, d, "documents").select(F.col("doc_id"))
+    return C.aligned(ids, table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "toxic")
+
+
+def map_lookup(spark, d):
+    return C.looked_up(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), table(spark, d, "nation"), "n_nationkey").select("c_custkey", "n_name")
+
+
 QUERIES = {f.__name__: f for f in (
     catalog_flags, subset_filter, quality_topn, select_random, select_first, point_lookup, score_drilldown, metadata_search, license_mode_filter,
     reject_reasons, eligible_documents, between_filter, filter_counts, dedup_keep_first, display_columns, unseen_candidates, blind_payload, completed_skip,
     semi_join_valid, inner_left_joins, fixed_queries, union_tagged, distinct_tokens, hash_split_docs, split_summary, scalar_functions, id_list_checksum, json_notes,
+    reindex_alignment, map_lookup,
 )}
 
 _CHECKED = """checked as (select d.doc_id, d.lang, d.source, case when text is null or length(text) = 0 then 'malformed' when lang is null then 'invalid_schema'
@@ -227,6 +237,8 @@ _CHECKED = """checked as (select d.doc_id, d.lang, d.source, case when text is n
 _SPLIT = "case when x < 0.8::double then 'train' when x < 0.8::double + 0.1::double then 'validation' else 'test' end"
 
 ORACLE = {
+    "reindex_alignment": "select d.doc_id, l.quality, l.toxic from documents d left join labels l using (doc_id)",
+    "map_lookup": "select c_custkey, n_name from customer join nation on n_nationkey = c_nationkey",
     "catalog_flags": f"with {_SCORES} select lic, dedup, count(*) as n from scores group by all",
     "subset_filter": f"with {_SCORES} select score_id, mxl, substr(sha1(mxl), 1, 16) as path_id from scores where lic and dedup and mxl <> ''",
     "quality_topn": f"with {_SCORES} select score_id, round(q, 6) as q from scores where lic and mxl <> '' order by round(q, 6) desc, score_id limit 100",

@@ -333,6 +333,14 @@ def principal_components(spark, d):
     return pc.select(F.posexplode("components").alias("component", "x")).groupBy("component").agg(F.round(F.var_pop("x"), 6).alias("variance"))
 
 
+def ann_neighbors(spark, d):
+    """V4: the approximate index's neighbours of fifty queries; recall is measured in the tests."""
+    from lineweave.operators import ann
+
+    p = phrase_vectors(spark, d)
+    return ann.approximate(ann.build(p), p, p.where("id < 50"), 10).select("query_id", "rank", "id", _r("similarity", "similarity"))
+
+
 def as_of_neighbors(spark, d):
     """For each purchase the last view before it and the first click after it, per user, within one union sort."""
     e = _rows(spark, d)
@@ -354,7 +362,7 @@ QUERIES = {f.__name__: f for f in (
     effective_vocab, ari_nmi, multi_resolution, codebook_comparison, member_samples, hard_negative, neighbor_preservation, preservation_means, retrieval_metrics, rerank, contrastive_loss,
     vector_validity, token_sequences, bigram_prob, trigram_counts, unigram_counts, turn_bigrams, sequence_stats, joint_tokens, joint_top_pairs, joint_diversity, concentration, token_export,
     wilson_votes, vote_total, cluster_reviews, trial_status, combined_status, segmented_lines, encoder_dataset, batches, augmented_tokens, codebook_build, codebook_sweep,
-    codebook_stability, principal_components, as_of_neighbors, session_phrases,
+    codebook_stability, principal_components, ann_neighbors, as_of_neighbors, session_phrases,
 )}
 
 _MINE = f"""{_P}, s as (select a.id as id_a, b.id as id_b, a.score_id, round(list_dot_product(a.v, b.v), 9) as s, b.bars / greatest(1e-6::double, a.bars) as ratio from p a

@@ -168,3 +168,34 @@ def test_loss_prefers_aligned_views(spark):
     bad = spark.createDataFrame([(k, eye[k], eye[(k + 1) % 4]) for k in range(4)], "id int, a array<double>, b array<double>")
     g, b = (vectors.contrastive_loss(x, 0.1).first().loss for x in (good, bad))
     assert g < b and g == pytest.approx(math.log(1 + 3 * math.exp(-10)), abs=1e-9)
+
+
+def test_approximate_index(spark):
+    from lineweave.operators import ann
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16))
+    data = [(k, (centres[k % 30] + rng.normal(size=16) * 0.15).tolist()) for k in range(300)]
+    df = spark.createDataFrame(data, "id long, vector array<double>")
+    q = df.where("id < 60")
+    got = {(r.query_id, r.id) for r in ann.approximate(ann.build(df), df, q, 5).collect()}
+    want = {(r.query_id, r.id) for r in vectors.nearest(df, q, 5, other_score=False).collect()}
+    assert len(got & want) / len(want) >= 0.9
+    assert sorted(map(tuple, ann.search(df, q, 5).collect())) == sorted(map(tuple, vectors.nearest(df, q, 5, other_score=False).collect()))
+
+
+def test_alignment_lookup_and_saved_codebooks(spark, tmp_path):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rows_ = spark.createDataFrame([(1, "a"), (3, "c")], "id long, v string")
+    assert sorted(map(tuple, C.aligned(ids, rows_, "id").collect())) == [(1, "a"), (2, None), (3, "c")]
+    with pytest.raises(ValueError, match="unique"):
+        C.aligned(ids, rows_.union(rows_), "id")
+    with pytest.raises(KeyError):
+        C.looked_up(ids, rows_, "id")
+    assert C.looked_up(rows_, ids.withColumn("w", F.col("id") * 2), "id").agg(F.sum("w")).first()[0] == 8
+    df = spark.createDataFrame([(k, [1.0, 0.1 * k]) for k in range(8)], "id long, vector array<double>")
+    made = codebook.build(df, "id", "vector", 2)
+    path = codebook.save(made, df, "id", str(tmp_path), "melody", 2, {"seed": 42})
+    assert codebook.latest(spark, str(tmp_path), "melody", 2).endswith(path.rpartition("/")[2]) and codebook.latest(spark, str(tmp_path), "melody", 9) is None
+    assert codebook.content_id(df, "id", {"seed": 42}) == codebook.content_id(df.orderBy(F.desc("id")), "id", {"seed": 42}) != codebook.content_id(df.limit(7), "id", {"seed": 42})
+    assert spark.read.parquet(f"{path}/assignments").count() == 8
