@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, crc_mod, flat, lists, steps
+from lineweave.llm.common import buffers, crc_mod, flat, lists, steps, written
 
 DIMS = 4096
+#: Sampled ids that may travel to all tasks.
+FEW = 50_000
 #: Distinct trigrams from which on a text's cosine is held against the full threshold.
 FULL = 256
 _LETTER = np.arange(256, dtype=np.uint32)
@@ -92,6 +94,9 @@ def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: i
         .select("id")
         .distinct()
     )
+    chosen = written(chosen, "sample")
+    if chosen.count() <= FEW:  # slots * per_slot a language: with more languages than FEW allows, texts are shuffled
+        chosen = F.broadcast(chosen)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
