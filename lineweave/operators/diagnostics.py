@@ -55,7 +55,7 @@ def effective_vocabulary(rows: DataFrame, token: str, nominal: int | None = None
 
 
 def joint_stats(rows: DataFrame, a: str, b: str, top: int = 20) -> dict[str, DataFrame]:
-    """Entropies of two token columns and of their pairs, mutual information; the most frequent pairs; diversity."""
+    """Entropies of two token columns and of their pairs, mutual information; the most frequent pairs; diversity."""
     pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     total = F.broadcast(pairs.agg(F.sum("n").alias("total")))
 

@@ -191,3 +191,10 @@ def render_events(notes: DataFrame, line: Line, per_beat: int = 480) -> DataFram
 def roll_extent(notes: DataFrame, line: Line) -> DataFrame:
     """Piano-roll limits: lowest pitch - 2, highest + 2, last end."""
     return notes.groupBy(*line.keys).agg((F.min("p") - 2).alias("low"), (F.max("p") + 2).alias("high"), F.max(F.col("o") + F.col("d")).alias("end_q"))
+
+
+def cue_frequency(evidence: DataFrame, cues: list[str] | None = None) -> DataFrame:
+    """A2: (cue, n): in how many rows each cue isn't zero."""
+    names = cues or list(WEIGHTS)
+    given = F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))]), lambda k, v: v != 0)
+    return evidence.select(F.explode(given).alias("cue", "v")).groupBy("cue").agg(F.count(F.lit(1)).alias("n"))

@@ -36,3 +36,8 @@ def exported(melody: DataFrame, rhythm: DataFrame, combined: DataFrame, about: D
     r = rhythm.select(key, F.col("token").alias("rhythm_token"))
     c = combined.select(key, F.col("token").alias("combined_token"))
     return m.join(r, key).join(about, key, "left").join(c, key, "left")
+
+
+def top_tokens(rows: DataFrame, token: str, value: str, n: int) -> DataFrame:
+    """U4: the n distinct tokens whose best rows have the largest values; ties by token."""
+    return rows.groupBy(token).agg(F.max(value).alias("top")).orderBy(F.desc("top"), token).limit(n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import expressions as X
 from lineweave.operators import catalog as C
+from lineweave.operators import sequences
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,8 +166,7 @@ def union_tagged(spark, d):
 
 
 def distinct_tokens(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.round(F.max("value"), 6).alias("top")).orderBy(F.desc("top"), "event_type").limit(3)
+    return sequences.top_tokens(table(spark, d, "events").withColumn("value", F.round("value", 6)), "event_type", "value", 3)
 
 
 def hash_split_docs(spark, d):

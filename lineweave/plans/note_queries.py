@@ -79,8 +79,7 @@ def boundary_evidence(spark, d):
 
 def cue_frequency(spark, d):
     b = N.boundary_evidence(notes(spark, d), LINE, tonic=F.lit(0))
-    cues = F.map_filter(F.create_map(*[x for c in N.WEIGHTS for x in (F.lit(c), F.col(c))]), lambda k, v: v != 0)
-    return b.select(F.explode(cues).alias("cue", "v")).groupBy("cue").agg(F.count(F.lit(1)).alias("n"))
+    return N.cue_frequency(b)
 
 
 def key_estimate(spark, d):

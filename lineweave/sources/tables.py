@@ -93,3 +93,18 @@ def not_completed(spark: SparkSession, scores: DataFrame, path: str, force: bool
         return scores
     done = spark.read.schema("score_id string, mxl_path string").option("header", True).csv(path).select("score_id").distinct()
     return scores.join(done, "score_id", "left_anti")
+
+
+def verified_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """(name, found, ok) of files that were fetched, against expected (name, md5); fetching itself is outside.
+
+    A file that is missing has found = false; one of another content ok = false.
+    """
+    here = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.md5("content").alias("_md5"))
+    return expected.join(here, "name", "left").select("name", F.col("_md5").isNotNull().alias("found"), F.coalesce(F.col("_md5") == F.lower("md5"), F.lit(False)).alias("ok"))
+
+
+def json_records(df: DataFrame) -> DataFrame:
+    """F16: one JSON text per row, for clients; NaN and infinite numbers become null."""
+    safe = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("record"))

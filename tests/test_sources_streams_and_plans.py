@@ -177,3 +177,13 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_nothing_else_needs_the_llm_package():
     code = "import sys, importlib.util as u; real = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('lineweave.llm') or n == 'corpus_pipeline' else real(n, *a); import __spark_entry__ as e; assert not any(n.startswith('op') and n[2:3].isdigit() for n in e.queries()) and 'pipeline' not in e.queries() and e.oracle_sql(); assert not any(m.startswith('lineweave.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0])
+
+
+def test_fetched_files_and_records(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    want = spark.createDataFrame([("a.bin", hashlib.md5(b"abc").hexdigest().upper()), ("b.bin", "0"), ], "name string, md5 string")
+    assert {(r.name, r.found, r.ok) for r in tables.verified_files(spark, str(tmp_path), want).collect()} == {("a.bin", True, True), ("b.bin", False, False)}
+    got = tables.json_records(spark.createDataFrame([(1, float("nan"), [1, 2])], "a int, x double, l array<int>")).first().record
+    assert got == '{"a":1,"x":null,"l":[1,2]}'
