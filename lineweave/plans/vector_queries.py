@@ -400,7 +400,7 @@ same as (select q.query_id, list_slice(list(a.id order by a.cosine desc, a.id),
 near as (select q.query_id, list_slice(list(n.id order by n.cosine desc, n.id), 1, 10) as l from cont q, nearl n where n.id <> q.query_id group by 1),
 pres as (select query_id, len(list_intersect(cont.l, coalesce(same.l, [])))::int as overlap_same, len(list_intersect(cont.l, coalesce(same.l, []))) / greatest(1, len(list_distinct(cont.l || coalesce(same.l, []))))::double as jaccard_same,
   len(list_intersect(cont.l, near.l))::int as overlap_near, len(list_intersect(cont.l, near.l)) / greatest(1, len(list_distinct(cont.l || near.l)))::double as jaccard_near from cont left join same using (query_id) left join near using (query_id))"""
-_Q = ", ".join(f"quantile_cont(size, {q}) as q{int(q * 100):02d}" for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+_Q = ", ".join(f"round(quantile_cont(size, {q}), 6) as q{int(q * 100):02d}" for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
 _H = "-sum(n / t * ln(greatest(n / t, 1e-12::double)))"
 
 ORACLE = {
@@ -416,7 +416,7 @@ ORACLE = {
     "cluster_stats": f"""with {_A} select cluster_id, min(token) as token, count(*) as size, round(avg(cosine), 6) as mean_cosine, round(median(cosine), 6) as median_cosine, round(quantile_cont(cosine, 0.1), 6) as p10_cosine,
       round(avg(margin), 6) as mean_margin, round(median(margin), 6) as median_margin from a group by 1""",
     "occupancy": f"""with {_A}, s as (select cluster_id, count(*) as size from a group by 1), r as (select *, row_number() over (order by size desc, cluster_id) as k, count(*) over () as n, sum(size) over () as t from s)
-      select min(size) as least, round(median(size), 6) as median, round(avg(size), 6) as mean, max(size) as most, {_Q}, avg((size < 5)::int) as below_5, avg((size < 10)::int) as below_10, avg((size < 25)::int) as below_25,
+      select min(size) as least, round(median(size), 6) as median, round(avg(size), 6) as mean, max(size) as most, {_Q}, round(avg((size < 5)::int), 6) as below_5, round(avg((size < 10)::int), 6) as below_10, round(avg((size < 25)::int), 6) as below_25,
         round(sum(case when k <= greatest(1, ceil(n * 0.01)) then size else 0 end)::double / max(t)::double, 6) as mass_1, round(sum(case when k <= greatest(1, ceil(n * 0.05)) then size else 0 end)::double / max(t)::double, 6) as mass_5,
         round(sum(case when k <= greatest(1, ceil(n * 0.1)) then size else 0 end)::double / max(t)::double, 6) as mass_10 from r""",
     "cohesion": f"""with {_A} select round(avg(cosine), 6) as mean_cosine, round(median(cosine), 6) as median_cosine, round(quantile_cont(cosine, 0.1), 6) as q10_cosine, round(quantile_cont(cosine, 0.9), 6) as q90_cosine,
