@@ -7,6 +7,10 @@ if they share least values, that is, if windows with equal values meet; so each
 first one, and so are those of them that also agree on a shingle half a passage to the left or right of the centre
 (a value that many unrelated texts share then still splits into groups of texts that share a passage). Pairs of
 texts whose aligned windows leave room for a passage under enough hash functions are verified on their full texts.
+
+Exact repeats don't depend on whom a window meets there: each passage of `least` shingles lies in one window of the
+first function, and copies lie in windows of one value. Where texts share that value, each passage has a hash of all its
+shingles, and each text meets the first one that holds the very passage, whatever else shares the value.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, dropped, flat, steps, written
+from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, written
 from lineweave.llm.words import shingles, words
 
 #: Hash functions; how many of them have to agree on a pair and alignment.
@@ -125,6 +129,88 @@ def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, ...]:
     return written(pair.where(F.bit_count("fs") >= agree).select("id", "mate", "shifts"), "candidates"), ends, shared, lead
 
 
+def passages(docs: DataFrame, key: str, text_col: str, width: int, least: int) -> DataFrame:
+    """(value, id, start, hashes): each window of the first function with the hashes of its passages of `least` shingles.
+
+    The passages begin at start, start + 1 and so on; each passage of a text is in exactly one window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            for lo, hi in steps(off, 2 << 20):
+                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                s, at = shingles(h, first, width)
+                if len(s) < least:
+                    continue
+                v = s * _ODD[0]
+                l, c, r = compact_windows(v, at, least)
+                begin = np.maximum(l, c - least + 1)
+                n = np.minimum(c, r - least + 1) - begin + 1
+                k = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+                row = np.searchsorted(at, c, side="right") - 1
+                hashes = lists(_rolled(s, least)[k], n, pa.int32())
+                yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), batch.column(0).take(flat(row + lo, pa.int64())), flat((begin - at[row]).astype(np.int64), pa.int64()), hashes], names=["value", "id", "start", "hashes"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, "value long, id long, start long, hashes array<int>")
+
+
+def _rolled(s: np.ndarray, n: int) -> np.ndarray:
+    """32 bits for each n values in a row: a polynomial of them modulo 2**64, mixed."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.full(len(s), base))
+    back = np.cumprod(np.full(len(s), np.uint64(pow(int(base), -1, 1 << 64))))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power)])
+    return (mix((sums[n:] - sums[:-n]) * back[: len(s) - n + 1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _exact(docs: DataFrame, key: str, text_col: str, width: int, least: int, ends: DataFrame) -> DataFrame:
+    """(id, mate, shifts): each text with the first one that holds the very same passage; ends: values that texts share."""
+    held = passages(docs, key, text_col, width, least).join(ends.hint("merge"), "value", "left_semi")
+    held = written(held, "held")
+    rows = held.select("id", "value", "start", F.posexplode("hashes").alias("k", "hash")).select("id", F.xxhash64("value", "hash").alias("passage"), (F.col("start") + F.col("k")).alias("place"))
+    first = rows.groupBy("passage").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("id").alias("last")).where("lead.id != last")
+    first = first.select("passage", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at"))
+    met = rows.join(first.hint("merge"), "passage").where("id != mate").select("id", "mate", F.expr("cast(at - place as int)").alias("shift"))
+    pairs = written(met.groupBy("id", "mate").agg(F.collect_set("shift").alias("shifts")), "exact")
+    dropped(docs.sparkSession, held)
+    return pairs
+
+
+def _runs(a: np.ndarray, b: np.ndarray, d: int, shortest: int) -> np.ndarray:
+    """[begin, end) of the runs of at least `shortest` shingles of a that b repeats d places further on."""
+    lo, hi = max(0, -d), min(len(a), len(b) - d)
+    if hi <= lo:
+        return np.zeros((0, 2), np.int64)
+    same = np.zeros(hi - lo + 2, np.int8)
+    same[1:-1] = a[lo:hi] == b[lo + d : hi + d]
+    edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2) + lo
+    return edge[edge[:, 1] - edge[:, 0] >= shortest]
+
+
+def _enough(a: np.ndarray, b: np.ndarray, shifts: list[int], exact: list[int], least: int) -> list[int]:
+    """shifts, and those of `exact` that it takes for every passage of `least` shingles to lie in a run of some shift.
+
+    Texts that repeat themselves meet along very many shifts, of which a few tell all.
+    """
+    shifts, exact = set(shifts), set(exact)
+    covered = np.zeros(len(a), bool)  # by where passages begin
+
+    def cover(edge: np.ndarray) -> None:
+        for x, y in edge.tolist():
+            covered[x : y - least + 1] = True
+
+    for d in shifts:
+        cover(_runs(a, b, d, least))
+    more = [(x, -y, d) for d in exact - shifts for x, y in _runs(a, b, d, least).tolist()]
+    for x, y, d in sorted(more, key=lambda m: (m[1] + m[0], m)):  # longest first
+        if not covered[x : -y - least + 1].all():
+            shifts.add(d)
+            cover(_runs(a, b, d, least))
+    return sorted(shifts)
+
+
 def _alike(a: np.ndarray, b: np.ndarray, shifts: list[int], least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages [begin, end) of shingles of a that b repeats, with theirs of b and the Jaccard similarity.
 
@@ -135,14 +221,9 @@ def _alike(a: np.ndarray, b: np.ndarray, shifts: list[int], least: int, percent:
     """
     runs = []
     for d in sorted({d + k for d in shifts for k in range(-2, 3)}):
-        lo, hi = max(0, -d), min(len(a), len(b) - d)
-        if hi > lo:
-            same = np.zeros(hi - lo + 2, np.int8)
-            same[1:-1] = a[lo:hi] == b[lo + d : hi + d]
-            edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2) + lo
-            edge = edge[edge[:, 1] - edge[:, 0] >= SHORTEST]
-            if len(edge):
-                runs.append(np.column_stack([edge, np.full(len(edge), d)]))
+        edge = _runs(a, b, d, SHORTEST)
+        if len(edge):
+            runs.append(np.column_stack([edge, np.full(len(edge), d)]))
     if not runs:
         return []
     runs = np.concatenate(runs)
@@ -208,9 +289,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
     if not 2 <= least <= FAR or hashes > 16:
         raise ValueError("passages must be longer than a shingle and of at most 1023; 16 hash functions at most")
     w = windows(docs, key, text_col, width, least, hashes)
-    pairs, *scratch = _candidates(w, least, agree)
+    pairs, ends, *scratch = _candidates(w, least, agree)
     for table in scratch:
         dropped(docs.sparkSession, table)
+    exact = _exact(docs, key, text_col, width, least, ends)
+    dropped(docs.sparkSession, ends)
+    none = F.array().cast("array<int>")
+    both = pairs.withColumn("exact", none).unionByName(exact.select("id", "mate", none.alias("shifts"), F.col("shifts").alias("exact")))
+    pairs = written(both.groupBy("id", "mate").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("shifts", "exact")]), "pairs")
     text = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text_col).alias("text"))
     ids = pairs.select("id").unionByName(pairs.select(F.col("mate").alias("id"))).distinct()
     used = written(text.join(ids.hint("merge"), "id", "left_semi"), "texts")
@@ -219,15 +305,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            (x, x_off), (y, y_off) = buffers(batch.column(3)), buffers(batch.column(4))
-            shifts = batch.column(2).to_pylist()
+            (x, x_off), (y, y_off) = buffers(batch.column(4)), buffers(batch.column(5))
+            shifts, exact = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             last, mate_s = None, None
             for i in range(len(batch)):
                 raw = y[y_off[i] : y_off[i + 1]]
                 if last is None or len(raw) != len(last) or not np.array_equal(raw, last):
                     last, mate_s = raw, _text_shingles(raw, width)
                 own = _text_shingles(x[x_off[i] : x_off[i + 1]], width)
-                rows += [(i, p[0], p[1] + width - 1, p[2], p[3] + width - 1, p[4]) for p in _alike(own, mate_s, sorted(shifts[i]), least, percent)]
+                rows += [(i, p[0], p[1] + width - 1, p[2], p[3] + width - 1, p[4]) for p in _alike(own, mate_s, _enough(own, mate_s, shifts[i], exact[i], least), least, percent)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             at = flat(np.array(columns[0], np.int64), pa.int64())
             yield pa.record_batch(
@@ -236,7 +322,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
             )
 
     name = "doc_id long, start_word long, end_word long, mate_id long, mate_start long, mate_end long, similarity double"
-    told = both.select("id", "mate", "shifts", "text", "mate_text").mapInArrow(verify, name)
+    told = both.select("id", "mate", "shifts", "exact", "text", "mate_text").mapInArrow(verify, name)
     about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
     told = told.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
     found = written(told.select("doc_id", "start_word", "end_word", "mate.*"), "passages")
