@@ -156,3 +156,16 @@ def test_exact_copies_behind_edited_versions(spark):
         rows += [(i + k, " ".join([prose(rng, 20), *p, prose(rng, 20)])) for k in (0, 1)]
         i += 2
     assert missed(spark, rows, copies) == []
+
+
+def test_exact_repeats_that_begin_with_a_frequent_line(spark):
+    """45 words that 1,500 texts hold, followed by 15 words that only two of them share."""
+    rng = random.Random(12)
+    line = prose(rng, 45)
+    rows = [(i, " ".join([prose(rng, 30), line, prose(rng, 40)])) for i in range(1500)]
+    copies = {}
+    for k in range(40):
+        tail = prose(rng, 15)
+        copies[tuple(f"{line} {tail}".split())] = (2000 + 2 * k, 2001 + 2 * k)
+        rows += [(2000 + 2 * k + j, " ".join([prose(rng, 30), line, tail, prose(rng, 25)])) for j in (0, 1)]
+    assert missed(spark, rows, copies) == []
