@@ -1,7 +1,7 @@
 """Vector search and assignment (survey V3, V6, V11, V12, V18, V22-V24, J7-J9, J12, J13, P12-P14, W1, W9, W10).
 
-Searches of a stated query set compare it with all rows in blocks: queries travel to the tasks (their number is
-checked against MOST_QUERIES), each task keeps the k best per query, and a window merges the tasks' lists. Searches
+Searches of a stated query set compare it with all rows in blocks: queries travel to the tasks, at most MOST_QUERIES
+in one search of the rows, each task keeps the k best per query, and a window merges the tasks' lists. Searches
 within groups are equi-joins on the group with the cheap predicates first.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import dot, unit
 
-#: Queries that one search sends to all tasks; more are searched in several runs.
+#: Queries that one search sends to all tasks; more are dealt by a hash of their id and searched block by block.
 MOST_QUERIES = 20_000
 _ABOUT = ["id", "score_id", "split", "instrument", "bars"]
 
@@ -38,16 +38,25 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, same_instrument: bool
     compared rounded to 9 places, ties go to the smaller id. Rows with null or zero vectors are no neighbours.
     """
     need = ["id"] + ["score_id"] * other_score + ["split"] * same_split + ["instrument"] * same_instrument + ["bars"] * (ratio is not None)
-    q = queries.select(*need, "vector").where("vector is not null").toPandas()
-    if len(q) > MOST_QUERIES:
-        raise ValueError(f"search at most {MOST_QUERIES} queries at a time")
-    kind = corpus.schema["id"].dataType.simpleString()
+    wanted = queries.select(*need, "vector").where("vector is not null")
+    n, kind = wanted.count(), corpus.schema["id"].dataType.simpleString()
     name = f"query_id {kind}, id {kind}, similarity double"
-    if not len(q):
+    if not n:
         return corpus.sparkSession.createDataFrame([], name.replace("id bigint, similarity", "rank int, id bigint, similarity"))
-    matrix = _unit_rows(q["vector"])
+    found, blocks = None, -(-n // MOST_QUERIES)
+    for block in range(blocks):
+        q = (wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else wanted).toPandas()
+        for lo in range(0, len(q), MOST_QUERIES):  # a block may be a little larger than the others
+            part = _block(corpus.select(*need, "vector"), q.iloc[lo : lo + MOST_QUERIES], need, k, name, same_instrument, other_score, same_split, ratio)
+            found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def _block(corpus: DataFrame, q: pd.DataFrame, need: list[str], k: int, name: str, same_instrument: bool, other_score: bool, same_split: bool, ratio: tuple[float, float] | None) -> DataFrame:
+    """(query_id, id, similarity): of each task's rows the k most similar to each query of q."""
     about = {c: q[c].to_numpy() for c in need}
-    shared = corpus.sparkSession.sparkContext.broadcast((matrix, about))
+    shared = corpus.sparkSession.sparkContext.broadcast((_unit_rows(q["vector"]), about))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, of = shared.value
@@ -76,9 +85,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, same_instrument: bool
                     keep = np.isfinite(value)
                     yield pd.DataFrame({"query_id": np.repeat(of["id"][rows], keep.sum(1)), "id": ids[best[keep]], "similarity": value[keep]})
 
-    found = corpus.select(*need, "vector").mapInPandas(search, name)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return corpus.mapInPandas(search, name)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:

@@ -199,3 +199,11 @@ def test_alignment_lookup_and_saved_codebooks(spark, tmp_path):
     assert codebook.latest(spark, str(tmp_path), "melody", 2).endswith(path.rpartition("/")[2]) and codebook.latest(spark, str(tmp_path), "melody", 9) is None
     assert codebook.content_id(df, "id", {"seed": 42}) == codebook.content_id(df.orderBy(F.desc("id")), "id", {"seed": 42}) != codebook.content_id(df.limit(7), "id", {"seed": 42})
     assert spark.read.parquet(f"{path}/assignments").count() == 8
+
+
+def test_more_queries_than_one_search_takes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, k % 7, rng.normal(size=8).tolist()) for k in range(200)], "id long, score_id long, vector array<double>")
+    want = sorted(map(tuple, vectors.nearest(df, df, 3).collect()))
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 30)
+    assert len(want) == 600 and sorted(map(tuple, vectors.nearest(df, df, 3).collect())) == want
