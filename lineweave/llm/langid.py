@@ -77,10 +77,29 @@ def _spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts (one column, lower-cased) and how many of them hold each bucket; DIMS + 1 rows a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            sums[DIMS] += len(batch)
+            for _, _, x in _features(batch, 0):
+                sums[:DIMS] += np.count_nonzero(x, axis=0)
+        some = np.flatnonzero(sums)
+        yield pa.record_batch([flat(some, pa.int64()), flat(sums[some], pa.int64())], names=["at", "n"])
+
+    got = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(DIMS + 1, np.int64)
+    sums[got["at"].to_numpy()] = got["n"].to_numpy()
+    return int(sums[DIMS]), sums[:DIMS]
+
+
 def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: int = 4, per_slot: int = 24, slots: int = 16, far: float = 0.5) -> Model:
     """Fit on at most slots * per_slot labelled texts per language, spread over `slots` by a hash of the key.
 
-    The bound (384 a language by default) is a parameter; texts that are null or without a letter are left out. A
+    The bound (384 a language by default) is a parameter and holds for centroids and thresholds; the IDF counts all
+    labelled texts. Texts that are null or without a letter are left out. A
     language's rejection threshold is `far` times the first percentile of its own texts' best cosines; for a text of
     fewer than FULL distinct trigrams, whose cosines are small by nature, it shrinks with the root of their number.
     """
@@ -110,7 +129,8 @@ def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: i
     x = np.zeros((got.num_rows, DIMS), np.float32)
     for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
         x[i, at.values.to_numpy()] = value.values.to_numpy()
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
+    n, held = document_frequencies(usable.select(F.lower(text_col)))
+    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + 1
     x = _unit(x * idf)
     label = np.array(got["label"].to_pylist(), object)
     rows, names, limit = [np.zeros((0, DIMS), np.float32)], [], []

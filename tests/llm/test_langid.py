@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+
 from lineweave.llm import langid
 
 DIR = "/root/testdata/sf0.01"
@@ -38,3 +40,14 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "words", None), (2, None, "en")], "doc_id long, text string, lang string")
     got = langid.identify(docs).collect()
     assert {(r.doc_id, r.lang_pred, r.rejected) for r in got} == {(1, "und", True), (2, "und", True)}
+
+
+def test_idf_counts_all_training_texts(spark):
+    """However few texts the centroids are fitted on."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null and text rlike '[a-z]'")
+    texts = [r.t.encode() for r in docs.selectExpr("lower(text) as t").collect()]
+    held = np.zeros(langid.DIMS, np.int64)
+    for t in texts:
+        held += langid.counts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] > 0
+    want = np.log((1 + len(texts)) / (1 + held)) + 1
+    assert np.allclose(langid.train(docs, "lang", "text", "doc_id", per_slot=1).idf, want, atol=1e-5)
