@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings that count as true, after lower-casing and without trimming.
@@ -47,6 +47,14 @@ def hash_split(seed: int, key: Column, train: float, validation: float) -> Colum
     return F.when(x < train, "train").when(x < train + validation, "validation").otherwise("test")
 
 
+def set_checksum(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, checksum, n): one checksum of each key's values whatever their order, from sums over hashes."""
+    h = F.sha1(value.cast("string"))
+    part = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+    sums = rows.select(*keys, part(1, 15).alias("_a"), part(16, 8).alias("_b")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return sums.select(*keys, F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", "_a", "_b")])).alias("checksum"), "n")
+
+
 def hash_order(seed: int, key: Column) -> Column:
     """An order of keys that looks random but depends on seed and key only."""
     return F.sha1(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))

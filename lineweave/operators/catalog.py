@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import all_of, boolize, hash_order
+from lineweave.operators.ranks import ranked
 
 # Named subsets and the flags that each one requires.
 SUBSETS = {
@@ -94,19 +95,27 @@ def masked(rows: DataFrame, hidden: list[str]) -> DataFrame:
 
 
 def evenly_spaced(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The rows at positions floor(i * (count - 1) / (n - 1)) of the ordered rows.
+    """The rows at positions floor(i * (count - 1) / (n - 1)) of the ordered rows."""
+    if n <= 0:
+        return rows.limit(0)
+    placed = ranked(rows, order, "_rank")
+    last = placed.count() - 1
+    return placed.where(F.col("_rank").isin(sorted({int(i * last / max(1, n - 1)) for i in range(n)}))).drop("_rank")
+
+
+def fixed_queries(rows: DataFrame, n: int = 100) -> DataFrame:
+    """N evenly spaced rows of the test split (where there is a split) and explicit voices, by score, length and id."""
+    own = rows.where(F.col("split") == "test") if "split" in rows.columns else rows
+    return evenly_spaced(own.where(F.col("extraction_mode") == "explicit_voice"), [F.col("score_id"), F.col("n_bars"), F.col("segment_id")], n)
 
-    The positions need a global rank; it comes from range-partitioned counts, not from one task with all rows.
+
+def displayed(rows: DataFrame, similarity: str = "similarity") -> DataFrame:
+    """What a result list shows: id, score, instrument, title, measures as `first - last`, rounded similarity.
+
+    A missing title is empty text; of missing measures the known one alone is shown.
     """
-    total = rows.count()
-    if total == 0 or n <= 0:
-        return rows.limit(0)
-    want = sorted({int(i * (total - 1) / max(1, n - 1)) for i in range(n)})
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    size = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = size.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = placed.join(F.broadcast(ahead), "_part").withColumn("_rank", F.col("_ahead") + F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33))
-    return ranked.where(F.col("_rank").isin(want)).drop("_part", "_id", "_n", "_ahead", "_rank")
+    measures = F.concat_ws(" - ", F.col("start_measure").cast("string"), F.col("end_measure").cast("string"))
+    return rows.select("segment_id", "score_id", "instrument_name", F.coalesce("title", F.lit("")).alias("title"), measures.alias("measures"), F.round(similarity, 4).alias("similarity"))
 
 
 def aligned(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Statistics of clusterings, tokens and phrases (survey A3-A9, A14-A16, A23-A26, W7, W11, V10)."""
+"""Statistics of clusterings, tokens and segments (survey A3-A9, A14-A16, A23-A26, W7, W11, V10)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import entropy
+from lineweave.operators.ranks import quantiles, ranked
 
 
 def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
@@ -18,21 +19,21 @@ def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
 
 def cluster_stats(assigned: DataFrame, cluster: str = "cluster_id", token: str = "token", cosine: str = "cosine", margin: str = "margin") -> DataFrame:
     """A5: per cluster its token, size, mean, median and tenth percentile of the cosine, mean and median margin."""
-    return assigned.groupBy(cluster).agg(
-        F.min(token).alias("token"), F.count(F.lit(1)).alias("size"), F.avg(cosine).alias("mean_cosine"), F.median(cosine).alias("median_cosine"),
-        F.percentile(cosine, F.lit(0.1)).alias("p10_cosine"), F.avg(margin).alias("mean_margin"), F.median(margin).alias("median_margin"),
-    )
+    means = assigned.groupBy(cluster).agg(F.min(token).alias("token"), F.count(F.lit(1)).alias("size"), F.avg(cosine).alias("mean_cosine"), F.avg(margin).alias("mean_margin"))
+    near = quantiles(assigned, cosine, {"median_cosine": 0.5, "p10_cosine": 0.1}, [cluster])
+    wide = quantiles(assigned, margin, {"median_margin": 0.5}, [cluster])
+    return means.join(near, cluster, "left").join(wide, cluster, "left").select(cluster, "token", "size", "mean_cosine", "median_cosine", "p10_cosine", "mean_margin", "median_margin")
 
 
 def occupancy(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """One row: sizes of clusters, shares of small ones, and the mass in the largest 1, 5 and 10 percent."""
     size = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     k = size.agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("total"))
-    ranked = size.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), cluster))).join(F.broadcast(k))  # a row per cluster; k is one row
+    placed = ranked(size, [F.desc("size"), F.col(cluster)]).withColumn("rank", F.col("rank") + 1).join(F.broadcast(k))  # k is one row
     mass = lambda share: F.sum(F.when(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("k") * share)), F.col("size")).otherwise(0)) / F.max("total")
-    return ranked.agg(
+    return placed.agg(
         F.min("size").alias("least"), F.median("size").alias("median"), F.avg("size").alias("mean"), F.max("size").alias("most"),
-        *[F.percentile("size", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)],
+        *[F.percentile("size", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)],  # over clusters
         *[F.avg((F.col("size") < n).cast("double")).alias(f"below_{n}") for n in (5, 10, 25)],
         *[mass(p).alias(f"mass_{int(p * 100)}") for p in (0.01, 0.05, 0.1)],
     )
@@ -40,10 +41,10 @@ def occupancy(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 
 def cohesion(assigned: DataFrame, cosine: str = "cosine", margin: str = "margin") -> DataFrame:
     """Mean, median and quantiles of cosine and margin, and the mean quantisation error 1 - cosine."""
-    return assigned.agg(
-        F.avg(cosine).alias("mean_cosine"), F.median(cosine).alias("median_cosine"), F.percentile(cosine, F.lit(0.1)).alias("q10_cosine"), F.percentile(cosine, F.lit(0.9)).alias("q90_cosine"),
-        F.avg(margin).alias("mean_margin"), F.median(margin).alias("median_margin"), F.avg(1 - F.col(cosine)).alias("quantization_error"),
-    )
+    means = assigned.agg(F.avg(cosine).alias("mean_cosine"), F.avg(margin).alias("mean_margin"), F.avg(1 - F.col(cosine)).alias("quantization_error"))
+    near = quantiles(assigned, cosine, {"median_cosine": 0.5, "q10_cosine": 0.1, "q90_cosine": 0.9})
+    both = means.join(F.broadcast(near)).join(F.broadcast(quantiles(assigned, margin, {"median_margin": 0.5})))  # one row each
+    return both.select("mean_cosine", "median_cosine", "q10_cosine", "q90_cosine", "mean_margin", "median_margin", "quantization_error")
 
 
 def effective_vocabulary(rows: DataFrame, token: str, nominal: int | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Phrase features and tokens over array<struct<p, o, d>> columns (survey V1-V2h, V13, F11, helpers of 2.15).
+"""Segment features and tokens over array<struct<p, o, d>> columns (survey V1-V2h, V13, F11, helpers of 2.15).
 
-Notes are ordered by (o, p, d) with onsets from the phrase's beginning. All is higher-order functions in double
+Notes are ordered by (o, p, d) with onsets from the segment's beginning. All is higher-order functions in double
 precision; nothing leaves the JVM.
 """
 
@@ -135,10 +135,10 @@ def shape(notes: Column, bars: Column) -> Column:
     return F.when(F.size(notes) > 0, out).otherwise(F.array_repeat(F.lit(0.0), 7))
 
 
-def assembled(phrases: DataFrame, notes: str = "notes", bars: str = "n_bars") -> DataFrame:
+def assembled(segments: DataFrame, notes: str = "notes", bars: str = "n_bars") -> DataFrame:
     """V2e: adds melody (74), rhythm (72) and combined (153) vectors."""
     n = F.col(notes)
-    out = phrases.withColumn("melody", F.concat(contour(n), intervals(n), pitch_classes(n))).withColumn("rhythm", rhythm(n))
+    out = segments.withColumn("melody", F.concat(contour(n), intervals(n), pitch_classes(n))).withColumn("rhythm", rhythm(n))
     return out.withColumn("combined", F.concat("melody", "rhythm", shape(n, F.col(bars))))
 
 
@@ -153,7 +153,7 @@ def standardized(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def tokens(notes: Column, most: int = 96, pitch: int = 48, interval: int = 24, onset: int = 128, length: int = 64, ioi: int = 64, pad: bool = False) -> Column:
     """Five tokens per note (pitch above the first, interval, onset, duration, time since the last onset).
 
-    Null for phrases of more than `most` notes, empty without notes or duration; padded with zeros if asked for.
+    Null for segments of more than `most` notes, empty without notes or duration; padded with zeros if asked for.
     """
     total, first = duration(notes), F.element_at(notes, 1)
 

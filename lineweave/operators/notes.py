@@ -11,14 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.config import DEFAULTS
 from lineweave.functions.expressions import cadence_strength, upper_median
 
 EPS = 1e-6
-# Default weights of the cues.
-WEIGHTS = {
-    "rest_before": 2.5, "agogic_before": 1.2, "metric_strength": 0.7, "leap_after": 0.5, "contour_change": 0.4,
-    "cadence": 1.0, "slur_end": 1.8, "section_marker": 2.2,
-}
+WEIGHTS = DEFAULTS["boundary_weights"]
 # Published tone profiles of keys (Krumhansl and Kessler), from the tonic up.
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
 MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
@@ -139,16 +136,15 @@ def rest_tier(gap: Column) -> Column:
 def boundary_evidence(notes: DataFrame, line: Line, weights: dict[str, float] | None = None, tonic: Column | None = None) -> DataFrame:
     """M7: the cues for a cut before each note but the first, and their weighted sum as evidence.
 
-    On a line whose notes don't overlap, the note before a cut at an onset is the previous row and the note after is
-    the row itself (J14). The agogic cue compares with the local median around the previous note; slur ends and
-    section markers are never set by the sources at hand and count 0.
+    The note before a cut is the last one that has ended by then, so a note that still sounds is passed over, and a
+    cut before which none has ended has no row; the note after is the row itself (J14, W6). The agogic cue compares
+    with the local median around the row before; slur ends and section markers are never set by the sources at hand
+    and count 0.
     """
     weight = weights or WEIGHTS
     w = line.ordered()
-    rows = local_median(notes, line)
-    for name, column, k in (("_p1", "p", 1), ("_p2", "p", 2), ("_d1", "d", 1), ("_o1", "o", 1), ("_m1", "measure", 1), ("_l1", "local_median", 1)):
-        rows = rows.withColumn(name, F.lag(column, k).over(w))
-    rows = rows.withColumn("_pn", F.lead("p").over(w)).where("_o1 is not null")
+    rows = local_median(notes, line).withColumn("_l1", F.lag("local_median").over(w)).withColumn("_pn", F.lead("p").over(w))
+    rows = _ended_before(rows, line).where("_o1 is not null")
     gap = F.greatest(F.lit(0.0), F.col("o") - (F.col("_o1") + F.col("_d1")))
     before, after = F.signum(F.col("_p1") - F.col("_p2")), F.signum(F.col("_pn") - F.col("p"))
     cues = {
@@ -166,6 +162,24 @@ def boundary_evidence(notes: DataFrame, line: Line, weights: dict[str, float] |
     return rows.select(*line.keys, "o", "p", *cues, total.alias("evidence"))
 
 
+def _ended_before(notes: DataFrame, line: Line) -> DataFrame:
+    """Adds _p1, _d1, _o1, _m1 of the last note (in line order) that has ended by each onset, and _p2 of the one before.
+
+    Ends and onsets run through one sort. The second largest of a running set is the running maximum of what each
+    newcomer or the largest so far, whichever is smaller, leaves behind.
+    """
+    own = F.struct(F.row_number().over(line.ordered()).alias("k"), "p", "d", "o", "measure")
+    marks = F.array(F.struct((F.col("o") + F.col("d") - EPS).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("o").alias("at"), F.lit(1).alias("kind")))
+    each = notes.withColumn("_own", own).withColumn("_mark", F.explode(marks)).withColumn("_end", F.when(F.col("_mark.kind") == 0, F.col("_own")))
+    time = Window.partitionBy(*line.keys).orderBy("_mark", "_own.k")
+    before = time.rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_first", F.max("_end").over(before))
+    left = F.when(F.col("_end").isNotNull() & F.col("_first").isNotNull(), F.least("_end", "_first"))
+    each = each.withColumn("_left", left).withColumn("_second", F.max("_left").over(before)).where("_mark.kind = 1")
+    found = {"_p1": "_first.p", "_d1": "_first.d", "_o1": "_first.o", "_m1": "_first.measure", "_p2": "_second.p"}
+    return each.withColumns({k: F.col(c) for k, c in found.items()}).drop("_own", "_mark", "_end", "_first", "_left", "_second")
+
+
 def gap_segments(notes: DataFrame, line: Line, rest: float = 2.0) -> DataFrame:
     """A segment ends where the next note comes `rest` or more after the end of this one."""
     w = line.ordered()

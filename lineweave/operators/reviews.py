@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.functions.expressions import wilson
 from lineweave.operators.catalog import first_per_key
 
-VOTES = "timestamp string, trial_id string, query_phrase_id string, run_id string, winner_backend string, tie boolean, both_poor boolean"
+VOTES = "timestamp string, trial_id string, query_segment_id string, run_id string, winner_backend string, tie boolean, both_poor boolean"
 REVIEWS = "timestamp string, space string, k int, token string, rating string"
 TRIALS = "timestamp string, trial_id string, space string, k int, same_cluster_won boolean, tie boolean, neither boolean"
 

@@ -24,20 +24,21 @@ class Limits:
     split_penalty: float = 0.7
 
 
-def penalty(bars: float, limits: Limits) -> float:
-    if bars > limits.hard_max_bars:
-        return 1000.0
-    if bars < limits.min_bars:
-        return 4.0 * (limits.min_bars - bars)
-    return 0.12 * (bars - limits.preferred_bars) ** 2 + 0.25 * max(0.0, bars - limits.soft_max_bars) ** 2
-
-
 def penalties(bars: np.ndarray, limits: Limits) -> np.ndarray:
-    """penalty() of many lengths."""
+    """What segments of these lengths cost."""
     fair = 0.12 * (bars - limits.preferred_bars) ** 2 + 0.25 * np.maximum(0.0, bars - limits.soft_max_bars) ** 2
     return np.where(bars > limits.hard_max_bars, 1000.0, np.where(bars < limits.min_bars, 4.0 * (limits.min_bars - bars), fair))
 
 
+def _reached(score, gains, t, first, after, lo: int, j: int, n: int, unit: float, limits: Limits) -> np.ndarray:
+    """What a segment that ends at j makes of each start from lo on."""
+    bars = np.maximum(0.0, (t[j] - t[lo:j]) / unit)
+    s = score[lo:j] + gains[j] - penalties(bars, limits) - np.where(np.arange(lo, j) > 0, limits.split_penalty, 0.0)
+    if j != n - 1:
+        s[after[j] - first[lo:j] < limits.min_notes] = -np.inf
+    return s
+
+
 def best_cuts(times: list[float], gain: list[float], onsets: list[float], measure: float, limits: Limits) -> list[int]:
     """Indexes into times of the cuts, first and last included, that make the most of evidence less penalties.
 
@@ -50,14 +51,22 @@ def best_cuts(times: list[float], gain: list[float], onsets: list[float], measur
     first, after = np.searchsorted(at, t - 1e-6), np.searchsorted(at, t + 1e-6)
     score, back = np.full(n, -np.inf), np.zeros(n, int)
     score[0] = 0.0
+    unit = max(1e-6, measure)
+    # starts further back than the hard limit all pay the same large penalty: where even the best of them can't
+    # reach what a start within the limit gives, they need no look
+    near = np.searchsorted(t, t - (limits.hard_max_bars + 1e-6) * unit)
+    best = -np.inf
+    k = 0  # score[:k] have gone into best
     for j in range(1, n):
-        bars = np.maximum(0.0, (t[j] - t[:j]) / max(1e-6, measure))
-        s = score[:j] + gains[j] - penalties(bars, limits) - np.where(np.arange(j) > 0, limits.split_penalty, 0.0)
-        if j != n - 1:
-            s[after[j] - first[:j] < limits.min_notes] = -np.inf
-        i = int(np.argmax(s))
-        if s[i] > -1e9:
-            score[j], back[j] = s[i], i
+        while k < near[j]:
+            best, k = max(best, score[k]), k + 1
+        for lo in (near[j], 0):
+            s = _reached(score, gains, t, first, after, lo, j, n, unit, limits)
+            i = int(np.argmax(s)) if len(s) else 0
+            if lo == 0 or (len(s) and s[i] > best + gains[j] - 1000.0):
+                break
+        if len(s) and s[i] > -1e9:
+            score[j], back[j] = s[i], lo + i
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])

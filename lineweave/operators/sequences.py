@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.operators.ranks import quantiles
+
 
 def collected(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """One row per key (a null key is one too) with parallel arrays of the columns in the given order."""
@@ -27,11 +29,12 @@ def transitions(bigrams: DataFrame) -> DataFrame:
 
 def length_stats(sequences: DataFrame, size: str = "sequence_length") -> DataFrame:
     """A10: number of sequences, median and quantiles of their lengths."""
-    return sequences.agg(F.count(F.lit(1)).alias("sequences"), F.median(size).alias("median"), *[F.percentile(size, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
+    total = sequences.agg(F.count(F.lit(1)).alias("sequences"))
+    return total.join(F.broadcast(quantiles(sequences, size, {"median": 0.5, "q10": 0.1, "q50": 0.5, "q90": 0.9})))  # one row each
 
 
 def exported(melody: DataFrame, rhythm: DataFrame, combined: DataFrame, about: DataFrame, key: str) -> DataFrame:
-    """Melody and rhythm tokens of a phrase with its description and, where there is one, combined token."""
+    """Melody and rhythm tokens of a segment with its description and, where there is one, combined token."""
     m = melody.select(key, F.col("token").alias("melody_token"))
     r = rhythm.select(key, F.col("token").alias("rhythm_token"))
     c = combined.select(key, F.col("token").alias("combined_token"))

@@ -7,6 +7,7 @@ within groups are equi-joins on the group with the cheap predicates first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import dot, unit
+from lineweave.operators import ranks
 
 #: Queries that one search sends to all tasks; more are dealt by a hash of their id and searched block by block.
 MOST_QUERIES = 20_000
-_ABOUT = ["id", "score_id", "split", "instrument", "bars"]
+#: Rows of one batch whose views are all compared with each other.
+MOST_IN_BATCH = 4096
 
 
 def length_ratio(candidate: Column, query: Column, low: float, high: float) -> Column:
@@ -126,18 +129,23 @@ def assign(rows: DataFrame, centroids: list[tuple[int, list[float]]], key: str,
 
 
 def ranked(assigned: DataFrame, key: str) -> DataFrame:
-    """The rank of each row in its cluster by falling cosine, ties by key."""
-    return assigned.withColumn("rank_in_cluster", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), key)))
+    """The rank of each row in its cluster by falling cosine, ties by key; no task needs a whole cluster."""
+    placed = ranks.ranked(assigned, [F.col("cluster_id"), F.desc("cosine"), F.col(key)], "_rank")
+    first = placed.groupBy("cluster_id").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, "cluster_id").withColumn("rank_in_cluster", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")
 
 
 def mine_pairs(rows: DataFrame, least: float, ratio: tuple[float, float], top: int, most: int, reciprocal: bool = False) -> DataFrame:
-    """Pairs of phrases of one score, part and split that don't overlap in time, are of like length and similar.
+    """Pairs of segments of one score, part and split that don't overlap in time, are of like length and similar.
 
-    rows: id, score_id, part_id, split, start_q, end_q, bars, vector. Each phrase keeps its `top` most similar ones
+    rows: id, score_id, part_id, split, start_q, end_q, bars, vector. Each segment keeps its `top` most similar ones
     and of those `most`; with reciprocal only pairs that both sides keep. (id_a, id_b, score_id, similarity).
     """
-    side = lambda s: rows.select("score_id", "part_id", "split", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "start_q", "end_q", "bars")], unit(F.col("vector")).alias(f"v_{s}"))
-    both = side("a").join(side("b"), ["score_id", "part_id", "split"]).where(
+    # lengths within the ratio lie in the same or in neighbouring steps, so a long score doesn't meet itself as a whole
+    step = F.floor(F.ln(F.greatest(F.lit(1e-6), F.col("bars"))) / math.log(max(ratio[1], 1 / ratio[0], 1.01))) if ratio[0] > 0 else F.lit(0)
+    side = lambda s: rows.select("score_id", "part_id", "split", step.cast("long").alias("_step"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "start_q", "end_q", "bars")], unit(F.col("vector")).alias(f"v_{s}"))
+    around = side("b").withColumn("_step", F.explode(F.array(*[F.col("_step") + k for k in ((-1, 0, 1) if ratio[0] > 0 else (0,))])))
+    both = side("a").join(around, ["score_id", "part_id", "split", "_step"]).where(
         (F.col("id_a") != F.col("id_b")) & apart(F.col("start_q_a"), F.col("end_q_a"), F.col("start_q_b"), F.col("end_q_b")) & length_ratio(F.col("bars_b"), F.col("bars_a"), *ratio)
     )
     close = both.withColumn("similarity", F.round(dot(F.col("v_a"), F.col("v_b")), 9)).where(F.col("similarity") >= least)
@@ -182,9 +190,23 @@ def preservation(neighbors: DataFrame, assigned: DataFrame, key: str, n: int = 1
     return own.select("query_id", shared("_same").alias("overlap_same"), jaccard("_same").alias("jaccard_same"), shared("_near").alias("overlap_near"), jaccard("_near").alias("jaccard_near"))
 
 
+def preservation_means(preserved: DataFrame) -> DataFrame:
+    """The number of queries and the means of preservation(), 0 where there are none; one row."""
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("overlap_same", "jaccard_same", "overlap_near", "jaccard_near")]
+    return preserved.agg(F.count(F.lit(1)).alias("queries"), *means)
+
+
 def retrieval_metrics(neighbors: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Recall at 1, 5 and 10 and mean reciprocal rank; relevant: query_id, id. Queries without a hit count 0."""
-    hits = neighbors.join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
+    """Recall at 1, 5 and 10 and mean reciprocal rank. Queries without a hit count 0.
+
+    relevant: query_id and id, or, where a row is relevant that shares a label, id and label.
+    """
+    if "label" in relevant.columns:
+        of = relevant.select(F.col("id").alias("query_id"), F.col("label").alias("_wanted"))
+        found = neighbors.join(relevant.select("id", "label"), "id").join(of, "query_id").where("label = _wanted and id != query_id")
+    else:
+        found = neighbors.join(relevant, ["query_id", "id"], "left_semi")
+    hits = found.groupBy("query_id").agg(F.min("rank").alias("first"))
     of = neighbors.select("query_id").distinct().join(hits, "query_id", "left")
     at = lambda k: F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)))
     return of.agg(F.count(F.lit(1)).alias("queries"), *[at(k).alias(f"recall_{k}") for k in (1, 5, 10)], F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
@@ -197,9 +219,15 @@ def reranked(neighbors: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 
 
 def contrastive_loss(pairs: DataFrame, temperature: float) -> DataFrame:
-    """Symmetric cross-view loss of a batch: (id, a, b) with two unit views each; one row. The batch is bounded."""
-    left = pairs.select(F.col("id").alias("i"), unit(F.col("a")).alias("a"))
-    right = pairs.select(F.col("id").alias("j"), unit(F.col("b")).alias("b"))
-    s = left.join(F.broadcast(right)).select("i", "j", (dot(F.col("a"), F.col("b")) / temperature).alias("s"))
-    one = lambda key: s.groupBy(key).agg((F.ln(F.sum(F.exp("s"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("s")))).alias("l")).agg(F.avg("l").alias(key))
-    return one("i").join(F.broadcast(one("j"))).select(((F.col("i") + F.col("j")) / 2).alias("loss"))
+    """(batch, loss): the symmetric cross-view loss of each batch; pairs: batch, id, and unit views a and b.
+
+    Views meet within their batch only. A batch of more than MOST_IN_BATCH rows is an error.
+    """
+    largest = pairs.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_IN_BATCH:
+        raise ValueError(f"a batch has {largest} rows; at most {MOST_IN_BATCH}")
+    left = pairs.select("batch", F.col("id").alias("i"), unit(F.col("a")).alias("a"))
+    right = pairs.select("batch", F.col("id").alias("j"), unit(F.col("b")).alias("b"))
+    s = left.join(right, "batch").select("batch", "i", "j", (dot(F.col("a"), F.col("b")) / temperature).alias("s"))
+    one = lambda key: s.groupBy("batch", key).agg((F.ln(F.sum(F.exp("s"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("s")))).alias("l")).groupBy("batch").agg(F.avg("l").alias(f"l_{key}"))
+    return one("i").join(one("j"), "batch").select("batch", ((F.col("l_i") + F.col("l_j")) / 2).alias("loss"))

@@ -123,7 +123,10 @@ def dedup_keep_first(spark, d):
 
 def display_columns(spark, d):
     s = table(spark, d, "embeddings")
-    return s.select(F.col("vec_id").alias("phrase_id"), F.concat_ws(" - ", (F.col("vec_id") % 40).cast("string"), (F.col("vec_id") % 40 + 3).cast("string")).alias("measures"), X.token_name("M", F.col("label")).alias("token"))
+    v = F.col("vec_id")
+    found = s.select(v.alias("segment_id"), (v % 50).alias("score_id"), X.token_name("M", F.col("label")).alias("instrument_name"), F.when(v % 3 != 0, F.concat(F.lit("t"), v.cast("string"))).alias("title"),
+        F.when(v % 5 != 0, v % 40).alias("start_measure"), (v % 40 + 3).alias("end_measure"), (v / 7.0).alias("similarity"))
+    return C.displayed(found)
 
 
 def unseen_candidates(spark, d):
@@ -175,7 +178,7 @@ def hash_split_docs(spark, d):
 
 def split_summary(spark, d):
     s = table(spark, d, "documents").withColumn("split", X.hash_split(42, F.col("source"), 0.8, 0.1))
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("phrases"), F.countDistinct("source").alias("scores"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("source").alias("scores"))
 
 
 def scalar_functions(spark, d):
@@ -196,9 +199,8 @@ def scalar_functions(spark, d):
 
 
 def id_list_checksum(spark, d):
-    """one checksum of all ids in order, of sorted distinct ids by group, so that no task sees all rows."""
-    ids = table(spark, d, "embeddings").groupBy("label").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col("vec_id").cast("string"), 12, "0"))), "\n")).alias("checksum"), F.count(F.lit(1)).alias("n"))
-    return ids
+    """a checksum of each label's set of ids that partial sums make up, so that no task sees a label's ids."""
+    return X.set_checksum(table(spark, d, "embeddings"), ["label"], F.col("vec_id"))
 
 
 def json_notes(spark, d):
@@ -256,7 +258,8 @@ ORACLE = {
         count_if(n_chars between 200 and 5000) as length, count_if(lang = 'en') as english from j)
       select name, n::bigint as n from (unpivot a on total, labelled, good, clean, length, english into name name value n)""",
     "dedup_keep_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as r from events) where r = 1",
-    "display_columns": "select vec_id as phrase_id, (vec_id % 40) || ' - ' || (vec_id % 40 + 3) as measures, printf('M_%04d', label) as token from embeddings",
+    "display_columns": """select vec_id as segment_id, vec_id % 50 as score_id, printf('M_%04d', label) as instrument_name, case when vec_id % 3 <> 0 then 't' || vec_id else '' end as title,
+      case when vec_id % 5 <> 0 then (vec_id % 40) || ' - ' || (vec_id % 40 + 3) else (vec_id % 40 + 3)::varchar end as measures, round(vec_id / 7.0::double, 4) as similarity from embeddings""",
     "unseen_candidates": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and event_id % 7 = 0)",
     "blind_payload": "select doc_id, case when ('0x' || substr(sha1('42|' || doc_id), 1, 8))::bigint % 2 = 0 then 'A' else 'B' end as first_side from labels",
     "completed_skip": "select o_orderkey as score_id from orders where o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'F')",
@@ -268,7 +271,7 @@ ORACLE = {
     "union_tagged": "select 'customer' as kind, c_custkey as id, c_nationkey as nation from customer union all select 'supplier', s_suppkey, s_nationkey from supplier",
     "distinct_tokens": "select event_type, round(max(value), 6) as top from events group by 1 order by 2 desc, 1 limit 3",
     "hash_split_docs": f"select doc_id, {_SPLIT} as split from (select doc_id, ('0x' || substr(sha1('42|' || doc_id), 1, 8))::bigint / 4294967295.0::double as x from documents)",
-    "split_summary": f"select {_SPLIT} as split, count(*) as phrases, count(distinct source) as scores from (select source, ('0x' || substr(sha1('42|' || source), 1, 8))::bigint / 4294967295.0::double as x from documents) group by 1",
+    "split_summary": f"select {_SPLIT} as split, count(*) as segments, count(distinct source) as scores from (select source, ('0x' || substr(sha1('42|' || source), 1, 8))::bigint / 4294967295.0::double as x from documents) group by 1",
     "scalar_functions": """with e as (select event_id, (event_id % 128) as n, value as v from events),
       c as (select *, n / 8.0::double as b, ((n - n % 5) % 12 + 12) % 12 as pb, (((n * 7) % 12 - n % 5) % 12 + 12) % 12 as pa from e)
       select event_id, round(440.0::double * pow(2.0::double, (n - 69) / 12.0::double), 6) as hz, round(n * 60.0::double / 100.0::double, 6) as sec,
@@ -277,7 +280,8 @@ ORACLE = {
         (round_even(n / 127.0::double * 63, 0) + 2)::int as unit, n % 12 as pc,
         round(case when b > 12 then 1000.0::double when b < 1.5 then 4.0::double * (1.5::double - b) else 0.12::double * (b - 4) * (b - 4) + 0.25::double * greatest(0, b - 8) * greatest(0, b - 8) end, 6) as penalty,
         case when (pb in (2, 11, 7) and pa = 0) or (pb = 5 and pa = 4) then 1.0::double when pa = 0 then 0.5::double when pa = 7 then 0.3::double else 0.0::double end as cadence from c""",
-    "id_list_checksum": "select label, sha1(string_agg(lpad(vec_id::varchar, 12, '0'), chr(10) order by vec_id)) as checksum, count(*) as n from embeddings group by label",
+    "id_list_checksum": """with h as (select label, ('0x' || substr(sha1(vec_id::varchar), 1, 15))::bigint as a, ('0x' || substr(sha1(vec_id::varchar), 16, 8))::bigint as b from embeddings)
+      select label, sha1(count(*) || '|' || bit_xor(a) || '|' || sum(b)) as checksum, count(*) as n from h group by label""",
     "json_notes": """select event_id, case event_id % 5 when 0 then 2 when 2 then 1 else 0 end::int as n,
       case event_id % 5 when 0 then '60/0.000/1.000/90;' || (40 + event_id % 30) || '/1.500/0.500/80' when 2 then '64/2.000/0.500/70' else '' end as notes from events""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -14,6 +15,7 @@ from lineweave.functions.expressions import hash_split, quality, segment_id, val
 from lineweave.operators import catalog as C
 from lineweave.operators import codebook, dataset, diagnostics, features, reviews, segment, sequences, vectors
 from lineweave.operators import notes as N
+from lineweave.operators.ranks import quantiles
 
 _LINE = ["score_id", "part_id", "line_id"]
 
@@ -26,11 +28,11 @@ def select_scores(catalog: DataFrame, cfg: dict[str, Any] = DEFAULTS) -> DataFra
     return C.sampled(chosen, c["sampling"], c["max_scores"], "score_id", worth, c["seed"])
 
 
-def extract_phrases(notes: DataFrame, catalog: DataFrame | None = None, cfg: dict[str, Any] = DEFAULTS) -> DataFrame:
-    """Notes (score_id, part_id, voice_id, percussion, o, p, d, tie, measure) to phrases with their notes.
+def extract_segments(notes: DataFrame, catalog: DataFrame | None = None, cfg: dict[str, Any] = DEFAULTS) -> DataFrame:
+    """Notes (score_id, part_id, voice_id, percussion, o, p, d, tie, measure) to segments with their notes.
 
-    Lines, evidence, cuts and rows of phrases; a note that begins at a cut belongs to both neighbours. With a catalog
-    its description joins each phrase.
+    Lines, evidence, cuts and rows of segments; a note that begins at a cut belongs to both neighbours. With a catalog
+    its description joins each segment.
     """
     s = cfg["segmentation"]
     lines = N.lines(notes, ["score_id", "part_id"], cfg["extraction"]["min_notes_per_line"])
@@ -39,7 +41,7 @@ def extract_phrases(notes: DataFrame, catalog: DataFrame | None = None, cfg: dic
     line = N.Line(["line"])
     key = N.key_of(placed, line)
     keyed = placed.join(key, "line")
-    evidence = N.boundary_evidence(keyed, line, tonic=F.col("tonic")).select("line", F.round("o", 6).alias("t"), "evidence")
+    evidence = N.boundary_evidence(keyed, line, cfg["boundary_weights"], F.col("tonic")).select("line", F.round("o", 6).alias("t"), "evidence")
     times = N.candidate_times(placed, line).join(evidence, ["line", "t"], "left").groupBy("line").agg(F.array_sort(F.collect_list(F.struct("t", F.coalesce("evidence", F.lit(0.0)).alias("e")))).alias("c"))
     onsets = placed.groupBy("line").agg(F.array_sort(F.collect_list("o")).alias("onsets"))
     lengths = N.measure_length(placed, line)
@@ -50,20 +52,21 @@ def extract_phrases(notes: DataFrame, catalog: DataFrame | None = None, cfg: dic
         F.array_sort(F.collect_list(F.struct((F.col("o") - F.col("start_q")).alias("o"), "p", "d"))).alias("_n"), F.min("measure").alias("start_measure"), F.max("measure").alias("end_measure")
     )
     out = packed.join(key, "line").withColumn("notes", F.transform("_n", lambda n: F.struct(n.p.alias("p"), n.o.alias("o"), n.d.alias("d"), F.lit(80).alias("v"))))
-    out = out.withColumn("n_notes", F.size("notes")).withColumn("phrase_id", segment_id(F.col("score_id"), F.col("part_id"), F.col("line_id"), F.col("start_q"), F.col("end_q"))).drop("_n", "line")
+    out = out.withColumn("n_notes", F.size("notes")).withColumn("segment_id", segment_id(F.col("score_id"), F.col("part_id"), F.col("line_id"), F.col("start_q"), F.col("end_q"))).drop("_n", "line")
     return out if catalog is None else out.join(catalog.drop("n_notes"), "score_id", "left")
 
 
-def extraction_summary(phrases: DataFrame) -> DataFrame:
+def extraction_summary(segments: DataFrame) -> DataFrame:
     """A1: counts, medians and shares of modes; one row."""
-    per = phrases.groupBy("score_id").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("scores"), F.median("k").alias("median_per_score"))
-    own = phrases.agg(F.count(F.lit(1)).alias("phrases"), F.median("n_bars").alias("median_bars"), F.avg((F.col("extraction_mode") == "explicit_voice").cast("double")).alias("explicit_share"))
-    return own.join(F.broadcast(per))
+    per = segments.groupBy("score_id").agg(F.count(F.lit(1)).alias("k"))
+    own = segments.agg(F.count(F.lit(1)).alias("segments"), F.avg((F.col("extraction_mode") == "explicit_voice").cast("double")).alias("explicit_share"))
+    each = [quantiles(segments, "n_bars", {"median_bars": 0.5}), per.agg(F.count(F.lit(1)).alias("scores")), quantiles(per, "k", {"median_per_score": 0.5})]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), each, own).select("segments", "median_bars", "explicit_share", "scores", "median_per_score")  # one row each
 
 
-def build_embeddings(phrases: DataFrame, key: str = "phrase_id") -> dict[str, DataFrame]:
+def build_embeddings(segments: DataFrame, key: str = "segment_id") -> dict[str, DataFrame]:
     """Features of three spaces, standardised and normalised: (key, embedding) by space."""
-    made = features.assembled(phrases)
+    made = features.assembled(segments)
     out = {}
     for space in ("melody", "rhythm", "combined"):
         z = features.standardized(made, key, space).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "z"))).getField("z").alias("v"))
@@ -71,29 +74,29 @@ def build_embeddings(phrases: DataFrame, key: str = "phrase_id") -> dict[str, Da
     return out
 
 
-def inspect(phrases: DataFrame, embeddings: DataFrame, ids: list, k: int = 3) -> DataFrame:
-    """The k nearest phrases of other scores for a few phrases, with what a reader needs to compare them."""
-    about = phrases.select(F.col("phrase_id").alias("id"), "score_id", F.col("n_bars").alias("bars"))
-    rows = embeddings.select(F.col("phrase_id").alias("id"), F.col("embedding").alias("vector")).join(about, "id")
+def inspect(segments: DataFrame, embeddings: DataFrame, ids: list, k: int = 3) -> DataFrame:
+    """The k nearest segments of other scores for a few segments, with what a reader needs to compare them."""
+    about = segments.select(F.col("segment_id").alias("id"), "score_id", F.col("n_bars").alias("bars"))
+    rows = embeddings.select(F.col("segment_id").alias("id"), F.col("embedding").alias("vector")).join(about, "id")
     return vectors.nearest(rows, rows.where(F.col("id").isin(ids)), k).join(about, "id")
 
 
-def eligible_phrases(phrases: DataFrame, spaces: dict[str, DataFrame], least: int = 4, most: int = 96, bars: tuple[float, float] = (1.0, 12.0)) -> DataFrame:
-    """Licensed explicit lines of fair length with a usable vector in every space, each phrase once."""
-    keep = phrases.where(F.col("license") & (F.col("extraction_mode") == "explicit_voice") & F.size("notes").between(least, most) & F.col("n_bars").between(*bars))
-    keep = C.first_per_key(keep, ["phrase_id"], [F.col("score_id"), F.col("start_q")])
+def eligible_segments(segments: DataFrame, spaces: dict[str, DataFrame], least: int = 4, most: int = 96, bars: tuple[float, float] = (1.0, 12.0)) -> DataFrame:
+    """Licensed explicit lines of fair length with a usable vector in every space, each segment once."""
+    keep = segments.where(F.col("license") & (F.col("extraction_mode") == "explicit_voice") & F.size("notes").between(least, most) & F.col("n_bars").between(*bars))
+    keep = C.first_per_key(keep, ["segment_id"], [F.col("score_id"), F.col("start_q")])
     for v in spaces.values():
-        keep = keep.join(v.where(valid_vector(F.col("embedding"))).select("phrase_id"), "phrase_id", "left_semi")
+        keep = keep.join(v.where(valid_vector(F.col("embedding"))).select("segment_id"), "segment_id", "left_semi")
     if keep.isEmpty():
-        raise ValueError("no phrase is eligible: check license, mode, lengths and vectors")
+        raise ValueError("no segment is eligible: check license, mode, lengths and vectors")
     return keep
 
 
-def prepare_encoder_data(phrases: DataFrame, **how) -> dict[str, DataFrame]:
-    """Eligible and rejected phrases and a summary of the splits."""
-    p = dataset.prepared(phrases, **{"least": 4, "most": 96, "min_bars": 1.0, "max_bars": 12.0} | how)
+def prepare_encoder_data(segments: DataFrame, **how) -> dict[str, DataFrame]:
+    """Eligible and rejected segments and a summary of the splits."""
+    p = dataset.prepared(segments, **{"least": 4, "most": 96, "min_bars": 1.0, "max_bars": 12.0} | how)
     good = p.where("reason is null")
-    return {"eligible": good, "rejected": p.where("reason is not null").select("phrase_id", "reason"), "splits": good.groupBy("split").agg(F.count(F.lit(1)).alias("phrases"), F.countDistinct("score_id").alias("scores"))}
+    return {"eligible": good, "rejected": p.where("reason is not null").select("segment_id", "reason"), "splits": good.groupBy("split").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("score_id").alias("scores"))}
 
 
 def mine_encoder_positives(rows: DataFrame, least: float = 0.92, ratio: tuple[float, float] = (0.75, 1.33), top: int = 10, most: int = 5, reciprocal: bool = False) -> DataFrame:
@@ -101,16 +104,16 @@ def mine_encoder_positives(rows: DataFrame, least: float = 0.92, ratio: tuple[fl
 
 
 def build_learned_index(rows: DataFrame, encoder: Callable[[list], np.ndarray], seed: int = 42) -> DataFrame:
-    """(phrase_id, score_id, split, embedding) of a pluggable encoder."""
-    made = dataset.encoded(rows, "phrase_id", "tokens", encoder)
-    return rows.select("phrase_id", "score_id", hash_split(seed, F.col("score_id"), 0.8, 0.1).alias("split")).join(made, "phrase_id")
+    """(segment_id, score_id, split, embedding) of a pluggable encoder."""
+    made = dataset.encoded(rows, "segment_id", "tokens", encoder)
+    return rows.select("segment_id", "score_id", hash_split(seed, F.col("score_id"), 0.8, 0.1).alias("split")).join(made, "segment_id")
 
 
 def evaluate_backends(backends: dict[str, DataFrame], queries: int = 50, k: int = 10) -> DataFrame:
     """The neighbours of the same evenly spaced queries under each backend: backend, query_id, rank, id."""
     out = None
     for name, rows in backends.items():
-        chosen = C.evenly_spaced(rows, [F.col("id")], queries)
+        chosen = C.evenly_spaced(rows, [F.col("id")], queries) if "segment_id" not in rows.columns else C.fixed_queries(rows, queries)
         one = vectors.nearest(rows, chosen, k).withColumn("backend", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -118,7 +121,7 @@ def evaluate_backends(backends: dict[str, DataFrame], queries: int = 50, k: int
 
 def summarize_encoder_evaluation(votes: DataFrame) -> DataFrame:
     """By run, over the earliest vote per run and query; votes: the review schema with an ordinal."""
-    first = reviews.earliest(votes, ["run_id", "query_phrase_id"], "timestamp", "ordinal")
+    first = reviews.earliest(votes, ["run_id", "query_segment_id"], "timestamp", "ordinal")
     return reviews.vote_summary(first.withColumn("won", F.col("winner_backend") == "learned"), ["run_id"])
 
 
@@ -127,13 +130,13 @@ def build_vocabulary(rows: DataFrame, sizes: list[int], prefix: str = "M") -> di
 
 
 def export_tokens(melody: DataFrame, rhythm: DataFrame, combined: DataFrame, about: DataFrame) -> dict[str, DataFrame]:
-    """Tokens of phrases, their sequences, transitions, joint statistics and concentration."""
-    tokens = sequences.exported(melody, rhythm, combined, about, "phrase_id")
+    """Tokens of segments, their sequences, transitions, joint statistics and concentration."""
+    tokens = sequences.exported(melody, rhythm, combined, about, "segment_id")
     keys = ["score_id", "part_id", "voice_id"]
-    big = {s: sequences.transitions(sequences.ngrams(tokens, keys, ["start_q", "phrase_id"], f"{s}_token", 2)) for s in ("melody", "rhythm")}
+    big = {s: sequences.transitions(sequences.ngrams(tokens, keys, ["start_q", "segment_id"], f"{s}_token", 2)) for s in ("melody", "rhythm")}
     return {
-        "tokens": tokens, "sequences": sequences.collected(tokens, keys, ["start_q", "phrase_id"], ["phrase_id", "melody_token", "rhythm_token", "start_q", "end_q"]),
-        "melody_transitions": big["melody"], "rhythm_transitions": big["rhythm"], "trigrams": sequences.ngrams(tokens, keys, ["start_q", "phrase_id"], "melody_token", 3),
+        "tokens": tokens, "sequences": sequences.collected(tokens, keys, ["start_q", "segment_id"], ["segment_id", "melody_token", "rhythm_token", "start_q", "end_q"]),
+        "melody_transitions": big["melody"], "rhythm_transitions": big["rhythm"], "trigrams": sequences.ngrams(tokens, keys, ["start_q", "segment_id"], "melody_token", 3),
         "joint": diagnostics.joint_stats(tokens, "melody_token", "rhythm_token")["summary"], "concentration": diagnostics.concentration(tokens, "melody_token", "score_id", "composer_name"),
     }
 

@@ -37,20 +37,20 @@ def notes_derive(spark, d):
     return notes(spark, d).select("score_id", "part", "p", _r("o", "o"), _r("d", "d"), "measure")
 
 
-def segments(spark, d):
+def cut_notes(spark, d):
     return N.gap_segments(notes(spark, d), LINE)
 
 
 def gap_segments(spark, d):
     from lineweave.functions.expressions import segment_id
 
-    s = N.ordered_notes(segments(spark, d), ["score_id", "segment"])
+    s = N.ordered_notes(cut_notes(spark, d), ["score_id", "segment"])
     sid = segment_id(F.col("score_id"), F.lit("part"), F.lit("0"), F.round("start_q", 6), F.round("end_q", 6))
-    return s.select("score_id", "segment", _r("start_q", "start_q"), _r("end_q", "end_q"), F.size("notes").alias("n_notes"), sid.alias("phrase_id"))
+    return s.select("score_id", "segment", _r("start_q", "start_q"), _r("end_q", "end_q"), F.size("notes").alias("n_notes"), sid.alias("segment_id"))
 
 
-def phrases(spark, d):
-    s = N.ordered_notes(segments(spark, d), ["score_id", "segment"])
+def segments(spark, d):
+    s = N.ordered_notes(cut_notes(spark, d), ["score_id", "segment"])
     return s.where(F.size("notes") >= 4).withColumn("n_bars", (F.col("end_q") - F.col("start_q")) / 4.0)
 
 
@@ -111,9 +111,9 @@ def roll_extent(spark, d):
 
 
 def extraction_summary(spark, d):
-    s = phrases(spark, d)
+    s = segments(spark, d)
     per = s.groupBy("score_id").agg(F.count(F.lit(1)).alias("k"))
-    a = s.agg(F.count(F.lit(1)).alias("phrases"), F.countDistinct("score_id").alias("scores"), F.round(F.median("n_bars"), 6).alias("median_bars"), F.round(F.avg((F.size("notes") >= 8).cast("double")), 6).alias("long_share"))
+    a = s.agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("score_id").alias("scores"), F.round(F.median("n_bars"), 6).alias("median_bars"), F.round(F.avg((F.size("notes") >= 8).cast("double")), 6).alias("long_share"))
     b = per.agg(F.median("k").alias("median_per_score"))
     return a.join(b.hint("broadcast"))
 
@@ -121,11 +121,11 @@ def extraction_summary(spark, d):
 def histogram_bars(spark, d):
     from lineweave.operators.diagnostics import histogram
 
-    return histogram(phrases(spark, d), F.col("n_bars"), 20).select("bin", "n")
+    return histogram(segments(spark, d), F.col("n_bars"), 20).select("bin", "n")
 
 
 def _vector(spark, d, make):
-    s = phrases(spark, d)
+    s = segments(spark, d)
     return s.select("score_id", "segment", F.array_join(F.transform(make(s), lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), ",").alias("vector"))
 
 
@@ -150,12 +150,12 @@ def rhythm(spark, d):
 
 
 def assembled_sizes(spark, d):
-    s = V.assembled(phrases(spark, d))
+    s = V.assembled(segments(spark, d))
     return s.groupBy(F.size("melody").alias("melody"), F.size("rhythm").alias("rhythm"), F.size("combined").alias("combined")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def tokenize(spark, d):
-    s = phrases(spark, d)
+    s = segments(spark, d)
     t = V.tokens(F.col("notes"))
     return s.select("score_id", "segment", F.array_join(F.transform(t, lambda x: F.array_join(x.cast("array<string>"), ".")), " ").alias("tokens"))
 
@@ -186,7 +186,7 @@ _ABS = "list_transform(iv, lambda x: abs(x)::double)"
 ORACLE = {
     "notes_derive": f"with {_N} select score_id, part, p, round(o, 6) as o, round(d, 6) as d, measure from n",
     "gap_segments": f"""with {_SEG}, g2 as (select score_id, segment, min(o) as a, max(o + d) as b, count(*)::int as n from s group by all)
-      select score_id, segment, round(a, 6) as start_q, round(b, 6) as end_q, n as n_notes, substr(sha1(printf('%d|part|0|%.6f|%.6f', score_id, round(a, 6), round(b, 6))), 1, 16) as phrase_id from g2""",
+      select score_id, segment, round(a, 6) as start_q, round(b, 6) as end_q, n as n_notes, substr(sha1(printf('%d|part|0|%.6f|%.6f', score_id, round(a, 6), round(b, 6))), 1, 16) as segment_id from g2""",
     "local_median": f"with {_EV} select score_id, round(o, 6) as o, round(med, 6) as local_median from m",
     "measure_length": f"""with {_N}, l as (select score_id, o, d, p, lead(measure) over ({_W}) - measure as dm, lead(o) over ({_W}) - o as dq from n),
       g as (select score_id, list_sort(list(dq / dm) filter (where dm > 0 and dq > 0)) as l, count(*) as n, max_by(o + d, o) - min(o) as span from l group by 1)
@@ -226,7 +226,7 @@ ORACLE = {
       union all select 'skyline', 'skyline', count(*), count(distinct score_id), round(sum(d), 4) from sk2 having count(*) > 0""",
     "render_events": f"with {_N} select score_id, p, round_even(o * 480, 0)::bigint as tick, 1 as note_on from n union all select score_id, p, round_even((o + d) * 480, 0)::bigint, 0 from n",
     "roll_extent": f"with {_N} select score_id, min(p) - 2 as low, max(p) + 2 as high, round(max(o + d), 6) as end_q from n group by 1",
-    "extraction_summary": f"""with {_PH} select (select count(*) from q) as phrases, (select count(distinct score_id) from q) as scores, (select round(median(bars), 6) from q) as median_bars,
+    "extraction_summary": f"""with {_PH} select (select count(*) from q) as segments, (select count(distinct score_id) from q) as scores, (select round(median(bars), 6) from q) as median_bars,
       (select round(avg((len(ps) >= 8)::int), 6) from q) as long_share, (select median(k)::double from (select count(*) as k from q group by score_id)) as median_per_score""",
     "histogram_bars": f"""with {_PH}, b as (select min(bars) as lo, max(bars) as hi from q)
       select least(19, floor((bars - lo) / (hi - lo) * 20))::int as bin, count(*) as n from q, b group by 1""",

@@ -15,8 +15,8 @@ from lineweave.plans.catalog_queries import table
 _r = note_queries._r
 
 
-def phrase_vectors(spark, d) -> DataFrame:
-    """embeddings as phrases: fifty scores, three parts, lengths of one to eight bars, four bars between starts."""
+def segment_vectors(spark, d) -> DataFrame:
+    """embeddings as segments: fifty scores, three parts, lengths of one to eight bars, four bars between starts."""
     v = F.col("vec_id")
     return table(spark, d, "embeddings").select(
         v.alias("id"), (v % 50).alias("score_id"), (v % 3).alias("part_id"), F.col("label").alias("instrument"), (F.lit(1) + v % 8).cast("double").alias("bars"),
@@ -31,48 +31,52 @@ _P = """p as materialized (select vec_id as id, vec_id % 50 as score_id, vec_id
   from (select *, ('0x' || substr(sha1('42|' || vec_id % 50), 1, 8))::bigint / 4294967295.0::double as x from embeddings))"""
 
 
-def _knn(spark, d, most, k=10, **how):
-    p = phrase_vectors(spark, d)
-    return vectors.nearest(p, p.where(F.col("id") < most), k, **how).select("query_id", "rank", "id", _r("similarity", "similarity"))
+#: The stated query set of searches: every row whose id is divisible by fifty, against all rows.
+ASKED = "id % 50 = 0"
 
 
-def _knn_sql(most, where, k=10):
-    return f"""with {_P}, s as (select q.id as query_id, c.id, round(list_dot_product(q.v, c.v), 9) as s from p q join p c on q.id <> c.id and q.id < {most} and {where}),
+def _knn(spark, d, asked=ASKED, k=10, **how):
+    p = segment_vectors(spark, d)
+    return vectors.nearest(p, p.where(asked), k, **how).select("query_id", "rank", "id", _r("similarity", "similarity"))
+
+
+def _knn_sql(where, asked="q.id % 50 = 0", k=10):
+    return f"""with {_P}, s as (select q.id as query_id, c.id, round(list_dot_product(q.v, c.v), 9) as s from p q join p c on q.id <> c.id and {asked} and {where}),
       r as (select *, row_number() over (partition by query_id order by s desc, id) as rank from s) select query_id, rank::int as rank, id, round(s, 6) as similarity from r where rank <= {k}"""
 
 
 def knn_cosine(spark, d):
-    return _knn(spark, d, 50)
+    return _knn(spark, d)
 
 
 def knn_all(spark, d):
-    return _knn(spark, d, 1 << 40)
+    return _knn(spark, d, "true")
 
 
 def knn_same_label(spark, d):
-    return _knn(spark, d, 100, 5, same_instrument=True)
+    return _knn(spark, d, k=5, same_instrument=True)
 
 
 def knn_length_band(spark, d):
-    return _knn(spark, d, 100, 5, ratio=(0.75, 1.33), same_split=True)
+    return _knn(spark, d, k=5, ratio=(0.75, 1.33), same_split=True)
 
 
 def mine_pairs(spark, d):
-    return vectors.mine_pairs(phrase_vectors(spark, d), 0.0, (0.5, 2.0), 5, 2).select("id_a", "id_b", "score_id", _r("similarity", "similarity"), _r("length_ratio", "length_ratio"))
+    return vectors.mine_pairs(segment_vectors(spark, d), 0.0, (0.5, 2.0), 5, 2).select("id_a", "id_b", "score_id", _r("similarity", "similarity"), _r("length_ratio", "length_ratio"))
 
 
 def mine_pairs_reciprocal(spark, d):
-    return vectors.mine_pairs(phrase_vectors(spark, d), 0.0, (0.5, 2.0), 5, 2, reciprocal=True).select("id_a", "id_b", _r("similarity", "similarity"))
+    return vectors.mine_pairs(segment_vectors(spark, d), 0.0, (0.5, 2.0), 5, 2, reciprocal=True).select("id_a", "id_b", _r("similarity", "similarity"))
 
 
 def pair_adjacency(spark, d):
-    p = phrase_vectors(spark, d)
+    p = segment_vectors(spark, d)
     s = vectors.symmetric(vectors.mine_pairs(p, 0.0, (0.5, 2.0), 5, 2))
     return s.select("id", F.array_join(F.col("mates").cast("array<string>"), ",").alias("mates"))
 
 
 def positive_cosine(spark, d):
-    p = phrase_vectors(spark, d)
+    p = segment_vectors(spark, d)
     pairs = vectors.mine_pairs(p, 0.0, (0.5, 2.0), 5, 2).select("id_a", "id_b")
     return vectors.pair_cosines(pairs, p).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
 
@@ -83,7 +87,7 @@ def _centroids(spark, d):
 
 
 def assigned(spark, d) -> DataFrame:
-    a = vectors.assign(phrase_vectors(spark, d), _centroids(spark, d), "id", "vector")
+    a = vectors.assign(segment_vectors(spark, d), _centroids(spark, d), "id", "vector")
     return vectors.ranked(a, "id").withColumn("token", X.token_name("M", F.col("cluster_id")))
 
 
@@ -119,13 +123,13 @@ def effective_vocab(spark, d):
 
 
 def ari_nmi(spark, d):
-    a = assigned(spark, d).join(phrase_vectors(spark, d).select("id", "label"), "id")
+    a = assigned(spark, d).join(segment_vectors(spark, d).select("id", "label"), "id")
     return _rounded(diagnostics.agreement(a, "label", "cluster_id"))
 
 
 def multi_resolution(spark, d):
     a = assigned(spark, d).select("id", F.col("cluster_id").alias("child"))
-    p = phrase_vectors(spark, d).select("id", (F.col("label") % 5).alias("parent"))
+    p = segment_vectors(spark, d).select("id", (F.col("label") % 5).alias("parent"))
     return _rounded(diagnostics.multi_resolution(p, a, "id", "parent", "child"))
 
 
@@ -143,39 +147,37 @@ def member_samples(spark, d):
 
 
 def hard_negative(spark, d):
-    a = assigned(spark, d).join(phrase_vectors(spark, d).select("id", "score_id", F.col("bars").alias("n_bars")), "id").withColumn("n_notes", F.col("id") % 17)
-    return dataset.hard_negatives(a, a.where("id = 42"))
+    a = assigned(spark, d).join(segment_vectors(spark, d).select("id", "score_id", F.col("bars").alias("n_bars")), "id").withColumn("n_notes", F.col("id") % 17)
+    return dataset.hard_negatives(a, a.where(ASKED))
 
 
 def neighbor_preservation(spark, d):
-    p = phrase_vectors(spark, d)
-    near = vectors.nearest(p, p.where("id < 50"), 10)
+    p = segment_vectors(spark, d)
+    near = vectors.nearest(p, p.where(ASKED), 10)
     return _rounded(vectors.preservation(near, assigned(spark, d), "id", 10, 3))
 
 
 def preservation_means(spark, d):
-    p = neighbor_preservation(spark, d)
-    return _rounded(p.agg(F.count(F.lit(1)).alias("queries"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("overlap_same", "jaccard_same", "overlap_near", "jaccard_near")]))
+    return _rounded(vectors.preservation_means(neighbor_preservation(spark, d)))
 
 
 def retrieval_metrics(spark, d):
-    p = phrase_vectors(spark, d)
-    near = vectors.nearest(p, p.where("id < 100"), 10, other_score=False)
-    relevant = p.where("id < 100").select(F.col("id").alias("query_id"), "label").join(p.select("id", "label"), "label").where("id != query_id").select("query_id", "id")
-    return _rounded(vectors.retrieval_metrics(near, relevant))
+    p = segment_vectors(spark, d)
+    near = vectors.nearest(p, p.where(ASKED), 10, other_score=False)
+    return _rounded(vectors.retrieval_metrics(near, p.select("id", "label")))
 
 
 def rerank(spark, d):
-    p = phrase_vectors(spark, d)
-    near = vectors.nearest(p, p.where("id < 20"), 50)
+    p = segment_vectors(spark, d)
+    near = vectors.nearest(p, p.where(ASKED), 50)
     short = p.select("id", X.unit(F.slice("vector", 1, 16)).alias("v"))
     second = near.select("query_id", "id").join(short, "id").join(short.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "id", F.round(X.dot(F.col("v"), F.col("q")), 9).alias("second"))
     return vectors.reranked(near, second, 10).select("query_id", "rerank", "id", _r("second", "second"))
 
 
 def contrastive_loss(spark, d):
-    p = phrase_vectors(spark, d).where("id < 64")
-    return _rounded(vectors.contrastive_loss(p.select("id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")), 0.1))
+    p = segment_vectors(spark, d)
+    return _rounded(vectors.contrastive_loss(p.select(F.floor(F.col("id") / 64).alias("batch"), "id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")), 0.1))
 
 
 def vector_validity(spark, d):
@@ -232,7 +234,7 @@ def joint_diversity(spark, d):
 
 def concentration(spark, d):
     r = _rows(spark, d).withColumn("composer", F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 3))
-    return _rounded(diagnostics.concentration(r.where("user_id < 40"), "rhythm", "user_id", "composer"))
+    return _rounded(diagnostics.concentration(r, "rhythm", "user_id", "composer"))
 
 
 def token_export(spark, d):
@@ -294,41 +296,41 @@ def segmentation_input(notes: DataFrame) -> DataFrame:
 
 
 def encoder_dataset(spark, d):
-    ph = note_queries.phrases(spark, d).withColumn("phrase_id", F.format_string("%d-%d", "score_id", "segment")).withColumn("license", F.col("score_id") % 10 != 0).withColumn("extraction_mode", F.when(F.col("score_id") % 7 == 0, "skyline").otherwise("explicit_voice"))
+    ph = note_queries.segments(spark, d).withColumn("segment_id", F.format_string("%d-%d", "score_id", "segment")).withColumn("license", F.col("score_id") % 10 != 0).withColumn("extraction_mode", F.when(F.col("score_id") % 7 == 0, "skyline").otherwise("explicit_voice"))
     p = dataset.prepared(ph, 5, 40, 1.5, 12.0)
-    return p.select("phrase_id", "split", "reason", F.size(F.coalesce("tokens", F.array().cast("array<array<int>>"))).alias("token_length"))
+    return p.select("segment_id", "split", "reason", F.size(F.coalesce("tokens", F.array().cast("array<array<int>>"))).alias("token_length"))
 
 
 def batches(spark, d):
-    p = phrase_vectors(spark, d).select("id", "score_id")
+    p = segment_vectors(spark, d).select("id", "score_id")
     b = dataset.score_aware_batches(p, "score_id", "id", 16)
-    return b.select("id", "score_id", F.col("batch.round").alias("round"), F.col("batch.part").alias("part"))
+    return b.select("id", "score_id", "batch")
 
 
 def augmented_tokens(spark, d):
-    ph = note_queries.phrases(spark, d)
+    ph = note_queries.segments(spark, d)
     from lineweave.operators.features import tokens
 
-    t = ph.select(F.format_string("%d-%d", "score_id", "segment").alias("phrase_id"), tokens(F.col("notes")).alias("tokens"))
-    a = dataset.augmented(t, "phrase_id", "tokens")
-    return a.select("phrase_id", F.size("tokens").alias("n"), F.size(F.filter(F.flatten("tokens"), lambda x: x == 1)).alias("masked"))
+    t = ph.select(F.format_string("%d-%d", "score_id", "segment").alias("segment_id"), tokens(F.col("notes")).alias("tokens"))
+    a = dataset.augmented(t, "segment_id", "tokens")
+    return a.select("segment_id", F.size("tokens").alias("n"), F.size(F.filter(F.flatten("tokens"), lambda x: x == 1)).alias("masked"))
 
 
 def codebook_build(spark, d):
-    made = codebook.build(phrase_vectors(spark, d), "id", "vector", 8)
+    made = codebook.build(segment_vectors(spark, d), "id", "vector", 8)
     return _rounded(made["cluster_stats"])
 
 
 def codebook_sweep(spark, d):
-    return _rounded(codebook.sweep(phrase_vectors(spark, d), "id", "vector", [4, 8]))
+    return _rounded(codebook.sweep(segment_vectors(spark, d), "id", "vector", [4, 8]))
 
 
 def codebook_stability(spark, d):
-    return _rounded(codebook.stability(phrase_vectors(spark, d), "id", "vector", 4, [42, 43]))
+    return _rounded(codebook.stability(segment_vectors(spark, d), "id", "vector", 4, [42, 43]))
 
 
 def principal_components(spark, d):
-    p = phrase_vectors(spark, d).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    p = segment_vectors(spark, d).select("id", F.col("vector").cast("array<double>").alias("vector"))
     pc = codebook.components(p, "id", "vector", 8)
     return pc.select(F.posexplode("components").alias("component", "x")).groupBy("component").agg(F.round(F.var_pop("x"), 6).alias("variance"))
 
@@ -337,8 +339,8 @@ def ann_neighbors(spark, d):
     """V4: the approximate index's neighbours of fifty queries; recall is measured in the tests."""
     from lineweave.operators import ann
 
-    p = phrase_vectors(spark, d)
-    return ann.approximate(ann.build(p), p, p.where("id < 50"), 10).select("query_id", "rank", "id", _r("similarity", "similarity"))
+    p = segment_vectors(spark, d)
+    return ann.approximate(ann.build(p), p, p.where(ASKED), 10).select("query_id", "rank", "id", _r("similarity", "similarity"))
 
 
 def as_of_neighbors(spark, d):
@@ -350,11 +352,11 @@ def as_of_neighbors(spark, d):
     return e.withColumn("last_view", last).withColumn("next_click", nxt).where("melody = 'purchase'").select("event_id", "last_view", "next_click")
 
 
-def session_phrases(spark, d):
-    """Gap-based phrases of a live stream, on a bounded table: sessions with twelve hours of silence between."""
+def session_segments(spark, d):
+    """Gap-based segments of a live stream, on a bounded table: sessions with twelve hours of silence between."""
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
     s = e.groupBy("user_id", F.session_window("t", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("phrases"), F.max("n").alias("longest"))
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("segments"), F.max("n").alias("longest"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -362,7 +364,7 @@ QUERIES = {f.__name__: f for f in (
     effective_vocab, ari_nmi, multi_resolution, codebook_comparison, member_samples, hard_negative, neighbor_preservation, preservation_means, retrieval_metrics, rerank, contrastive_loss,
     vector_validity, token_sequences, bigram_prob, trigram_counts, unigram_counts, turn_bigrams, sequence_stats, joint_tokens, joint_top_pairs, joint_diversity, concentration, token_export,
     wilson_votes, vote_total, cluster_reviews, trial_status, combined_status, segmented_lines, encoder_dataset, batches, augmented_tokens, codebook_build, codebook_sweep,
-    codebook_stability, principal_components, ann_neighbors, as_of_neighbors, session_phrases,
+    codebook_stability, principal_components, ann_neighbors, as_of_neighbors, session_segments,
 )}
 
 _MINE = f"""{_P}, s as (select a.id as id_a, b.id as id_b, a.score_id, round(list_dot_product(a.v, b.v), 9) as s, b.bars / greatest(1e-6::double, a.bars) as ratio from p a
@@ -393,8 +395,8 @@ _LO, _HI = _wilson("same", "decisive")
 _TRI = f"""tu as (select * from (select *, row_number() over (partition by doc_id % 150 order by doc_id) as k from v) where k = 1),
 ts as (select count(*) as trials, count_if(not tie and not poor) as decisive, count_if(not tie and not poor and won) as same from tu), tw as (select *, greatest(0, decisive - same) as different, {_LO} as lo, {_HI} as hi from ts),
 tx as (select *, case when decisive >= 50 and lo > 0.5 then 'pass' when decisive >= 50 and hi < 0.5 then 'fail' else 'inconclusive' end as status from tw)"""
-_NEAR10 = """nn as (select query_id, id, s, row_number() over (partition by query_id order by s desc, id) as rank from (select q.id as query_id, c.id, round(list_dot_product(q.v, c.v), 9) as s from p q join p c on q.id <> c.id and q.id < {most} and {where}))"""
-_PRES = f"""{_A}, {_NEAR10.format(most=50, where='q.score_id <> c.score_id')}, cont as (select query_id, list(id) as l from nn where rank <= 10 group by 1),
+_NEAR10 = """nn as (select query_id, id, s, row_number() over (partition by query_id order by s desc, id) as rank from (select q.id as query_id, c.id, round(list_dot_product(q.v, c.v), 9) as s from p q join p c on q.id <> c.id and q.id % 50 = 0 and {where}))"""
+_PRES = f"""{_A}, {_NEAR10.format(where='q.score_id <> c.score_id')}, cont as (select query_id, list(id) as l from nn where rank <= 10 group by 1),
 tops as (select cluster_id from a group by 1 order by max(cosine) desc, cluster_id limit 3), nearl as (select * from a where cluster_id in (select cluster_id from tops) order by cosine desc, id limit 11),
 same as (select q.query_id, list_slice(list(a.id order by a.cosine desc, a.id), 1, 10) as l from cont q join a qa on qa.id = q.query_id join a on a.cluster_id = qa.cluster_id and a.id <> q.query_id group by 1),
 near as (select q.query_id, list_slice(list(n.id order by n.cosine desc, n.id), 1, 10) as l from cont q, nearl n where n.id <> q.query_id group by 1),
@@ -404,10 +406,10 @@ _Q = ", ".join(f"round(quantile_cont(size, {q}), 6) as q{int(q * 100):02d}" for
 _H = "-sum(n / t * ln(greatest(n / t, 1e-12::double)))"
 
 ORACLE = {
-    "knn_cosine": _knn_sql(50, "q.score_id <> c.score_id"),
-    "knn_all": _knn_sql(1 << 40, "q.score_id <> c.score_id"),
-    "knn_same_label": _knn_sql(100, "q.score_id <> c.score_id and q.instrument = c.instrument", 5),
-    "knn_length_band": _knn_sql(100, "q.score_id <> c.score_id and q.split = c.split and c.bars / greatest(1e-6::double, q.bars) between 0.75 and 1.33", 5),
+    "knn_cosine": _knn_sql("q.score_id <> c.score_id"),
+    "knn_all": _knn_sql("q.score_id <> c.score_id", "true"),
+    "knn_same_label": _knn_sql("q.score_id <> c.score_id and q.instrument = c.instrument", k=5),
+    "knn_length_band": _knn_sql("q.score_id <> c.score_id and q.split = c.split and c.bars / greatest(1e-6::double, q.bars) between 0.75 and 1.33", k=5),
     "mine_pairs": f"with {_MINE} select id_a, id_b, score_id, round(s, 6) as similarity, round(ratio, 6) as length_ratio from mined",
     "mine_pairs_reciprocal": f"with {_MINE} select a.id_a, a.id_b, round(a.s, 6) as similarity from mined a join mined b on a.id_a = b.id_b and a.id_b = b.id_a",
     "pair_adjacency": f"with {_MINE}, e as (select id_a, id_b from mined union select id_b, id_a from mined) select id_a as id, string_agg(id_b::varchar, ',' order by id_b) as mates from e group by 1",
@@ -431,19 +433,21 @@ ORACLE = {
     "codebook_comparison": f"""with {_A}, c1 as (select token, count(*)::double as n from a group by 1), c2 as (select cluster_id % 5, count(*)::double as n from a group by 1), t as (select count(*)::double as t from a)
       select 10 as k, round((select avg(1 - cosine) from a), 6) as quantization_error, round((select {_H} from c1, t), 6) as entropy, true as best union all select 5, round((select avg(1 - second_cosine) from a), 6), round((select {_H} from c2, t), 6), false""",
     "member_samples": f"""with {_A} (select 'random' as how, id from a order by sha1('42|' || id), id limit 7) union all (select 'centroid-nearest', id from a order by cosine desc, id limit 7) union all (select 'low-confidence', id from a order by margin, cosine, id limit 7)""",
-    "hard_negative": f"""with {_A}, r as (select a.id, a.token, p.score_id, p.bars, a.id % 17 as nn from a join p using (id)), q as (select * from r where id = 42)
-      select r.id, r.token, r.score_id from r, q where r.token <> q.token and r.score_id <> q.score_id order by abs(r.bars - q.bars), abs(r.nn - q.nn), sha1('42|' || r.id) limit 1""",
+    "hard_negative": f"""with {_A}, r as (select a.id, a.token, p.score_id, p.bars, a.id % 17 as nn from a join p using (id)), q as (select * from r where id % 50 = 0)
+      select query_id, id, token, score_id from (select q.id as query_id, r.id, r.token, r.score_id, row_number() over (partition by q.id order by abs(r.bars - q.bars), abs(r.nn - q.nn), sha1('42|' || r.id)) as k
+        from q join r on r.token <> q.token and r.score_id <> q.score_id) where k = 1""",
     "neighbor_preservation": f"with {_PRES} select query_id, overlap_same, round(jaccard_same, 6) as jaccard_same, overlap_near, round(jaccard_near, 6) as jaccard_near from pres",
     "preservation_means": f"with {_PRES} select count(*) as queries, round(avg(overlap_same), 6) as overlap_same, round(avg(round(jaccard_same, 6)), 6) as jaccard_same, round(avg(overlap_near), 6) as overlap_near, round(avg(round(jaccard_near, 6)), 6) as jaccard_near from pres",
-    "retrieval_metrics": f"""with {_P}, {_NEAR10.format(most=100, where='true')}, h as (select n.query_id, min(case when c.label = q.label then n.rank end) as f from nn n join p q on q.id = n.query_id join p c on c.id = n.id where n.rank <= 10 group by 1)
+    "retrieval_metrics": f"""with {_P}, {_NEAR10.format(where='true')}, h as (select n.query_id, min(case when c.label = q.label then n.rank end) as f from nn n join p q on q.id = n.query_id join p c on c.id = n.id where n.rank <= 10 group by 1)
       select count(*) as queries, round(avg(coalesce((f <= 1)::int, 0)), 6) as recall_1, round(avg(coalesce((f <= 5)::int, 0)), 6) as recall_5, round(avg(coalesce((f <= 10)::int, 0)), 6) as recall_10, round(avg(coalesce(1.0::double / f, 0)), 6) as mrr from h""",
-    "rerank": f"""with {_P}, {_NEAR10.format(most=20, where='q.score_id <> c.score_id')}, u as (select id, list_transform(v[1:16], lambda y: y / greatest(sqrt(list_dot_product(v[1:16], v[1:16])), 1e-8::double)) as u from p),
+    "rerank": f"""with {_P}, {_NEAR10.format(where='q.score_id <> c.score_id')}, u as (select id, list_transform(v[1:16], lambda y: y / greatest(sqrt(list_dot_product(v[1:16], v[1:16])), 1e-8::double)) as u from p),
       s as (select n.query_id, n.id, round(list_dot_product(a.u, b.u), 9) as s from nn n join u a on a.id = n.query_id join u b on b.id = n.id where n.rank <= 50)
       select * from (select query_id, row_number() over (partition by query_id order by s desc, id)::int as rerank, id, round(s, 6) as second from s) where rerank <= 10""",
-    "contrastive_loss": """with u as (select vec_id as i, embedding[1:32]::double[] as a, embedding[33:64]::double[] as b from embeddings where vec_id < 64),
-      s as (select l.i, r.i as j, list_dot_product(l.a, r.b) / sqrt(list_dot_product(l.a, l.a)) / sqrt(list_dot_product(r.b, r.b)) / 0.1::double as s from u l, u r),
-      x as (select avg(l) as l from (select ln(sum(exp(s))) - max(case when i = j then s end) as l from s group by i)), y as (select avg(l) as l from (select ln(sum(exp(s))) - max(case when i = j then s end) as l from s group by j))
-      select round((x.l + y.l) / 2, 6) as loss from x, y""",
+    "contrastive_loss": """with u as (select vec_id // 64 as batch, vec_id as i, embedding[1:32]::double[] as a, embedding[33:64]::double[] as b from embeddings),
+      s as (select batch, l.i, r.i as j, list_dot_product(l.a, r.b) / sqrt(list_dot_product(l.a, l.a)) / sqrt(list_dot_product(r.b, r.b)) / 0.1::double as s from u l join u r using (batch)),
+      x as (select batch, avg(l) as l from (select batch, ln(sum(exp(s))) - max(case when i = j then s end) as l from s group by batch, i) group by 1),
+      y as (select batch, avg(l) as l from (select batch, ln(sum(exp(s))) - max(case when i = j then s end) as l from s group by batch, j) group by 1)
+      select batch, round((x.l + y.l) / 2, 6) as loss from x join y using (batch)""",
     "vector_validity": "select vec_id from embeddings where vec_id % 7 not in (0, 1, 2)",
     "token_sequences": f"with {_E} select user_id, count(*)::int as sequence_length, string_agg(melody, ' ' order by us, event_id) as melody, string_agg(rhythm, ' ' order by us, event_id) as rhythm from r group by 1",
     "bigram_prob": f"with {_E}, b as (select melody as t1, lead(melody) over (partition by user_id order by us, event_id) as t2 from r), c as (select t1, t2, count(*) as n from b where t2 is not null group by all) select t1, t2, n, round(n / (sum(n) over (partition by t1))::double, 6) as p from c",
@@ -456,7 +460,7 @@ ORACLE = {
         round(s, 6) as second, (select count(*) from y) as second_kinds, round(f + s - j, 6) as information from h""",
     "joint_top_pairs": f"with {_E} select melody, rhythm, count(*) as n from r group by all order by n desc, melody, rhythm limit 20",
     "joint_diversity": f"""with {_E}, d as (select distinct melody, rhythm from r) (select 'melody' as side, melody as token, count(*) as kinds from d group by 2 order by 3 desc, 2 limit 20) union all (select 'rhythm', rhythm, count(*) from d group by 2 order by 3 desc, 2 limit 20)""",
-    "concentration": f"""with {_E}, q as (select rhythm as token, user_id as s, case when user_id % 4 <> 0 then user_id % 3 end as c from r where user_id < 40), sc as (select token, s, count(*)::double as n from q group by all), cc as (select token, c, count(*)::double as n from q where c is not null group by all),
+    "concentration": f"""with {_E}, q as (select rhythm as token, user_id as s, case when user_id % 4 <> 0 then user_id % 3 end as c from r), sc as (select token, s, count(*)::double as n from q group by all), cc as (select token, c, count(*)::double as n from q where c is not null group by all),
       a as (select token, sum(n)::bigint as n, count(*) as scores, max(n) / sum(n) as ss from sc group by 1), b as (select token, count(*) as composers, max(n) / sum(n) as cs from cc group by 1)
       select token, n, scores, coalesce(composers, 0) as composers, round(ss, 6) as score_share, round(coalesce(cs, 0), 6) as composer_share, ss >= 0.5 or coalesce(cs, 0) >= 0.5 as flagged from a left join b using (token)""",
     "token_export": f"""with {_A} select a.id, a.token as melody_token, printf('R_%04d', l.quality) as rhythm_token, d.lang, case when l.doc_id % 3 = 0 then 'C_0001' end as combined_token from a join labels l on l.doc_id = a.id left join documents d on d.doc_id = a.id""",
@@ -467,12 +471,16 @@ ORACLE = {
     "combined_status": f"""with {_V}, {_REV}, {_TRI} select rx.status as reviews, tx.status as trials, case when rx.status = 'pass' and tx.status = 'pass' then 'pass' when rx.status = 'fail' or tx.status = 'fail' then 'fail' else 'inconclusive' end as status from rx, tx""",
     "encoder_dataset": f"""with {note_queries._PH}, z as (select *, ('0x' || substr(sha1('42|' || score_id), 1, 8))::bigint / 4294967295.0::double as x,
       case when score_id % 10 = 0 then 'license' when score_id % 7 = 0 then 'mode' when len(ps) < 5 then 'too_few_notes' when len(ps) > 40 then 'too_many_notes' when bars < 1.5 then 'too_short' when bars > 12 then 'too_long' end as reason from q)
-      select score_id || '-' || segment as phrase_id, case when x < 0.8::double then 'train' when x < 0.8::double + 0.1::double then 'validation' else 'test' end as split, reason, case when reason is null then len(ps) else 0 end::int as token_length from z""",
-    "batches": f"""with {_P}, t as (select id, score_id, row_number() over (partition by score_id order by sha1('42|' || id), id) as r from p), s as (select *, row_number() over (partition by r order by sha1('42|' || id), id) as k from t)
-      select id, score_id, (r - 1)::int as round, ((k - 1) // 16)::int as part from s""",
+      select score_id || '-' || segment as segment_id, case when x < 0.8::double then 'train' when x < 0.8::double + 0.1::double then 'validation' else 'test' end as split, reason, case when reason is null then len(ps) else 0 end::int as token_length from z""",
+    "batches": f"""with recursive {_P}, c as (select score_id, count(*) as n from p group by 1),
+      o as (select id, score_id, row_number() over (order by n, score_id, sha1('42|' || id), id) as i from p join c using (score_id)), t as (select count(*) as scores from c),
+      go(i, id, score_id, batch, held, seen) as (select i, id, score_id, 0::bigint, 1, [score_id] from o where i = 1 union all
+        select o.i, o.id, o.score_id, case when x.new then g.batch + 1 else g.batch end, case when x.new then 1 else g.held + 1 end, case when x.new then [o.score_id] else list_distinct(g.seen || [o.score_id]) end
+        from go g join o on o.i = g.i + 1, t, lateral (select g.held >= 16 or (list_contains(g.seen, o.score_id) and len(g.seen) < t.scores) as new) x)
+      select id, score_id, batch from go""",
     "as_of_neighbors": f"""with {_E} select event_id, last_view, next_click from (select event_id, melody, last_value(case when melody = 'view' then us end ignore nulls) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding) as last_view,
       first_value(case when melody = 'click' then us end ignore nulls) over (partition by user_id order by us, event_id rows between 1 following and unbounded following) as next_click from r) where melody = 'purchase'""",
-    "session_phrases": """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 12 hours or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
+    "session_segments": """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 12 hours or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
       s as (select user_id, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as s from g), c as (select user_id, s, count(*) as n from s group by all)
-      select user_id, count(*) as phrases, max(n) as longest from c group by 1""",
+      select user_id, count(*) as segments, max(n) as longest from c group by 1""",
 }

@@ -2,14 +2,4 @@
 
 from __future__ import annotations
 
-NOTES = "score_id string, part_id string, voice_id string, extraction_mode string, note_idx int, p int, o double, d double, v int, measure int"
-PHRASES = (
-    "phrase_id string, score_id string, part_id string, part_name string, instrument_name string, voice_id string, extraction_mode string, start_q double, end_q double, "
-    "start_measure int, end_measure int, bar_length_estimate double, n_bars double, detected_key string, detected_mode string, left_boundary_score double, "
-    "right_boundary_score double, left_boundary_reasons map<string,double>, right_boundary_reasons map<string,double>, n_notes int, notes array<struct<p:int,o:double,d:double,v:int>>"
-)
-EMBEDDINGS = "phrase_id string, space string, embedding array<float>"
-TOKENS = "phrase_id string, score_id string, split string, token_length int, phrase_duration double, tokens array<array<int>>"
-PAIRS = "phrase_id_a string, phrase_id_b string, score_id string, split string, similarity double, length_ratio double"
-ASSIGNMENTS = "phrase_id string, cluster_id int, token string, cosine double, second_cosine double, margin double, rank_in_cluster int"
 CATALOG = "score_id string, path string, mxl string, title string, song_name string, artist_name string, composer_name string, genres string, rating string, n_ratings string, n_favorites string, n_views string, `subset:no_license_conflict` string, `subset:deduplicated` string, `subset:rated` string, `subset:rated_deduplicated` string"

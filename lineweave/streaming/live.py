@@ -1,4 +1,4 @@
-"""Streaming counterparts (survey 2.12): votes as they arrive, phrases of a live note stream, incremental selection."""
+"""Streaming counterparts (survey 2.12): votes as they arrive, segments of a live note stream, incremental selection."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ def write_vote_summaries(stream: DataFrame, path: str, checkpoint: str, by: list
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_phrases(stream: DataFrame, key: str, time: str, silence: str = "12 hours", late: str = "1 hour") -> DataFrame:
-    """Gap-based phrases of a note stream: sessions by key that end after `silence`."""
+def live_segments(stream: DataFrame, key: str, time: str, silence: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """Gap-based segments of a note stream: sessions by key that end after `silence`."""
     return (
         stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(key, F.session_window(time, silence).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_notes")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_notes")

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lineweave.operators import features as V
@@ -16,8 +17,8 @@ LINE = N.Line(["score_id"])
 NOTE = "array<struct<p:int,o:double,d:double>>"
 
 
-def vectors(spark, make, *phrases):
-    rows = [(k, [(p, float(o), float(d)) for p, o, d in ph]) for k, ph in enumerate(phrases)]
+def vectors(spark, make, *segments):
+    rows = [(k, [(p, float(o), float(d)) for p, o, d in ph]) for k, ph in enumerate(segments)]
     df = spark.createDataFrame(rows, f"k int, notes {NOTE}")
     return [None if r[0] is None else np.array(r[0], float) for r in df.orderBy("k").select(make(F.col("notes"))).collect()]
 
@@ -45,14 +46,14 @@ def test_transposition_tempo_and_reversal(spark):
 
 def test_contour_is_linear_interpolation(spark):
     rng = random.Random(1)
-    phrases = []
+    segments = []
     for _ in range(10):
         o, ph = 0.0, []
         for _ in range(rng.randrange(1, 9)):
             ph.append((rng.randrange(40, 80), o, rng.choice([0.25, 0.5, 1.0])))
             o += rng.choice([0.25, 0.5, 1.5])
-        phrases.append(ph)
-    for ph, got in zip(phrases, vectors(spark, V.contour, *phrases), strict=True):
+        segments.append(ph)
+    for ph, got in zip(segments, vectors(spark, V.contour, *segments), strict=True):
         t, p = [o for _, o, _ in ph], np.array([p for p, _, _ in ph], float)
         want = np.interp(np.linspace(0, max(o + d for _, o, d in ph), 32), t, p - p[0])
         assert np.allclose(got, want)
@@ -119,7 +120,7 @@ def test_best_cuts_against_all_segmentations():
                 held = sum(times[i] - 1e-6 <= o < times[j] + 1e-6 for o in onsets)
                 if held < limits.min_notes and j != n - 1:
                     return None
-                total += gain[j] - segment.penalty((times[j] - times[i]) / 2.0, limits) - (limits.split_penalty if i else 0)
+                total += gain[j] - float(segment.penalties(np.array([(times[j] - times[i]) / 2.0]), limits)[0]) - (limits.split_penalty if i else 0)
             return total
 
         options = [w for k in range(n - 1) for mid in itertools.combinations(range(1, n - 1), k) if (w := worth([0, *mid, n - 1])) is not None]
@@ -147,3 +148,12 @@ def test_measures_medians_candidates(spark):
         near = sorted(x for x in d[max(0, k - 3) : k + 4] if x > 0)
         want.append(near[len(near) // 2])
     assert got == want
+
+
+def test_notes_that_still_sound_are_no_previous_notes(spark):
+    rows = [("a", 0.0, 60, 4.0, 1), ("a", 1.0, 62, 0.5, 1), ("a", 2.0, 64, 0.5, 1), ("a", 6.0, 59, 1.0, 2)]
+    ev = {r.o: r for r in N.boundary_evidence(line(spark, rows), LINE, tonic=F.lit(0)).collect()}
+    assert set(ev) == {2.0, 6.0}  # nothing has ended by 1.0
+    assert ev[2.0].rest_before == 0.6 and ev[2.0].leap_after == 0.0  # after the note at 1.0
+    # at 6.0 three notes have ended; the last of them in line order is that at 2.0, before it that at 1.0
+    assert ev[6.0].rest_before == 1.0 and ev[6.0].leap_after == pytest.approx(0.3) and ev[6.0].metric_strength == 0.5

@@ -20,7 +20,7 @@ from lineweave.streaming import live
 def test_config(tmp_path):
     c = config.overridden(config.DEFAULTS, {"catalog.max_scores": 5, "catalog.sampling": None, "new.key": 1})
     assert c["catalog"]["max_scores"] == 5 and c["catalog"]["sampling"] == "random" and config.DEFAULTS["catalog"]["max_scores"] == 10000
-    assert config.deep_get(c, "new.key") == 1 and config.deep_get(c, "a.b", 7) == 7
+    assert c["new"] == {"key": 1} and config.overridden(c, {"seed": 7})["seed"] == 7 and config.overridden(c, {"new.a.b": 2})["new"] == {"key": 1, "a": {"b": 2}}
     p = tmp_path / "c.json"
     p.write_text('{"catalog": {"seed": 3}}')
     assert config.load(str(p))["catalog"]["seed"] == 3 and config.load(str(p))["search"]["neighbors"] == 10
@@ -94,12 +94,12 @@ def test_streams(spark, tmp_path):
     notes = tmp_path / "notes"
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(notes))
     feed = spark.readStream.schema(spark.read.parquet(str(notes)).schema).parquet(str(notes))
-    for name, df in (("sessions", live.live_phrases(feed, "user_id", "ts")), ("windows", live.token_counts(feed, "ts", "event_type"))):
+    for name, df in (("sessions", live.live_segments(feed, "user_id", "ts")), ("windows", live.token_counts(feed, "ts", "event_type"))):
         q = df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "windows" else "append").trigger(availableNow=True).start()
         assert q.awaitTermination(120)
     batch = live.token_counts(spark.read.parquet(str(notes)), "ts", "event_type")
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, batch.collect()))
-    want = {(r.user_id, r.start, r.n_notes) for r in live.live_phrases(spark.read.parquet(str(notes)), "user_id", "ts").collect()}
+    want = {(r.user_id, r.start, r.n_notes) for r in live.live_segments(spark.read.parquet(str(notes)), "user_id", "ts").collect()}
     got = {(r.user_id, r.start, r.n_notes) for r in spark.table("sessions").collect()}
     assert got and got <= want
 
@@ -115,33 +115,33 @@ def test_commands_end_to_end(spark):
             at += 1.0
     notes = spark.createDataFrame(data, "score_id string, part_id string, voice_id string, percussion boolean, o double, p int, d double, tie string, measure int")
     about = spark.createDataFrame([(f"s{s}", f"title {s}", f"c{s % 2}", True) for s in range(6)], "score_id string, title string, composer_name string, license boolean")
-    ph = commands.extract_phrases(notes, about).cache()
-    assert ph.groupBy("score_id").count().where("count >= 2").count() == 6 and ph.select("phrase_id").distinct().count() == ph.count()
+    ph = commands.extract_segments(notes, about).cache()
+    assert ph.groupBy("score_id").count().where("count >= 2").count() == 6 and ph.select("segment_id").distinct().count() == ph.count()
     assert commands.extraction_summary(ph).first().scores == 6
     emb = commands.build_embeddings(ph)
     assert {k: len(v.first().embedding) for k, v in emb.items()} == {"melody": 74, "rhythm": 72, "combined": 153}
-    some = [r.phrase_id for r in ph.orderBy("phrase_id").limit(2).collect()]
+    some = [r.segment_id for r in ph.orderBy("segment_id").limit(2).collect()]
     assert commands.inspect(ph, emb["combined"], some).groupBy("query_id").count().count() == 2
-    keep = commands.eligible_phrases(ph.withColumn("extraction_mode", F.lit("explicit_voice")), emb)
+    keep = commands.eligible_segments(ph.withColumn("extraction_mode", F.lit("explicit_voice")), emb)
     assert 0 < keep.count() <= ph.count()
     with pytest.raises(ValueError, match="eligible"):
-        commands.eligible_phrases(ph.withColumn("license", F.lit(False)), emb)
+        commands.eligible_segments(ph.withColumn("license", F.lit(False)), emb)
     p = commands.prepare_encoder_data(ph)
     assert p["eligible"].count() + p["rejected"].count() == ph.count()
-    rows = emb["melody"].select(F.col("phrase_id").alias("id"), F.col("embedding").alias("vector")).join(ph.select(F.col("phrase_id").alias("id"), "score_id", F.col("n_bars").alias("bars")), "id")
+    rows = emb["melody"].select(F.col("segment_id").alias("id"), F.col("embedding").alias("vector")).join(ph.select(F.col("segment_id").alias("id"), "score_id", F.col("n_bars").alias("bars")), "id")
     assert commands.evaluate_backends({"a": rows, "b": rows}, 4, 3).groupBy("backend").count().count() == 2
     books = commands.build_vocabulary(rows, [2, 4])
     cmp = commands.compare_vocabulary_sizes({k: b["assignments"] for k, b in books.items()})
     assert cmp["sizes"].where("best").count() == 1 and cmp["steps"].agg(F.sum("overlap")).first()[0] == rows.count()
-    tok = {k: b["assignments"].select(F.col("id").alias("phrase_id"), "token") for k, b in books.items()}
-    desc = ph.select("phrase_id", "score_id", "part_id", F.col("line_id").alias("voice_id"), "start_q", "end_q", "composer_name")
+    tok = {k: b["assignments"].select(F.col("id").alias("segment_id"), "token") for k, b in books.items()}
+    desc = ph.select("segment_id", "score_id", "part_id", F.col("line_id").alias("voice_id"), "start_q", "end_q", "composer_name")
     ex = commands.export_tokens(tok[4], tok[2], tok[2], desc)
     assert ex["tokens"].count() == rows.count() and all(abs(r[0] - 1) < 1e-9 for r in ex["melody_transitions"].groupBy("t1").agg(F.sum("p")).select("sum(p)").collect())
     rep = commands.vocabulary_report(books[4]["assignments"])
     assert rep["nearest"].count() == 3 and rep["cosine"].agg(F.sum("n")).first()[0] == rows.count()
-    learned = commands.build_learned_index(p["eligible"].select("phrase_id", "score_id", "tokens"), lambda x: [[len(t), 1.0] for t in x])
+    learned = commands.build_learned_index(p["eligible"].select("segment_id", "score_id", "tokens"), lambda x: [[len(t), 1.0] for t in x])
     assert learned.count() == p["eligible"].count()
-    pairs = commands.mine_encoder_positives(rows.join(desc.select(F.col("phrase_id").alias("id"), "part_id", "start_q", "end_q"), "id").withColumn("split", F.lit("train")), 0.0)
+    pairs = commands.mine_encoder_positives(rows.join(desc.select(F.col("segment_id").alias("id"), "part_id", "start_q", "end_q"), "id").withColumn("split", F.lit("train")), 0.0)
     assert vectors.symmetric(pairs).count() > 0
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lineweave.operators import catalog as C
-from lineweave.operators import codebook, dataset, diagnostics, reviews, sequences, vectors
+from lineweave.operators import codebook, dataset, diagnostics, ranks, reviews, sequences, vectors
 
 ROW = "id long, score_id string, part_id string, split string, instrument string, bars double, start_q double, end_q double, vector array<double>"
 
@@ -95,12 +96,12 @@ def test_agreement_is_symmetric_and_blind_to_names(spark, pairs):
 
 def test_sequences(spark):
     data = [("s", None, 2.0, "b", "x", "y"), ("s", None, 1.0, "a", "w", "y"), ("s", "v", 0.0, "c", "x", "z"), ("s", None, 2.0, "c", "w", "q")]
-    df = spark.createDataFrame(data, "score_id string, voice_id string, start_q double, phrase_id string, m string, r string")
-    got = {r.voice_id: (r.sequence_length, r.ms, r.rs) for r in sequences.collected(df, ["score_id", "voice_id"], ["start_q", "phrase_id"], ["m", "r"]).collect()}
+    df = spark.createDataFrame(data, "score_id string, voice_id string, start_q double, segment_id string, m string, r string")
+    got = {r.voice_id: (r.sequence_length, r.ms, r.rs) for r in sequences.collected(df, ["score_id", "voice_id"], ["start_q", "segment_id"], ["m", "r"]).collect()}
     assert got == {None: (3, ["w", "x", "w"], ["y", "y", "q"]), "v": (1, ["x"], ["z"])}
-    b = sequences.transitions(sequences.ngrams(df, ["score_id", "voice_id"], ["start_q", "phrase_id"], "m", 2)).collect()
+    b = sequences.transitions(sequences.ngrams(df, ["score_id", "voice_id"], ["start_q", "segment_id"], "m", 2)).collect()
     assert {(r.t1, r.t2, r.n, r.p) for r in b} == {("w", "x", 1, 1.0), ("x", "w", 1, 1.0)}
-    assert sequences.ngrams(df, ["score_id", "voice_id"], ["start_q", "phrase_id"], "m", 3).count() == 1
+    assert sequences.ngrams(df, ["score_id", "voice_id"], ["start_q", "segment_id"], "m", 3).count() == 1
 
 
 @settings(max_examples=8, deadline=None)
@@ -145,27 +146,105 @@ def test_selection(spark):
 def test_dataset(spark):
     note = [(60, 0.0, 1.0), (62, 1.0, 1.0), (64, 2.0, 1.0), (65, 3.0, 1.0)]
     data = [("ok", "s1", True, "explicit_voice", note, 4.0), ("sky", "s1", True, "skyline", note, 4.0), ("lic", "s2", False, "explicit_voice", note, 4.0), ("bad", "s2", True, "explicit_voice", None, 4.0), ("few", "s3", True, "explicit_voice", note[:1], 4.0), ("long", "s3", True, "explicit_voice", note, 40.0)]
-    df = spark.createDataFrame(data, "phrase_id string, score_id string, license boolean, extraction_mode string, notes array<struct<p:int,o:double,d:double>>, n_bars double")
-    got = {r.phrase_id: (r.reason, r.tokens is not None) for r in dataset.prepared(df, 2, 8, 1.0, 12.0).collect()}
+    df = spark.createDataFrame(data, "segment_id string, score_id string, license boolean, extraction_mode string, notes array<struct<p:int,o:double,d:double>>, n_bars double")
+    got = {r.segment_id: (r.reason, r.tokens is not None) for r in dataset.prepared(df, 2, 8, 1.0, 12.0).collect()}
     assert got == {"ok": (None, True), "sky": ("mode", False), "lic": ("license", False), "bad": ("malformed", False), "few": ("too_few_notes", False), "long": ("too_long", False)}
     p = dataset.prepared(df, 2, 8, 1.0, 12.0)
     assert p.groupBy("score_id").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
-    t = p.where("tokens is not null").select("phrase_id", "tokens")
-    a, b = dataset.augmented(t, "phrase_id", "tokens", drop=0.0).first().tokens, dataset.augmented(t, "phrase_id", "tokens", drop=0.0).first().tokens
-    own = t.first().tokens
-    assert a == b and a[0] == own[0] and a[-1] == own[-1]
-    e = dataset.encoded(t, "phrase_id", "tokens", lambda x: np.ones((len(x), 3))).first().embedding
+    t = p.where("tokens is not null").select("segment_id", "tokens")
+    e = dataset.encoded(t, "segment_id", "tokens", lambda x: np.ones((len(x), 3))).first().embedding
     assert np.allclose(np.linalg.norm(e), 1)
-    batches = dataset.score_aware_batches(spark.createDataFrame(rows(), ROW), "score_id", "id", 3)
-    assert batches.groupBy("batch", "score_id").count().where("count > 1").isEmpty()
     neg = dataset.hard_negatives(spark.createDataFrame([(1, "A", "s1", 4.0, 5), (2, "A", "s2", 4.0, 5), (3, "B", "s1", 4.0, 5), (4, "B", "s3", 4.5, 5), (5, "C", "s4", 4.2, 9)], "id int, token string, score_id string, n_bars double, n_notes int"), spark.createDataFrame([(1, "A", "s1", 4.0, 5)], "id int, token string, score_id string, n_bars double, n_notes int"))
     assert neg.first().id == 5
 
 
+def test_hard_negatives_of_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(k, f"t{rng.integers(4)}", f"s{rng.integers(6)}", float(rng.integers(5)), int(rng.integers(6))) for k in range(120)]
+    df = spark.createDataFrame(data, "id int, token string, score_id string, n_bars double, n_notes int")
+    monkeypatch.setattr(dataset, "MOST_QUERIES", 7)
+    got = {r.query_id: r.id for r in dataset.hard_negatives(df, df.where("id % 3 = 0")).collect()}
+    h = lambda k: hashlib.sha1(f"42|{k}".encode()).hexdigest()
+    for q in data[::3]:
+        assert got[q[0]] == min((abs(c[3] - q[3]), abs(c[4] - q[4]), h(c[0]), c[0]) for c in data if c[1] != q[1] and c[2] != q[2])[3]
+    assert dataset.hard_negatives(df.where("token = 't0'"), df.where("token = 't0'")).collect() == []
+
+
+@pytest.mark.parametrize("size, sizes", [(3, [1, 1, 1, 1, 2, 4, 4]), (1, [1, 2, 3]), (4, [5]), (5, [1, 1, 7]), (4, [3, 6]), (2, [1, 3, 3, 2]), (16, [1] * 40)])
+def test_batches_against_the_sequential_rule(spark, size, sizes):
+    data = [(f"{s}-{k}", f"s{s:02d}") for s, n in enumerate(sizes) for k in range(n)]
+    h = lambda k: hashlib.sha1(f"42|{k}".encode()).hexdigest()
+    want, current, seen = [], [], set()
+    for _, s in sorted((n, f"s{k:02d}") for k, n in enumerate(sizes)):
+        for row in sorted((r for r, of in data if of == s), key=lambda r: (h(r), r)):
+            if len(current) >= size or (s in seen and len(seen) < len(sizes)):
+                want, current, seen = [*want, current], [], set()
+            current.append(row)
+            seen.add(s)
+    want.append(current)
+    got = {}
+    for r in dataset.score_aware_batches(spark.createDataFrame(data, "id string, score_id string"), "score_id", "id", size).collect():
+        got.setdefault(r.batch, set()).add(r.id)
+    assert [got[k] for k in sorted(got)] == [set(b) for b in want]
+
+
+def test_augmentation(spark):
+    rng = np.random.default_rng(6)
+    data = [(k, np.column_stack([rng.integers(2, 60, (12, 5))]).tolist() + [[0] * 5] * 3) for k in range(400)] + [(900, [[5] * 5, [6] * 5]), (901, []), (902, None)]
+    df = spark.createDataFrame(data, "id int, tokens array<array<int>>")
+    own = dict(data)
+    plain = {r.id: r.tokens for r in dataset.augmented(df, "id", "tokens", mask_notes=0.0, mask_features=0.0, shift_times=0.0, shift_durations=0.0, thin=0.0).collect()}
+    assert plain == own
+    got = {r.id: r.tokens for r in dataset.augmented(df, "id", "tokens", thin=0.0).collect()}
+    assert got == {r.id: r.tokens for r in dataset.augmented(df.repartition(5), "id", "tokens", thin=0.0).collect()}
+    assert all(got[k] == own[k] for k in (900, 901, 902))
+    a, b = np.array([own[k] for k in range(400)]), np.array([got[k] for k in range(400)])
+    assert (a[:, [0, 11]] == b[:, [0, 11]]).all() and (b[:, 12:] == 0).all()
+    inner_a, inner_b = a[:, 1:11], b[:, 1:11]
+    hidden = inner_b == 1
+    assert 0.1 < hidden.mean() < 0.19 and 0.06 < hidden.all(2).mean() < 0.14
+    moved = (inner_a != inner_b) & ~hidden
+    assert not moved[:, :, [0, 1, 4]].any() and ((np.abs(inner_a - inner_b) == 1) | (inner_b == 2))[moved].all() and 0.09 < moved[:, :, 2:4].mean() < 0.17 and inner_b[moved].min() >= 2
+    thin = {r.id: np.array(r.tokens) for r in dataset.augmented(df.where("id < 400"), "id", "tokens", mask_notes=0.0, mask_features=0.0, shift_times=0.0, shift_durations=0.0, thin=1.0).collect()}
+    gone = [12 - int((x[:, 0] != 0).sum()) for x in thin.values()]
+    assert set(gone) == {0, 1, 2} and all(len(x) == 15 for x in thin.values())
+    for k, x in thin.items():
+        rest = x[x[:, 0] != 0].tolist()
+        assert rest[0] == own[k][0] and rest[-1] == own[k][11] and [r for r in own[k][:12] if r in rest] == rest
+
+
+def test_even_sampling_and_ranks_over_many_ranges(spark):
+    for n, parts in ((200_000, 4), (2_000_000, 8)):
+        df = spark.range(n, numPartitions=parts).select(F.xxhash64("id").alias("v"), "id")
+        got = [r.v for r in C.evenly_spaced(df, [F.col("v")], 37).orderBy("v").collect()]
+        place = np.sort(df.select("v").toPandas()["v"].to_numpy())
+        assert got == [place[int(i * (n - 1) / 36)] for i in range(37)]
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("v"))
+    got = {r.k: (r.a, r.b) for r in ranks.quantiles(df, "v", {"a": 0.5, "b": 0.1}, ["k"]).collect()}
+    for k in range(3):
+        own = [float(x) for x in range(1000) if x % 3 == k and x % 7]
+        assert got[k] == pytest.approx((np.quantile(own, 0.5), np.quantile(own, 0.1)))
+    assert ranks.quantiles(df.limit(0), "v", {"a": 0.5}).collect() == [(None,)] and ranks.quantiles(df.limit(0), "v", {"a": 0.5}, ["k"]).collect() == []
+
+
+def test_fixed_queries_and_displayed_columns(spark):
+    data = [(f"p{k:03d}", f"s{k % 7}", float(k % 5), "test" if k % 2 else "train", "skyline" if k % 3 == 0 else "explicit_voice") for k in range(200)]
+    df = spark.createDataFrame(data, "segment_id string, score_id string, n_bars double, split string, extraction_mode string")
+    own = sorted((s, b, i) for i, s, b, split, mode in data if split == "test" and mode == "explicit_voice")
+    assert {r.segment_id for r in C.fixed_queries(df, 9).collect()} == {own[int(i * (len(own) - 1) / 8)][2] for i in range(9)}
+    assert C.fixed_queries(df.where("split = 'train'"), 9).collect() == [] and C.fixed_queries(df, 500).count() == len(own)
+
+
+def test_batches_that_are_too_large(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_IN_BATCH", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        vectors.contrastive_loss(spark.createDataFrame([(0, k, [1.0], [1.0]) for k in range(4)], "batch int, id int, a array<double>, b array<double>"), 0.1)
+
+
 def test_loss_prefers_aligned_views(spark):
     eye = np.eye(4).tolist()
-    good = spark.createDataFrame([(k, eye[k], eye[k]) for k in range(4)], "id int, a array<double>, b array<double>")
-    bad = spark.createDataFrame([(k, eye[k], eye[(k + 1) % 4]) for k in range(4)], "id int, a array<double>, b array<double>")
+    good = spark.createDataFrame([(0, k, eye[k], eye[k]) for k in range(4)], "batch int, id int, a array<double>, b array<double>")
+    bad = spark.createDataFrame([(0, k, eye[k], eye[(k + 1) % 4]) for k in range(4)], "batch int, id int, a array<double>, b array<double>")
     g, b = (vectors.contrastive_loss(x, 0.1).first().loss for x in (good, bad))
     assert g < b and g == pytest.approx(math.log(1 + 3 * math.exp(-10)), abs=1e-9)
 
