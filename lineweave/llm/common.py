@@ -1,68 +1,26 @@
-"""Helpers that the training-data operators share: shared storage, Arrow text access, hashing."""
+"""Helpers that the training-data operators share: Arrow text access, hashing, kinds of keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.sources.scratch import dropped, shared_path, written  # noqa: F401  for the operators here
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is named."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="lineweave-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what lies there goes when the driver ends, as results are read from it till then."""
-    if not _made:
-        atexit.register(_clear)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def _clear() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is None:
-            return  # the session has been stopped; a cluster's own clean-up of the folder remains
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a written() table that nothing reads any more."""
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(spark, path)
+def whole_ids(docs: DataFrame, key: str) -> None:
+    """Ids are whole numbers; a TypeError at once where the column holds anything else."""
+    kind = docs.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{key} holds {kind}; ids have to be whole numbers")
 
 
 def crc_mod(column: str, n: int):

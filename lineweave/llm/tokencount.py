@@ -1,12 +1,14 @@
 """Token counts from flat token files: end-of-document ids and nothing else tell where a document ends.
 
-Files hold 16-bit big-endian ids without any index. They are cut into blocks; each block is searched for the end id in
-one vectorised comparison and leaves a summary (ids, separators, first and last of them, lengths between). A prefix
-scan over the summaries, in two levels so that one huge file isn't one task, stitches the documents that cross blocks.
+Files hold 16-bit big-endian ids without any index, and may be of any size: tasks open them by ranges. Each range is
+searched for the end id in one vectorised comparison and leaves a summary (ids, separators, first and last of them,
+lengths between). A prefix scan over the summaries, in two levels so that one huge file isn't one task, stitches the
+documents that cross ranges.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +17,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm.bpe import Bpe
-from lineweave.llm.common import buffers, flat, lists, shared_path, steps
+from lineweave.llm.common import buffers, flat, lists, shared_path, steps, written
 
-#: 0xC480: free in vocabularies of up to 50,304 ids. Its two bytes are also the UTF-8 form of U+0100, so that Spark's
-#: text sink, on any store, writes it after each document as the record separator.
-END_ID, END_TEXT = 0xC480, "Ā"
-BLOCK_IDS = 1 << 18
-#: Blocks of one file that the first level of the prefix scan takes together.
+#: Ends each document; free in vocabularies of up to 50,304 ids.
+END_ID = 0xC480
+#: Ids of one range.
+BLOCK_IDS = 1 << 20
+#: Ranges of one file that the first level of the prefix scan takes together.
 SPAN = 4096
 
 
-def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, text_col: str = "text") -> None:
-    """Write each partition's documents, in their order, as one flat file of ids, END_ID after each document.
+def _store(path: str):
+    """The file system of a folder or file that all executors reach (file, hdfs, s3, gs), and the path on it."""
+    from pyarrow import fs
 
-    A null or empty text is a document without ids. The vocabulary must have fewer ids than END_ID.
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write each partition's documents, in their order, as one flat file of ids under path, END_ID after each document.
+
+    Gives (file, doc_index, id, length): a row per document with its number in its file, and one per file with its
+    length in bytes and no document. Only files named there count: a task that was run again has left others. A null
+    or empty text is a document without ids. The vocabulary must have fewer ids than END_ID.
     """
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary, pattern)
+        encoding, end = _encoding(vocabulary, pattern), np.array([END_ID], ">u2").tobytes()
+        name, out, n, size = f"{path.rstrip('/')}/{uuid.uuid4().hex}", None, 0, 0
         for batch in batches:
-            data, off = buffers(batch.column(0))
+            if out is None:
+                store, at = _store(name)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                out = store.open_output_stream(at)
+            data, off = buffers(batch.column(1))
             for lo, hi in steps(off):
-                raw, at = data[off[lo] : off[hi]].tobytes(), (off[lo : hi + 1] - off[lo]).tolist()
-                ids = [encoding.encode_to_numpy(raw[a:b].decode("utf-8", "replace"), disallowed_special=()) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.record_batch([pa.array([x.astype(">u2").tobytes() for x in ids], pa.binary())], names=["ids"])
-
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "ids binary")
-    rows.select(F.col("ids").cast("string")).write.option("lineSep", END_TEXT).text(path)
+                raw, cuts = data[off[lo] : off[hi]].tobytes(), (off[lo : hi + 1] - off[lo]).tolist()
+                ids = [encoding.encode_to_numpy(raw[a:b].decode("utf-8", "replace"), disallowed_special=()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                part = b"".join(x.astype(">u2").tobytes() + end for x in ids)
+                out.write(part)
+                size += len(part)
+            here = len(batch)
+            yield pa.record_batch([pa.array([name] * here), flat(np.arange(n, n + here), pa.int64()), batch.column(0), pa.nulls(here, pa.int64())], names=["file", "doc_index", "id", "length"])
+            n += here
+        if out is not None:
+            out.close()
+            yield pa.record_batch([pa.array([name]), flat([n], pa.int64()), pa.nulls(1, batch.schema.field(0).type), flat([size], pa.int64())], names=["file", "doc_index", "id", "length"])
+
+    rows = docs.select(F.col(key), F.col(text_col).cast("string"))
+    return written(rows.mapInArrow(run, f"file string, doc_index long, id {kind}, length long"), "flat-documents")
 
 
 def _encoding(vocabulary: str, pattern: str):
@@ -53,46 +80,42 @@ def _encoding(vocabulary: str, pattern: str):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def blocks(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, data) of all flat files in a folder of any store that Spark reads; a file may have up to 2 GB."""
-    size = 2 * block_ids
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    cut = F.expr(f"transform(sequence(0L, (length - 1) div {size}), i -> substring(content, cast(i * {size} + 1 as int), {size}))")
-    return files.select(F.regexp_extract("path", r"(part-\d+)", 1).alias("file"), F.posexplode(cut).alias("block", "data"))
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of all files of a folder; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
 
-def count_tokens(cut: DataFrame, end_id: int = END_ID) -> DataFrame:
+def count_tokens(files: DataFrame, block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> DataFrame:
     """One row per document of the files: file, doc_index (from 0), start (its first id's position), n_tokens, complete.
 
-    cut has file, block (0, 1, ...) and data, of any even number of bytes each; null or empty data holds no ids. Ids
-    after a file's last end id are a last document with complete = false; an end id right after another one ends a
-    document without ids. An odd number of bytes is an error. Extra columns are not read.
+    files has file (its path) and length in bytes, each file once. Ids after a file's last end id are a last document
+    with complete = false; an end id right after another one ends a document without ids. An odd number of bytes is an
+    error, a file without bytes has no documents. Extra columns are not read.
     """
+    size = 2 * block_ids
+    cut = files.where("length > 0").select(F.col("file").cast("string"), F.col("length").cast("long"), F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block"))
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.repartition(tasks, "file", "block").select("file", "block", F.least(F.lit(size), F.col("length") - F.col("block") * size).alias("size"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {}
         for batch in batches:
-            data, off = buffers(batch.column(2))
-            if np.any(np.diff(off) & 1):
-                raise ValueError("a block has half an id")
-            x = np.frombuffer(data.tobytes(), ">u2")
-            off = off // 2
-            ends = np.flatnonzero(x == end_id)
-            first = np.searchsorted(ends, off)
-            k = np.diff(first)
-            row = np.repeat(np.arange(len(k)), k)
-            at = ends - off[row]
-            inner = np.ones(len(ends), bool)
-            inner[first[:-1][k > 0]] = False
-            gap = np.diff(at, prepend=0) - 1
-            some = np.where(k > 0, first[:-1], 0)
-            last = np.where(k > 0, first[1:] - 1, 0)
-            at0 = at if len(at) else np.zeros(1, np.int64)
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), flat(np.diff(off), pa.int64()), flat(k, pa.int64()), pa.array(at0[some], pa.int64(), mask=k == 0), pa.array(at0[last], pa.int64(), mask=k == 0), lists(gap[inner].astype(np.int32), np.maximum(k - 1, 0), pa.int32())],
-                names=["file", "block", "n", "k", "first", "last", "inner"],
-            )
-
-    seen = cut.select(F.col("file").cast("string"), F.col("block").cast("long"), F.col("data")).mapInArrow(scan, "file string, block long, n long, k long, first long, last long, inner array<int>")
+            for i in range(len(batch)):
+                file, block, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                if n & 1:
+                    raise ValueError(f"{file} has half an id")
+                if file not in opened:
+                    store, at = _store(file)
+                    opened = {file: store.open_input_file(at)}  # one file is open at a time
+                ends = np.flatnonzero(np.frombuffer(opened[file].read_at(n, block * size), ">u2") == end_id)
+                some = len(ends) > 0
+                yield pa.record_batch(
+                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array([v], pa.int64()) for v in (n // 2, len(ends), ends[0] if some else None, ends[-1] if some else None)),
+                     lists((np.diff(ends) - 1).astype(np.int32), np.array([max(len(ends) - 1, 0)]), pa.int32())],
+                    names=["file", "block", "n", "k", "first", "last", "inner"],
+                )
+
+    seen = written(dealt.mapInArrow(scan, "file string, block long, n long, k long, first long, last long, inner array<int>"), "blocks")
     seen = seen.withColumn("span", F.expr(f"block div {SPAN}"))
     ahead = Window.partitionBy("file", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     near = seen.select("*", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ids0"), F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("docs0"))
@@ -115,8 +138,13 @@ def count_tokens(cut: DataFrame, end_id: int = END_ID) -> DataFrame:
     return whole.unionByName(rest)
 
 
-def count_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Write the documents as flat token files into the shared folder and count the tokens of each from the files."""
-    path = shared_path(docs.sparkSession, "flat")
-    write_flat(docs, path, vocabulary, pattern)
-    return count_tokens(blocks(docs.sparkSession, path))
+def count_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(doc_id, n_tokens): one row per row of docs, counted from flat files that are written into the shared folder.
+
+    A null or empty text has no tokens; a null id stays null and rows that repeat an id each get a row. The result
+    doesn't depend on how docs is partitioned. Only the two named columns are read; an empty table gives no rows.
+    """
+    side = write_flat(docs, shared_path(docs.sparkSession, "flat"), vocabulary, pattern, key, text_col)
+    found = count_tokens(side.where("length is not null").select("file", "length"), block_ids)
+    named = side.where("length is null").select("file", "doc_index", F.col("id").alias("doc_id"))
+    return named.join(found, ["file", "doc_index"]).select("doc_id", "n_tokens")

@@ -24,45 +24,45 @@ def plain(ids):
     return out + ([(start, len(ids) - start, False)] if start < len(ids) else [])
 
 
-@pytest.mark.parametrize("span", [1, 2, 4096])
-def test_blocks_are_stitched(spark, monkeypatch, span):
+def files(spark, folder, contents):
+    """(file, length) of new files."""
+    rows = []
+    for name, body in contents.items():
+        (folder / name).write_bytes(body)
+        rows.append((f"file://{folder}/{name}", len(body), "x"))
+    return spark.createDataFrame(rows, "file string, length long, block string")
+
+
+@pytest.mark.parametrize("span, size", [(1, 1), (2, 3), (4096, 16), (3, 1000)])
+def test_ranges_are_stitched(spark, monkeypatch, tmp_path, span, size):
     monkeypatch.setattr(t, "SPAN", span)
     rng = random.Random(span)
-    rows, want = [], []
+    bodies, want = {}, []
     for f in range(12):
         ids = [t.END_ID if rng.random() < rng.choice([0.02, 0.3]) else rng.randrange(50256) for _ in range(rng.choice([0, 1, 7, 64, 300]))]
         ids += [t.END_ID] * (f % 3)
-        size = rng.choice([1, 3, 16, 1000])
-        rows += [(f"f{f}", k, bytearray(np.array(ids[i : i + size], ">u2").tobytes())) for k, i in enumerate(range(0, len(ids), size))]
+        bodies[f"f{f}"] = np.array(ids, ">u2").tobytes()
         want += [(f"f{f}", k, *d) for k, d in enumerate(plain(ids))]
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "file string, block long, data binary").selectExpr("*", "1 as n", "2 as k", "3 as inner")
-    got = sorted((r.file, r.doc_index, r.start, r.n_tokens, r.complete) for r in t.count_tokens(df).collect())
-    assert got == sorted(want)
+    df = files(spark, tmp_path, bodies)
+    row = lambda r: (r.file.rpartition("/")[2], r.doc_index, r.start, r.n_tokens, r.complete)
+    assert sorted(map(row, t.count_tokens(df, size).collect())) == sorted(want)
+    assert sorted(map(row, t.count_tokens(t.listed(spark, f"file://{tmp_path}"), size).collect())) == sorted(want)
 
 
-def test_odd_blocks(spark):
-    df = spark.createDataFrame([("a", 0, None), ("b", 0, bytearray(b""))], "file string, block long, data binary")
-    assert t.count_tokens(df).collect() == []
-    assert t.count_tokens(df.limit(0)).collect() == []
+def test_odd_files(spark, tmp_path):
+    assert t.count_tokens(files(spark, tmp_path, {"a": b""})).collect() == []
+    assert t.count_tokens(files(spark, tmp_path, {"a": b""}).limit(0)).collect() == []
     with pytest.raises(Exception, match="half an id"):
-        t.count_tokens(spark.createDataFrame([("a", 0, bytearray(b"abc"))], "file string, block long, data binary")).collect()
+        t.count_tokens(files(spark, tmp_path, {"b": b"abc"})).collect()
 
 
 def test_documents(spark):
     rows = [(1, "Hello there"), (2, None), (3, ""), (4, "Ā Ā ü " * 10), (5, "long " * 50_000), (5, "again"), (None, "no id")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "1 as ids", "2 as file").repartition(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "1 as ids", "2 as file", "3 as length")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=Bpe.load(PATH, public_tokenizers.PATTERN).ranks, special_tokens={})
-    got = t.count_documents(docs, PATH, public_tokenizers.PATTERN).collect()
-    assert sorted(r.n_tokens for r in got) == sorted(len(enc.encode_ordinary(x or "")) for _, x in rows) and all(r.complete for r in got)
+    want = sorted((k or 0, len(enc.encode_ordinary(x or ""))) for k, x in rows)
+    for parts, block in ((1, 1 << 20), (2, 100), (5, 7)):
+        got = t.count_documents(docs.repartition(parts), PATH, public_tokenizers.PATTERN, block_ids=block).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == want
     assert t.count_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
-
-
-def test_blocks_of_files(spark):
-    """Documents longer than a block, read back from real files."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    path = t.shared_path(spark, "flat-test")
-    t.write_flat(docs, path, PATH, public_tokenizers.PATTERN)
-    small = sorted((r.file, r.doc_index, r.start, r.n_tokens) for r in t.count_tokens(t.blocks(spark, path, 100)).collect())
-    large = sorted((r.file, r.doc_index, r.start, r.n_tokens) for r in t.count_tokens(t.blocks(spark, path)).collect())
-    assert small == large and len(small) == docs.count()
+    assert t.count_documents(docs.withColumn("doc_id", docs.text), PATH, public_tokenizers.PATTERN).schema["doc_id"].dataType.simpleString() == "string"
