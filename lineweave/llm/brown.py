@@ -1,11 +1,12 @@
 """Class-based n-gram scoring: exchange clustering of words, class transitions and word emissions.
 
-Training counts every word of every training text. The HEAD most frequent words are clustered: starting from classes
-by rank, each sweep moves half of the words to the class with which their left and right neighbours' classes are
-likeliest, and is kept if the class bigrams' likelihood grows. The next words, up to LOOKUP (a table of bounded size
-that travels with the tasks), belong to BANDS classes by rank, and all other words, seen or not, to one tail class.
-Transition counts cover all training tokens; emissions use each word's own count, which for tail words comes from a
-join with the whole count table.
+Training counts every word of every training text. All words seen more than once are clustered by exchange: a word
+moves to the class under which its neighbours' classes are likeliest, if the exact gain of that one move is positive.
+The LOOKUP most frequent words (a table of bounded size that travels with the tasks) start from classes by rank and
+move in sweeps. In a sweep each task goes through its words one by one, with its own copy of the table of class
+bigrams, which follows its moves; then the table is counted anew, and a sweep that made the whole worse is taken back
+and tried with a part of the words. The other words seen more than once stay distributed: each joins the class under
+which its neighbours' classes are likeliest. Words seen once and unseen ones are the tail class.
 
 P(w | w') = P(class(w) | class(w')) * P(w | class(w)), with transitions smoothed towards class frequencies and the
 tail's emissions by one for each of its words and one for all unseen ones.
@@ -25,19 +26,20 @@ from lineweave.llm.common import buffers, crc_mod, dropped, flat, lists, steps,
 from lineweave.llm.hashindex import HashIndex
 from lineweave.llm.words import words
 
-#: Words clustered by exchange, words whose counts travel with the tasks, classes of each kind, sweeps.
-HEAD, LOOKUP, CLASSES, BANDS, SWEEPS = 4096, 1 << 18, 64, 8, 8
+#: Words whose classes and counts travel with the tasks, classes, sweeps at most.
+LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 6
 #: Weight of the class frequencies in a transition, in tokens.
 PRIOR = 5.0
 #: Distinct words or bigrams that a counting task holds before it hands them on.
 HELD = 1 << 19
 #: The end of a text, as a word.
 END = np.int64(0x454E44)
-#: Unit numbers: 0..HEAD-1 are head words, then bands, the tail and the end.
-TAIL, STOP = HEAD + BANDS, HEAD + BANDS + 1
-UNITS = HEAD + BANDS + 2
-#: Class numbers: clusters, bands, tail, end.
-KINDS = CLASSES + BANDS + 2
+#: Class numbers: clusters, then the tail and the end.
+TAIL, STOP, KINDS = CLASSES, CLASSES + 1, CLASSES + 2
+#: Words that look for a class together before each moves on its own.
+SLICE = 128
+#: Added to the number of a neighbour to the left.
+LEFT = 1 << 24
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,129 +99,270 @@ class _Counter:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The LOOKUP most frequent words by falling count; N tokens and V distinct words in training; those of the tail."""
+    """The LOOKUP most frequent words seen more than once, by falling count, then the end; N tokens, V distinct words."""
 
     word: np.ndarray
     count: np.ndarray
     n: int
     v: int
-    tail_n: int
-    tail_v: int
+    more: bool  # whether there are other words seen more than once
 
-    def units(self) -> np.ndarray:
-        """The unit of each word, then of a word that isn't here (position -1)."""
-        rank = np.arange(len(self.word))
-        band = np.minimum((np.log2(np.maximum(rank, HEAD) / HEAD) * BANDS / np.log2(LOOKUP / HEAD)).astype(np.int64), BANDS - 1)
-        unit = np.where(rank < HEAD, rank, HEAD + band)
-        unit[self.word == END] = STOP
-        return np.append(unit, TAIL).astype(np.int64)
+    def first_kinds(self) -> np.ndarray:
+        """The class by rank of each word, then that of a word that isn't here (position -1)."""
+        kind = np.arange(len(self.word)) % CLASSES
+        kind[self.word == END] = STOP
+        return np.append(kind, TAIL).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Words seen once belong to the tail, so that it stands for unseen words too."""
-    all_n, all_v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word")).first()
-    top = counts.where((F.col("n") > 1) | (F.col("word") == int(END))).orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()  # LOOKUP rows at most
-    word, n = top["word"].to_numpy(), top["n"].to_numpy()
-    return Vocabulary(word, n, int(all_n), int(all_v), int(all_n - n.sum()), int(all_v - len(word)))
+    all_n, all_v, often = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word"), F.count_if((F.col("n") > 1) & (F.col("word") != int(END)))).first()
+    top = counts.where((F.col("n") > 1) & (F.col("word") != int(END))).orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()  # LOOKUP rows at most
+    ends = counts.where(F.col("word") == int(END)).first()
+    word, n = np.append(top["word"].to_numpy(), END), np.append(top["n"].to_numpy(), ends["n"] if ends else 0)
+    return Vocabulary(word, n, int(all_n), int(all_v), int(often) > len(word) - 1)
 
 
-def bigrams(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
-    """(pair, n): counts of left unit * UNITS + right unit over all texts; a text begins after an end."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab.word, vocab.units()))
+def contexts(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
+    """(unit, near): each looked-up word with its neighbours (those to its left plus LEFT) and how often each.
+
+    All words that aren't looked up are the unit after the last. Lists are bounded by twice the lookup's size. A text
+    begins after an end.
+    """
+    shared, units = docs.sparkSession.sparkContext.broadcast(vocab.word), len(vocab.word) + 1
+    stop = np.flatnonzero(vocab.word == END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, unit = shared.value
-        index, held = HashIndex(word.view(np.uint64)), _Counter("pair")
+        index, held = HashIndex(shared.value.view(np.uint64)), _Counter("pair")
         for batch in batches:
             data, off = buffers(batch.column(0))
             for lo, hi in steps(off, 2 << 20):
                 t, _ = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                u = unit[index.find(t.view(np.uint64))]
-                yield from held.add(np.concatenate([[STOP], u[:-1]]) * UNITS + u)
+                u = index.find(t.view(np.uint64)).astype(np.int64)
+                u[u < 0] = units - 1
+                yield from held.add(np.concatenate([stop, u[:-1]]) * units + u)
         yield from held.flush()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    left, right = F.expr(f"cast(pair div {units} as int)"), F.expr(f"cast(pair % {units} as int)")
+    sides = F.array(F.struct(left.alias("unit"), right.alias("at")), F.struct(right.alias("unit"), (left + LEFT).alias("at")))
+    each = pairs.select(F.explode(sides).alias("e"), "n").select("e.unit", F.struct("e.at", "n").alias("near"))
+    return each.groupBy("unit").agg(F.collect_list("near").alias("near"))
+
+
+def _dense(batch: pa.RecordBatch, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of (unit, side, class of the neighbour) without bigrams of a word with itself, and those; side 0: right."""
+    unit, near = batch.column(0).to_numpy(), batch.column(1)
+    row = np.repeat(np.arange(len(unit)), near.value_lengths().to_numpy())
+    items = near.flatten()
+    at, n = items.field(0).to_numpy().astype(np.int64), items.field(1).to_numpy()
+    side, other = np.divmod(at, LEFT)
+    own = other == unit[row]
+    cell = (row * 2 + side) * KINDS + kind[other]
+    out = np.bincount(cell[~own], n[~own], minlength=len(unit) * 2 * KINDS).reshape(len(unit), 2, KINDS)
+    return unit, out, np.bincount(row[own & (side == 0)], n[own & (side == 0)], minlength=len(unit))
 
 
-def _contexts(pairs: DataFrame, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense counts of (unit, class to its left) and (unit, class to its right); their size depends on nothing else."""
+def _table(near: DataFrame, kind: np.ndarray) -> np.ndarray:
+    """Counts of class bigrams; each task leaves KINDS * KINDS sums."""
+    shared = near.sparkSession.sparkContext.broadcast(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 * UNITS * KINDS)
+        sums = np.zeros((KINDS, KINDS))
         for batch in batches:
-            a, b = np.divmod(batch.column(0).to_numpy(), UNITS)
-            n = batch.column(1).to_numpy()
-            at = np.concatenate([b * KINDS + kind[a], (UNITS + a) * KINDS + kind[b]])
-            sums += np.bincount(at, np.concatenate([n, n]), minlength=len(sums))
+            for lo in range(0, len(batch), 1024):
+                unit, x, own = _dense(batch.slice(lo, 1024), shared.value)
+                k = shared.value[unit]
+                np.add.at(sums, k, x[:, 0])
+                np.add.at(sums, (k, k), own)
         some = np.flatnonzero(sums)
-        yield pa.record_batch([flat(some, pa.int64()), flat(sums[some], pa.float64())], names=["at", "n"])
+        yield pa.record_batch([flat(some, pa.int64()), flat(sums.ravel()[some], pa.float64())], names=["at", "n"])
 
-    got = pairs.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(2 * UNITS * KINDS)
+    got = near.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(KINDS * KINDS)
     sums[got["at"].to_numpy()] = got["n"].to_numpy()
-    left, right = sums.reshape(2, UNITS, KINDS)
-    return left, right
+    return sums.reshape(KINDS, KINDS)
 
 
-def _likelihood(table: np.ndarray) -> float:
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
     """Of the class bigrams, but for terms that the classes don't change."""
-    x, rows, columns = table[table > 0], table.sum(1), table.sum(0)
-    return float((x * np.log(x)).sum() - (rows[rows > 0] * np.log(rows[rows > 0])).sum() - (columns[columns > 0] * np.log(columns[columns > 0])).sum())
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+class Exchange:
+    """A table of class bigrams that follows the moves of single words; gain() is exact."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.rows, self.columns = table.copy(), table.sum(1), table.sum(0)
 
+    def likeliest(self, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """For many words at once, the class under which their neighbours' classes are likeliest."""
+        t = self.table + 0.1
+        return np.argmax(right @ np.log(t / t.sum(1, keepdims=True))[:CLASSES].T + left @ np.log(t / t.sum(0, keepdims=True))[:, :CLASSES], axis=1)
 
-def exchange(pairs: DataFrame, n_head: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit and the class bigram counts."""
-    kind = np.concatenate([np.arange(HEAD) % CLASSES, CLASSES + np.arange(BANDS), [CLASSES + BANDS, CLASSES + BANDS + 1]])
-    left, right = _contexts(pairs, kind)
-    table = _table(right, kind)
-    best = _likelihood(table)
+    def _moved(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows a and b, and columns a and b, after a word with these neighbours has gone from class a to b."""
+        rows = np.stack([self.table[a] - right, self.table[b] + right])
+        columns = np.stack([self.table[:, a] - left, self.table[:, b] + left])
+        cells = ((rows[0, a] - left[a] - own, rows[0, b] + left[a]), (rows[1, a] - left[b], rows[1, b] + left[b] + own))
+        for i, x in enumerate((a, b)):
+            for j, y in enumerate((a, b)):
+                rows[i, y] = columns[j, x] = cells[i][j]
+        return rows, columns
+
+    def gain(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> float:
+        rows, columns = self._moved(a, b, right, left, own)
+        both = [a, b]
+
+        def part(r: np.ndarray, c: np.ndarray) -> float:
+            return _xlogx(r).sum() + _xlogx(c).sum() - _xlogx(r[:, both]).sum()
+
+        n, m = right.sum() + own, left.sum() + own
+        sums = np.array([self.rows[a], self.rows[b], self.columns[a], self.columns[b]])
+        return float(part(rows, columns) - part(self.table[both], self.table[:, both].T) - _xlogx(sums + [-n, n, -m, m]).sum() + _xlogx(sums).sum())
+
+    def move(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
+        rows, columns = self._moved(a, b, right, left, own)
+        self.table[[a, b]], self.table[:, [a, b]] = rows, columns.T
+        n, m = right.sum() + own, left.sum() + own
+        self.rows[[a, b]] += [-n, n]
+        self.columns[[a, b]] += [-m, m]
+
+
+def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, part: int) -> np.ndarray:
+    """Classes after each word of the part has moved to where the likelihood gains most, where it gains."""
+    shared = near.sparkSession.sparkContext.broadcast((kind, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, table = shared.value
+        kind, model = kind.copy(), Exchange(table)
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                unit, x, own = _dense(batch.slice(lo, SLICE), kind)
+                best = model.likeliest(x[:, 0], x[:, 1])
+                turn = (kind[unit] < CLASSES) & (best != kind[unit]) & (unit % parts == part)
+                moved = []
+                for i in np.flatnonzero(turn):
+                    a, b = int(kind[unit[i]]), int(best[i])
+                    if model.gain(a, b, x[i, 0], x[i, 1], own[i]) > 1e-9:
+                        model.move(a, b, x[i, 0], x[i, 1], own[i])
+                        kind[unit[i]] = b
+                        moved.append(unit[i])
+                yield pa.record_batch([flat(np.array(moved, np.int64), pa.int64()), flat(kind[np.array(moved, np.int64)], pa.int64())], names=["unit", "kind"])
+
+    got = near.mapInArrow(run, "unit long, kind long").toArrow()  # LOOKUP rows at most
+    out = kind.copy()
+    out[got["unit"].to_numpy()] = got["kind"].to_numpy()
+    return out
+
+
+def exchange(near: DataFrame, kind: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit and the counts of class bigrams, after sweeps until no word gains."""
+    table, parts = _table(near, kind), 1
+    best = likelihood(table)
     for sweep in range(sweeps):
-        p_next = np.log((table + 0.1) / (table + 0.1).sum(1, keepdims=True))
-        p_last = np.log((table + 0.1) / (table + 0.1).sum(0, keepdims=True))
-        gain = right[:n_head] @ p_next[:CLASSES].T + left[:n_head] @ p_last[:, :CLASSES]
-        moved = kind.copy()
-        turn = np.arange(n_head) % 2 == sweep % 2 if sweep else np.ones(n_head, bool)
-        moved[:n_head][turn] = np.argmax(gain, axis=1)[turn]
-        if (moved == kind).all() and sweep:
+        moved = _sweep(near, kind, table, parts, sweep % parts)
+        if (moved == kind).all() and parts == 1:
             break
-        new_left, new_right = _contexts(pairs, moved)
-        new_table = _table(new_right, moved)
-        if (now := _likelihood(new_table)) > best:
-            kind, left, right, table, best = moved, new_left, new_right, new_table, now
+        new = _table(near, moved)
+        if (now := likelihood(new)) > best:
+            kind, table, best = moved, new, now
+        else:
+            parts *= 4
     return kind, table
 
 
-def _table(right: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    out = np.zeros((KINDS, KINDS))
-    np.add.at(out, kind, right)
-    return out
+def rare_words(docs: DataFrame, text_col: str, vocab: Vocabulary, kind: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, n, kind, near): the words seen more than once that aren't looked up, each in the class of most gain.
+
+    near lists the word's neighbours by class, left * KINDS + right, with counts: KINDS * KINDS at most. A neighbour
+    that isn't looked up counts as tail.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.word, kind))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, kind = shared.value
+        index = HashIndex(word.view(np.uint64))
+        for batch in batches:
+            data, off = buffers(batch.column(0))
+            for lo, hi in steps(off, 2 << 20):
+                t, _ = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                at = index.find(t.view(np.uint64))
+                k = kind[at]
+                here = np.flatnonzero(at < 0)  # never a text's end, so there is a next token
+                yield pa.record_batch([flat(t[here], pa.int64()), flat((np.where(here > 0, k[here - 1], STOP) * KINDS + k[(here + 1) % len(k)]).astype(np.int32), pa.int32())], names=["word", "at"])
+
+    each = docs.select(F.col(text_col).cast("string")).mapInArrow(seen, "word long, at int").groupBy("word", "at").agg(F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("at", "n")).alias("near")).where("n > 1")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Exchange(table)
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                row = np.repeat(np.arange(len(part)), part.column(2).value_lengths().to_numpy())
+                items = part.column(2).flatten()
+                left, right = np.divmod(items.field(0).to_numpy(), KINDS)
+                n, size = items.field(1).to_numpy(), len(part) * KINDS
+                x = [np.bincount(row * KINDS + k, n, minlength=size).reshape(len(part), KINDS) for k in (right, left)]
+                yield pa.record_batch([part.column(0), part.column(1), flat(model.likeliest(*x).astype(np.int32), pa.int32()), part.column(2)], names=["word", "n", "kind", "near"])
+
+    return whole.mapInArrow(chosen, "word long, n long, kind int, near array<struct<at:int,n:long>>")
+
+
+def _rare_table(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What the rare words add to the class bigrams (and take from the tail's), and the tokens they add to classes."""
+    each = rare.select("kind", F.inline("near")).select("kind", "n", F.expr(f"at div {KINDS}").alias("left"), F.expr(f"at % {KINDS}").alias("right"))
+    change = np.zeros((KINDS, KINDS))
+    for side in ("left", "right"):
+        for k, other, n in each.where(F.col(side) != TAIL).groupBy("kind", side).agg(F.sum("n")).collect():  # KINDS * KINDS rows
+            for cell, sign in ((k, 1), (TAIL, -1)):
+                change[(other, cell) if side == "left" else (cell, other)] += sign * n
+    tokens_of = np.zeros(KINDS)
+    for k, n in rare.groupBy("kind").agg(F.sum("n")).collect():
+        tokens_of[k] = n
+    return change, tokens_of
 
 
 @dataclass(frozen=True)
 class Model:
-    """All logarithms to base 10: transition between classes, emission of each looked-up word (0 for the tail)."""
+    """All logarithms to base 10: transition between classes, emission of each looked-up word (0 for others).
+
+    size: training tokens of each class; tail_v: distinct words of the tail class.
+    """
 
     vocab: Vocabulary
     kind: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
+    size: np.ndarray
+    tail_v: int
 
 
-def fit(docs: DataFrame, text_col: str, counts: DataFrame) -> Model:
+def fit(docs: DataFrame, text_col: str, counts: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model, and the words (word, kind) that have a class but aren't looked up, if there are any; written."""
     vocab = vocabulary(counts)
-    pairs = written(bigrams(docs, text_col, vocab), "bigrams")
-    kind, table = exchange(pairs, min(HEAD, len(vocab.word)))
-    dropped(docs.sparkSession, pairs)
-    size = table.sum(0)
-    share = (size + 1) / (size + 1).sum()
+    near = written(contexts(docs, text_col, vocab), "contexts")
+    kind, table = exchange(near, vocab.first_kinds())
+    dropped(docs.sparkSession, near)
+    size, rare, n_rare = np.bincount(kind[:-1], vocab.count, minlength=KINDS), None, 0
+    if vocab.more:
+        full = written(rare_words(docs, text_col, vocab, kind, table), "rare-words")
+        change, more = _rare_table(full)
+        table, size, n_rare = np.maximum(table + change, 0), size + more, full.count()
+        rare = full.select("word", "kind")
+    tail_v = vocab.v - int((vocab.count > 0).sum()) - n_rare
+    size[TAIL] = vocab.n - size.sum()
+    share = (table.sum(0) + 1) / (table.sum() + KINDS)
     transition = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
-    own = kind[vocab.units()]
-    emission = np.append(np.log10(np.maximum(vocab.count, 1) / np.maximum(size[own[:-1]], 1)), 0.0)
-    return Model(vocab, own, transition, emission)
+    emission = np.append(np.log10(np.maximum(vocab.count, 1) / np.maximum(size[kind[:-1]], 1)), 0.0)
+    return Model(vocab, kind, transition, emission, size, tail_v), rare
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, rare: DataFrame | None, counts: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score, as score_held_out() says."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -234,30 +377,51 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
             for lo, hi in steps(off, 2 << 20):
                 t, start = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 at = index.find(t.view(np.uint64))
-                kind = m.kind[at]
-                before = np.concatenate([[m.kind[0]], kind[:-1]])
-                before[start[:-1]] = KINDS - 1
+                kind = np.where(at < 0, -1, m.kind[at])
+                before = np.concatenate([[STOP], kind[:-1]])
+                before[start[:-1]] = STOP
+                after = np.append(kind[1:], STOP)  # of a word; a text's last token is its end
                 tail = at < 0
-                part = m.transition[before, kind] + m.emission[at]
+                known = ~tail & (before >= 0)
+                part = np.where(known, m.transition[before, kind], 0.0) + m.emission[at]
                 base = np.where(tail, 0.0, base_of[at])
-                sums = [np.add.reduceat(x, start[:-1]) for x in (part, base, (~tail).astype(np.int64))]
+                sums = [np.add.reduceat(x, start[:-1]) for x in (part, base, (~tail & (m.vocab.count[at] > 0)).astype(np.int64))]
+                # each word that isn't looked up with the classes beside it; -1: such a word too, the one before is named
+                last = np.concatenate([[0], t[:-1]])
+                n = np.add.reduceat(tail.astype(np.int64), start[:-1])
+                named = [lists(x[tail], n, kind_) for x, kind_ in ((t, pa.int64()), (before.astype(np.int16), pa.int16()), (after.astype(np.int16), pa.int16()), (last, pa.int64()))]
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), flat(np.diff(start), pa.int64()), flat(sums[2], pa.int64()), flat(sums[1], pa.float64()), flat(sums[0], pa.float64()), lists(t[tail], np.add.reduceat(tail.astype(np.int64), start[:-1]), pa.int64())],
-                    names=["doc_id", "n_tokens", "n_seen", "base", "part", "tail"],
+                    [batch.column(0).slice(lo, hi - lo), flat(np.diff(start), pa.int64()), flat(sums[2], pa.int64()), flat(sums[1], pa.float64()), flat(sums[0], pa.float64()), *named],
+                    names=["doc_id", "n_tokens", "n_seen", "base", "part", "word", "before", "after", "last"],
                 )
 
-    name = f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, n_seen long, base double, part double, tail array<long>"
+    name = f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, n_seen long, base double, part double, word array<long>, before array<short>, after array<short>, last array<long>"
     rows = docs.select(F.col(key), F.col(text_col).cast("string")).mapInArrow(run, name).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "scores")
-    words_of = rows.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
-    known = words_of.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = known.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_tail"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(v.n + v.v + 1)))).alias("base_tail"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(v.tail_n + v.tail_v + 1)))).alias("part_tail"),
-    )
+    each = rows.select("row", F.inline(F.arrays_zip("word", "before", "after", "last")))
+    kinds = counts if rare is None else counts.join(rare, "word", "left")
+    kinds = kinds.select("word", "n", F.lit(TAIL).alias("kind") if rare is None else F.coalesce("kind", F.lit(TAIL)).alias("kind"))
+    each = each.join(kinds, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("kind", F.coalesce("kind", F.lit(TAIL)))
+    if rare is not None:
+        follows = each.where("before < 0").join(rare.select(F.col("word").alias("last"), F.col("kind").alias("k")), "last", "left")
+        each = each.where("before >= 0").unionByName(follows.withColumn("before", F.coalesce("k", F.lit(TAIL)).cast("short")).drop("k"))
+    else:
+        each = each.withColumn("before", F.when(F.col("before") < 0, TAIL).otherwise(F.col("before")).cast("short"))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            row, n, kind, before, after = (batch.column(k).to_numpy() for k in range(5))
+            tail = kind == TAIL
+            emission = np.log10(np.where(tail, (n + 1) / (m.size[TAIL] + m.tail_v + 1), n / np.maximum(m.size[kind], 1)))
+            # the step to a word that is looked up; one that isn't counts the step from this one itself
+            part = m.transition[before, kind] + emission + np.where(after >= 0, m.transition[kind, after], 0.0)
+            yield pa.record_batch([flat(row, pa.int64()), flat((n > 0).astype(np.int64), pa.int64()), flat(np.log10((n + 1) / (m.vocab.n + m.vocab.v + 1)), pa.float64()), flat(part, pa.float64())], names=["row", "known", "base", "part"])
+
+    sums = each.select("row", "n", "kind", "before", "after").mapInArrow(added, "row long, known long, base double, part double")
+    sums = sums.groupBy("row").agg(F.sum("known").alias("n_tail"), F.sum("base").alias("base_tail"), F.sum("part").alias("part_tail"))
     zero = F.lit(0.0)
-    return rows.join(sums, "row", "left").select(
+    return rows.select("row", "doc_id", "n_tokens", "n_seen", "base", "part").join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_seen") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
@@ -277,5 +441,5 @@ def score_held_out(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFr
     """
     learn = docs.where(crc_mod("doc_id", folds) != held_out)
     counts = written(word_counts(learn, "text"), "word-counts")
-    out = score(docs, fit(learn, "text", counts), counts)
+    out = score(docs, *fit(learn, "text", counts), counts)
     return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False)))

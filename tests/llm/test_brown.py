@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lineweave.llm import brown
+from lineweave.llm.words import words
 
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -39,12 +41,70 @@ def test_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_words_beyond_the_looked_up_ones(spark, monkeypatch):
-    """With a small table most words go through the join with all counts."""
-    monkeypatch.setattr(brown, "LOOKUP", 300)
+def hashes(texts):
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    return words(data, np.array([0, len(data)]))[0].view(np.int64).tolist()
+
+
+def brute_scores(rows, model, rare, count):
+    """Scores token by token from the model's tables; count: of training tokens."""
+    kinds = dict(zip(model.vocab.word.tolist(), model.kind[:-1].tolist(), strict=True)) | rare
+    names = sorted({w for _, t in rows for w in tokens(t)} - {"\n"})
+    of = dict(zip(names, hashes(names), strict=True)) | {"\n": int(brown.END)}
+    size, out = Counter(), []
+    for w, n in count.items():
+        size[kinds.get(of[w], brown.TAIL) if w in of else brown.TAIL] += n
+    tail_v = sum(kinds.get(of.get(w), brown.TAIL) == brown.TAIL for w in count)
+    for _, t in rows:
+        total, last = 0.0, brown.STOP
+        for w in tokens(t):
+            k = kinds.get(of[w], brown.TAIL)
+            p = (count[w] + 1) / (size[k] + tail_v + 1) if k == brown.TAIL else max(count[w], 1) / max(size[k], 1)
+            total, last = total + model.transition[last, k] + math.log10(p), k
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("lookup", [1 << 18, 300])
+def test_scores_against_the_tables(spark, monkeypatch, lookup):
+    """With a small lookup most words have distributed classes and go through joins."""
+    monkeypatch.setattr(brown, "LOOKUP", lookup)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    monkeypatch.setattr(brown.Vocabulary, "units", lambda self: np.append(np.where(self.word == brown.END, brown.STOP, np.arange(len(self.word))), brown.TAIL))
-    check([(r.doc_id, r.text) for r in docs.collect()], brown.score_held_out(docs).collect())
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check(rows, brown.score_held_out(docs).collect())
+    counts = brown.word_counts(docs, "text").cache()
+    model, rare = brown.fit(docs, "text", counts)
+    of = {} if rare is None else {r.word: r.kind for r in rare.collect()}
+    assert (lookup == 300) == bool(of)
+    count = Counter(w for _, t in rows for w in tokens(t))
+    assert len(of) + len(model.vocab.word) == sum(n > 1 for n in count.values())
+    got = {r.doc_id: r.score for r in brown.score(docs, model, rare, counts).collect()}
+    for (i, _), want in zip(rows, brute_scores(rows, model, of, count), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    assert np.allclose((10**model.transition).sum(1), 1)
+
+
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 30, 2000)
+    kind = np.concatenate([rng.integers(0, 8, 29), [9]])
+
+    def table(kind):
+        out = np.zeros((brown.KINDS, brown.KINDS))
+        np.add.at(out, (kind[text[:-1]], kind[text[1:]]), 1)
+        return out
+
+    model = brown.Exchange(table(kind))
+    for word in rng.integers(0, 29, 200):
+        after, before = text[1:][text[:-1] == word], text[:-1][text[1:] == word]
+        own = (after == word).sum()
+        right, left = (np.bincount(kind[x[x != word]], minlength=brown.KINDS).astype(float) for x in (after, before))
+        a, b = kind[word], (kind[word] + rng.integers(1, 8)) % 8
+        gain, old = model.gain(a, b, right, left, own), brown.likelihood(table(kind))
+        kind[word] = b
+        assert gain == pytest.approx(brown.likelihood(table(kind)) - old, abs=1e-6)
+        model.move(a, b, right, left, own)
+        assert np.allclose(model.table, table(kind)) and np.allclose(model.rows, table(kind).sum(1)) and np.allclose(model.columns, table(kind).sum(0))
 
 
 def test_edge_cases(spark):
@@ -60,30 +120,24 @@ def test_edge_cases(spark):
     assert all(not r.held_out and r.train_tokens == 0 for r in nulls)
 
 
-def test_transitions_and_emissions_are_probabilities(spark):
+def test_emissions_are_probabilities(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    counts = brown.word_counts(docs, "text").cache()
-    m = brown.fit(docs, "text", counts)
-    assert np.allclose((10 ** m.transition).sum(1), 1)
-    own = m.kind[:-1]
-    total = np.bincount(own, 10 ** m.emission[:-1], minlength=brown.KINDS)
+    m, _ = brown.fit(docs, "text", brown.word_counts(docs, "text").cache())
+    assert np.allclose((10**m.transition).sum(1), 1)
+    total = np.bincount(m.kind[:-1], 10 ** m.emission[:-1], minlength=brown.KINDS)
     assert np.all((np.abs(total - 1) < 1e-9) | (total == 0))
 
 
-def test_exchange_finds_classes(spark):
-    """Words of two kinds that alternate end up in classes by kind."""
+def test_exchange_finds_classes(spark, monkeypatch):
+    """Words of two kinds that alternate end up in classes by kind, looked up or not."""
     rng = np.random.default_rng(1)
     left, right = [f"l{k}" for k in range(20)], [f"r{k}" for k in range(20)]
     texts = [" ".join(x for _ in range(200) for x in (rng.choice(left), rng.choice(right))) for _ in range(20)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     counts = brown.word_counts(docs, "text").cache()
-    m = brown.fit(docs, "text", counts)
-    from lineweave.llm.words import words
-
-    kinds = []
-    for group in (left, right):
-        data = np.frombuffer(" ".join(group).encode(), np.uint8)
-        h = words(data, np.array([0, len(data)]))[0].view(np.int64)
-        at = {w: k for k, w in enumerate(m.vocab.word.tolist())}
-        kinds.append({int(m.kind[at[x]]) for x in h.tolist()})
-    assert not kinds[0] & kinds[1]
+    for lookup in (1 << 18, 25):
+        monkeypatch.setattr(brown, "LOOKUP", lookup)
+        m, rare = brown.fit(docs, "text", counts)
+        at = dict(zip(m.vocab.word.tolist(), m.kind.tolist(), strict=False)) | ({r.word: r.kind for r in rare.collect()} if rare else {})
+        kinds = [{at[x] for x in hashes(group)} for group in (left, right)]
+        assert not kinds[0] & kinds[1]
