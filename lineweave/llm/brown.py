@@ -27,7 +27,7 @@ from lineweave.llm.hashindex import HashIndex
 from lineweave.llm.words import words
 
 #: Words whose classes and counts travel with the tasks, classes, sweeps at most.
-LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 6
+LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 4
 #: Weight of the class frequencies in a transition, in tokens.
 PRIOR = 5.0
 #: Distinct words or bigrams that a counting task holds before it hands them on.
@@ -123,10 +123,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def contexts(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
-    """(unit, near): each looked-up word with its neighbours (those to its left plus LEFT) and how often each.
+    """(unit, own, right, right_n, left, left_n): how often each looked-up word stands beside itself and beside others.
 
-    All words that aren't looked up are the unit after the last. Lists are bounded by twice the lookup's size. A text
-    begins after an end.
+    All words that aren't looked up are the unit after the last. Lists are bounded by the lookup's size. A text begins
+    after an end.
     """
     shared, units = docs.sparkSession.sparkContext.broadcast(vocab.word), len(vocab.word) + 1
     stop = np.flatnonzero(vocab.word == END)
@@ -145,21 +145,40 @@ def contexts(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
     pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     left, right = F.expr(f"cast(pair div {units} as int)"), F.expr(f"cast(pair % {units} as int)")
     sides = F.array(F.struct(left.alias("unit"), right.alias("at")), F.struct(right.alias("unit"), (left + LEFT).alias("at")))
-    each = pairs.select(F.explode(sides).alias("e"), "n").select("e.unit", F.struct("e.at", "n").alias("near"))
-    return each.groupBy("unit").agg(F.collect_list("near").alias("near"))
-
-
-def _dense(batch: pa.RecordBatch, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of (unit, side, class of the neighbour) without bigrams of a word with itself, and those; side 0: right."""
-    unit, near = batch.column(0).to_numpy(), batch.column(1)
-    row = np.repeat(np.arange(len(unit)), near.value_lengths().to_numpy())
-    items = near.flatten()
-    at, n = items.field(0).to_numpy().astype(np.int64), items.field(1).to_numpy()
-    side, other = np.divmod(at, LEFT)
-    own = other == unit[row]
-    cell = (row * 2 + side) * KINDS + kind[other]
-    out = np.bincount(cell[~own], n[~own], minlength=len(unit) * 2 * KINDS).reshape(len(unit), 2, KINDS)
-    return unit, out, np.bincount(row[own & (side == 0)], n[own & (side == 0)], minlength=len(unit))
+    each = pairs.select(F.explode(sides).alias("e"), "n").select("e.unit", "e.at", "n")
+    return each.repartition("unit").sortWithinPartitions("unit").mapInArrow(_gathered, "unit int, own long, right binary, right_n binary, left binary, left_n binary")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit as one row per unit: neighbours as 32-bit, counts as 64-bit numbers on either side."""
+
+    def rows(unit: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.diff(unit, prepend=-1))
+        for lo in range(0, len(start), 1024):
+            out = []
+            for a, b in zip(start[lo : lo + 1024], [*start[lo + 1 : lo + 1025], len(unit)], strict=False):
+                x, k = at[a:b], n[a:b]
+                to_left = x >= LEFT
+                own = x == unit[a]
+                r, l = ~to_left & ~own, to_left & (x != unit[a] + LEFT)
+                out.append((int(unit[a]), int(k[own].sum()), x[r].tobytes(), k[r].tobytes(), (x[l] - LEFT).tobytes(), k[l].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["unit", "own", "right", "right_n", "left", "left_n"])
+
+    held = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    for batch in batches:
+        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last unit may go on
+        if done:
+            yield from rows(*(h[:done] for h in held))
+            held = [h[done:] for h in held]
+    yield from rows(*held)
+
+
+def _side(at: pa.Array, n: pa.Array, kind: np.ndarray) -> np.ndarray:
+    """Counts of (row, class of the neighbour)."""
+    (data, off), (counts, _) = buffers(at), buffers(n)
+    row = np.repeat(np.arange(len(at)), np.diff(off) // 4)
+    return np.bincount(row * KINDS + kind[np.frombuffer(data.tobytes(), np.int32)], np.frombuffer(counts.tobytes(), np.int64), minlength=len(at) * KINDS).reshape(len(at), KINDS)
 
 
 def _table(near: DataFrame, kind: np.ndarray) -> np.ndarray:
@@ -170,14 +189,14 @@ def _table(near: DataFrame, kind: np.ndarray) -> np.ndarray:
         sums = np.zeros((KINDS, KINDS))
         for batch in batches:
             for lo in range(0, len(batch), 1024):
-                unit, x, own = _dense(batch.slice(lo, 1024), shared.value)
-                k = shared.value[unit]
-                np.add.at(sums, k, x[:, 0])
-                np.add.at(sums, (k, k), own)
+                part = batch.slice(lo, 1024)
+                k = shared.value[part.column(0).to_numpy()]
+                np.add.at(sums, k, _side(part.column(2), part.column(3), shared.value))
+                np.add.at(sums, (k, k), part.column(1).to_numpy())
         some = np.flatnonzero(sums)
         yield pa.record_batch([flat(some, pa.int64()), flat(sums.ravel()[some], pa.float64())], names=["at", "n"])
 
-    got = near.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = near.select("unit", "own", "right", "right_n").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(KINDS * KINDS)
     sums[got["at"].to_numpy()] = got["n"].to_numpy()
     return sums.reshape(KINDS, KINDS)
@@ -241,14 +260,16 @@ def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, par
         kind, model = kind.copy(), Exchange(table)
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
-                unit, x, own = _dense(batch.slice(lo, SLICE), kind)
-                best = model.likeliest(x[:, 0], x[:, 1])
+                some = batch.slice(lo, SLICE)
+                unit, own = some.column(0).to_numpy(), some.column(1).to_numpy()
+                right, left = _side(some.column(2), some.column(3), kind), _side(some.column(4), some.column(5), kind)
+                best = model.likeliest(right, left)
                 turn = (kind[unit] < CLASSES) & (best != kind[unit]) & (unit % parts == part)
                 moved = []
                 for i in np.flatnonzero(turn):
                     a, b = int(kind[unit[i]]), int(best[i])
-                    if model.gain(a, b, x[i, 0], x[i, 1], own[i]) > 1e-9:
-                        model.move(a, b, x[i, 0], x[i, 1], own[i])
+                    if model.gain(a, b, right[i], left[i], own[i]) > 1e-9:
+                        model.move(a, b, right[i], left[i], own[i])
                         kind[unit[i]] = b
                         moved.append(unit[i])
                 yield pa.record_batch([flat(np.array(moved, np.int64), pa.int64()), flat(kind[np.array(moved, np.int64)], pa.int64())], names=["unit", "kind"])
