@@ -3,14 +3,18 @@
 A text is a sequence of `width`-word shingles. For each of HASHES hash functions, a Cartesian tree over the shingles'
 values gives compact windows (l, c, r): every passage that begins in l..c and ends in c..r has its least value at c.
 Windows of fewer than `least` shingles hold no passage of interest and are not built. Two passages can only be alike
-if they share least values, that is, if windows with equal values meet; so each value's windows are joined with its
-first one, and so are those of them that also agree on a shingle half a passage to the left or right of the centre
-(a value that many unrelated texts share then still splits into groups of texts that share a passage). Pairs of
-texts whose aligned windows leave room for a passage under enough hash functions are verified on their full texts.
-
-Exact repeats don't depend on whom a window meets there: each passage of `least` shingles lies in one window of the
-first function, and copies lie in windows of one value. Where texts share that value, each passage has a hash of all its
-shingles, and each text meets the first one that holds the very passage, whatever else shares the value.
+if they share least values, that is, if windows with equal values meet. Three interval joins let them meet without
+all pairs of a value:
+
+1. Each window meets the first one of its value; pairs of texts whose aligned windows leave room for a passage under
+   enough hash functions are verified on their full texts.
+2. Exact repeats don't depend on whom a window meets there: each passage of `least` shingles lies in one window of
+   the first function, and copies lie in windows of one value. Where texts share that value, each passage has a hash
+   of all its shingles, and each text meets the first one that holds the very passage.
+3. Windows that no verified passage explains, as their value's first one was an unlike text (one with parts of the
+   passage, an edited one, or one that only shares a frequent line), meet the first window of their value, and the
+   first such unexplained one, with which they share the next DEPTHS shingles to the left or right. Texts that hold a
+   passage in common go on alike beyond what they share with others, however many those are.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, written
+from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, whole_ids, written
 from lineweave.llm.words import shingles, words
 
 #: Hash functions; how many of them have to agree on a pair and alignment.
 HASHES, AGREE = 6, 2
+#: Shingles to either side that windows have to share to meet a second time; passages split by one word hold the least.
+DEPTHS = (22, 33, 44)
 #: Equal shingles in a row from which on they count as a run.
 SHORTEST = 3
+#: Shingles of a text whose trees are built together; longer texts come in overlapping parts.
+PART = 1 << 22
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) ^ 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(16)]
 _PLACES = np.uint64(0xFFFFFF)
 _SPREAD, _GATHER = 0x9E3779, pow(0x9E3779, -1, 1 << 24)
@@ -74,59 +82,121 @@ def compact_windows(value: np.ndarray, off: np.ndarray, least: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-#: A window in one number: 24 bits of c, 4 of the hash function, 10 each of the places beside c to the left and right
-#: (as far as passages need them), 8 each of the shingles half a passage to the left and right.
-_C, _F, _L, _R, _ML = 40, 36, 26, 16, 8
+#: A window in one number: 40 bits of c, 4 of the hash function, 10 each of the places beside c to the left and right,
+#: as far as passages need them.
+_C, _F, _L, _R = 24, 20, 10, 0
 FAR = 1023
 
 
+def _texts(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, shingles, offsets of texts, place of each text's first shingle) for texts worth a look, in bounded steps.
+
+    A text of more than PART shingles comes in parts that overlap by twice what windows reach; so each centre is far
+    enough from the ends of some part.
+    """
+    for batch in batches:
+        data, off = buffers(batch.column(1))
+        for lo, hi in steps(off, 2 << 20):
+            h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            s, at = shingles(h, first, width)
+            ids = batch.column(0).slice(lo, hi - lo)
+            if len(s) <= PART:
+                if len(s) >= least:
+                    yield ids, s, at, np.zeros(hi - lo, np.int64)
+                continue
+            for i in range(hi - lo):  # steps of more than PART shingles hold one long text, or one and few others
+                own = s[at[i] : at[i + 1]]
+                for x in range(0, max(len(own) - 2 * FAR, 1), PART - 2 * FAR):
+                    part = own[x : x + PART]
+                    yield ids.slice(i, 1), part, np.array([0, len(part)]), np.array([x])
+
+
+def _read(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def windows(docs: DataFrame, key: str, text_col: str, width: int, least: int, hashes: int) -> DataFrame:
     """(value, id, place): each text's windows; value is the least hash value, place packs the rest."""
-    half = (least - 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffers(batch.column(1))
-            for lo, hi in steps(off, 2 << 20):
-                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                s, at = shingles(h, first, width)
-                if not len(s):
-                    continue
-                mark = (s >> np.uint64(20)) & np.uint64(255)
-                for f in range(hashes):
-                    v = s * _ODD[f]
-                    l, c, r = compact_windows(v, at, least)
-                    row = np.searchsorted(at, c, side="right") - 1
-                    place = (c - at[row]).astype(np.uint64) << np.uint64(_C) | np.uint64(f << _F)
-                    place |= np.minimum(c - l, FAR).astype(np.uint64) << np.uint64(_L) | np.minimum(r - c, FAR).astype(np.uint64) << np.uint64(_R)
-                    place |= mark[np.maximum(c - half, 0)] << np.uint64(_ML) | mark[np.minimum(c + half, len(s) - 1)]
-                    yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), batch.column(0).take(flat(row + lo, pa.int64())), flat(place.view(np.int64), pa.int64())], names=["value", "id", "place"])
-
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "value long, id long, place long")
+        for ids, s, at, base in _texts(batches, width, least):
+            for f in range(hashes):
+                v = s * _ODD[f]
+                l, c, r = compact_windows(v, at, least)
+                row = np.searchsorted(at, c, side="right") - 1
+                place = (c - at[row] + base[row]).astype(np.uint64) << np.uint64(_C) | np.uint64(f << _F)
+                place |= np.minimum(c - l, FAR).astype(np.uint64) << np.uint64(_L) | np.minimum(r - c, FAR).astype(np.uint64) << np.uint64(_R)
+                yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), ids.take(flat(row, pa.int64())), flat(place.view(np.int64), pa.int64())], names=["value", "id", "place"])
+
+    return _read(docs, key, text_col).mapInArrow(run, "value long, id long, place long")
 
 
 def _part(column: str, low: int, bits: int) -> str:
     return f"cast(shiftrightunsigned({column}, {low}) & {(1 << bits) - 1} as int)"
 
 
-def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, ...]:
-    """(id, mate, shifts): texts to compare with an earlier one, and by how many places passages are shifted; scratch."""
-    half = (least - 1) // 2
+def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, mate, shifts): texts to compare with an earlier one, and by how many places passages are shifted; then
+    the values that texts share, and the windows of these."""
     # written, so that both sides of the join are freshly exchanged and a value of very many windows can be split
     ends = written(w.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("value"), "values")
     shared = written(w.join(ends.hint("merge"), "value", "left_semi"), "windows")
-    tags = F.expr(
-        f"array(0, if({_part('place', _L, 10)} >= {half}, 256 + {_part('place', _ML, 8)}, null), if({_part('place', _R, 10)} >= {half}, 512 + {_part('place', 0, 8)}, null))"
-    )
-    rows = shared.select("value", "id", "place", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("tag"))
-    lead = rows.groupBy("value", "tag").agg(F.min(F.struct("id", "place")).alias("lead"))
-    lead = written(lead.select("value", "tag", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at")), "leads")
+    lead = shared.groupBy("value").agg(F.min(F.struct("id", "place")).alias("lead"))
+    lead = written(lead.select("value", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at")), "leads")
     left, right = (f"least({_part('place', k, 10)}, {_part('at', k, 10)})" for k in (_L, _R))
-    met = rows.join(lead, ["value", "tag"]).where(f"id != mate and {left} + {right} + 1 >= {least}")
-    by_shift = met.groupBy("id", "mate", F.expr(f"{_part('at', _C, 24)} - {_part('place', _C, 24)}").alias("shift")).agg(F.bit_or(F.expr(f"shiftleft(1, {_part('place', _F, 4)})")).alias("fs"))
+    met = shared.join(lead, "value").where(f"id != mate and {left} + {right} + 1 >= {least}")
+    by_shift = met.groupBy("id", "mate", F.expr(f"shiftrightunsigned(at, {_C}) - shiftrightunsigned(place, {_C})").alias("shift")).agg(F.bit_or(F.expr(f"shiftleft(1, {_part('place', _F, 4)})")).alias("fs"))
     pair = by_shift.groupBy("id", "mate").agg(F.bit_or("fs").alias("fs"), F.collect_set("shift").alias("shifts"))
-    return written(pair.where(F.bit_count("fs") >= agree).select("id", "mate", "shifts"), "candidates"), ends, shared, lead
+    pairs = written(pair.where(F.bit_count("fs") >= agree).select("id", "mate", "shifts"), "candidates")
+    dropped(w.sparkSession, lead)
+    return pairs, ends, shared
+
+
+def _second(docs: DataFrame, shared: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, mate, shifts): texts whose windows no passage explains, with the first text that goes on alike beside them."""
+    spark = docs.sparkSession
+    spans = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    c = f"shiftrightunsigned(place, {_C})"
+    inside = F.expr(f"exists(spans, s -> s.start_word <= {c} and {c} + {width} <= s.end_word)")
+    flagged = written(shared.join(spans.hint("merge"), "id", "left").select("value", "id", "place", (~F.coalesce(inside, F.lit(False))).alias("open")), "flagged")
+    values = flagged.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
+    values = written(values.where("n > 2 and last > lead").select("value", "lead"), "open-values")
+    own = flagged.join(values.hint("merge"), "value").withColumn("open", F.expr("open and id != lead"))
+    own = own.groupBy("id").agg(F.collect_list(F.struct("value", "place", "open")).alias("own"))
+    rows = docs.join(own.hint("merge"), "id").select("id", "text", F.col("own.value").alias("value"), F.col("own.place").alias("place"), F.col("own.open").alias("open"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            for lo, hi in steps(off, 2 << 20):
+                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                s, at = shingles(h, first, width)
+                part = batch.slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), part.column(2).value_lengths().to_numpy())
+                value, place = (part.column(k).flatten().to_numpy().view(np.uint64) for k in (2, 3))
+                open_ = part.column(4).flatten().to_numpy(zero_copy_only=False)
+                local = (place >> np.uint64(_C)).astype(np.int64)
+                here = np.flatnonzero(local < np.diff(at)[row])  # others are of another text of that id, as are those of another value
+                f = (place[here] >> np.uint64(_F) & np.uint64(15)).astype(np.int64)
+                here = here[s[at[row[here]] + local[here]] * np.array(_ODD)[f] == value[here]]
+                row, local, value, open_ = row[here], local[here], value[here], open_[here]
+                centre, sums = at[row] + local, _Sums(s)
+                for side, t in ((side, t) for side in (0, 1) for t in DEPTHS):
+                    ok = np.flatnonzero(centre + t < at[row + 1]) if side else np.flatnonzero(local >= t)
+                    begin = centre[ok] if side else centre[ok] - t
+                    key = mix(sums.of(begin, t + 1) ^ value[ok] ^ np.uint64(t * 2 + side << 20))
+                    yield pa.record_batch([flat(key.view(np.int64), pa.int64()), part.column(0).take(flat(row[ok], pa.int64())), flat(local[ok], pa.int64()), flat(open_[ok], pa.bool_())], names=["key", "id", "at", "open"])
+
+    keys = written(rows.mapInArrow(run, "key long, id long, at long, open boolean"), "keys")
+    here = F.struct(F.col("id").alias("mate"), F.col("at").alias("there"))
+    lead = keys.groupBy("key").agg(F.min(here).alias("first"), F.min(F.when(F.col("open"), here)).alias("unlike"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last > first.mate")
+    met = keys.where("open").join(lead.select("key", F.array_distinct(F.array("first", "unlike")).alias("leads")).hint("merge"), "key").select("id", "at", F.inline("leads"))
+    met = met.where("mate < id").groupBy("id", "mate").agg(F.collect_set(F.expr("there - at")).alias("shifts"))
+    known = pairs.select("id", "mate", F.array_union("shifts", "exact").alias("known"))
+    more = met.join(known, ["id", "mate"], "left").select("id", "mate", F.array_except("shifts", F.coalesce("known", F.array().cast("array<long>"))).alias("shifts"))
+    out = written(more.where(F.size("shifts") > 0), "second")
+    dropped(spark, flagged, values, keys)
+    return out
 
 
 def passages(docs: DataFrame, key: str, text_col: str, width: int, least: int) -> DataFrame:
@@ -136,33 +206,34 @@ def passages(docs: DataFrame, key: str, text_col: str, width: int, least: int) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffers(batch.column(1))
-            for lo, hi in steps(off, 2 << 20):
-                h, _, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                s, at = shingles(h, first, width)
-                if len(s) < least:
-                    continue
-                v = s * _ODD[0]
-                l, c, r = compact_windows(v, at, least)
-                begin = np.maximum(l, c - least + 1)
-                n = np.minimum(c, r - least + 1) - begin + 1
-                k = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-                row = np.searchsorted(at, c, side="right") - 1
-                hashes = lists(_rolled(s, least)[k], n, pa.int32())
-                yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), batch.column(0).take(flat(row + lo, pa.int64())), flat((begin - at[row]).astype(np.int64), pa.int64()), hashes], names=["value", "id", "start", "hashes"])
+        for ids, s, at, base in _texts(batches, width, least):
+            v = s * _ODD[0]
+            l, c, r = compact_windows(v, at, least)
+            begin = np.maximum(l, c - least + 1)
+            n = np.minimum(c, r - least + 1) - begin + 1
+            k = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+            row = np.searchsorted(at, c, side="right") - 1
+            hashes = lists(_rolled(s, least)[k], n, pa.int32())
+            yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), ids.take(flat(row, pa.int64())), flat(begin - at[row] + base[row], pa.int64()), hashes], names=["value", "id", "start", "hashes"])
+
+    return _read(docs, key, text_col).mapInArrow(run, "value long, id long, start long, hashes array<int>")
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "value long, id long, start long, hashes array<int>")
+
+class _Sums:
+    """Hashes of any values in a row: a polynomial of them modulo 2**64."""
+
+    def __init__(self, s: np.ndarray):
+        base = 0x9E3779B97F4A7C15
+        self.back = np.cumprod(np.full(len(s) + 1, np.uint64(pow(base, -1, 1 << 64))))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * np.cumprod(np.full(len(s), np.uint64(base))))])
+
+    def of(self, begin: np.ndarray, n: int) -> np.ndarray:
+        return (self.total[begin + n] - self.total[begin]) * self.back[begin]
 
 
 def _rolled(s: np.ndarray, n: int) -> np.ndarray:
-    """32 bits for each n values in a row: a polynomial of them modulo 2**64, mixed."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.full(len(s), base))
-    back = np.cumprod(np.full(len(s), np.uint64(pow(int(base), -1, 1 << 64))))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power)])
-    return (mix((sums[n:] - sums[:-n]) * back[: len(s) - n + 1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """32 mixed bits for each n values in a row."""
+    return (mix(_Sums(s).of(np.arange(len(s) - n + 1), n)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _exact(docs: DataFrame, key: str, text_col: str, width: int, least: int, ends: DataFrame) -> DataFrame:
@@ -172,7 +243,7 @@ def _exact(docs: DataFrame, key: str, text_col: str, width: int, least: int, end
     rows = held.select("id", "value", "start", F.posexplode("hashes").alias("k", "hash")).select("id", F.xxhash64("value", "hash").alias("passage"), (F.col("start") + F.col("k")).alias("place"))
     first = rows.groupBy("passage").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("id").alias("last")).where("lead.id != last")
     first = first.select("passage", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at"))
-    met = rows.join(first.hint("merge"), "passage").where("id != mate").select("id", "mate", F.expr("cast(at - place as int)").alias("shift"))
+    met = rows.join(first.hint("merge"), "passage").where("id != mate").select("id", "mate", F.expr("at - place").alias("shift"))
     pairs = written(met.groupBy("id", "mate").agg(F.collect_set("shift").alias("shifts")), "exact")
     dropped(docs.sparkSession, held)
     return pairs
@@ -282,22 +353,35 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
     the passages' `width`-word shingles at least `percent`); kept is false. A text that is a mate has its passage too,
     as its own mate with kept = true. Words are runs of bytes outside 0x20 and 0x09-0x0D with A-Z lower-cased and are
     counted from 0. A null or empty text and one of fewer words than a passage has no rows; nor has a null id.
-    A text of 2**24 words or more is an error. Rows
-    that repeat an id are texts of one document and not compared with each other. Only the two named columns are read.
+    Texts of any length are looked at whole. Rows
+    that repeat an id are texts of one document and not compared with each other. Ids of another kind than whole
+    numbers are an error. Only the two named columns are read; an empty table gives no rows.
     """
     least = least_words - width + 1
     if not 2 <= least <= FAR or hashes > 16:
         raise ValueError("passages must be longer than a shingle and of at most 1023; 16 hash functions at most")
-    w = windows(docs, key, text_col, width, least, hashes)
-    pairs, ends, *scratch = _candidates(w, least, agree)
-    for table in scratch:
-        dropped(docs.sparkSession, table)
+    whole_ids(docs, key)
+    spark, text = docs.sparkSession, _read(docs, key, text_col)
+    pairs, ends, shared = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
     exact = _exact(docs, key, text_col, width, least, ends)
-    dropped(docs.sparkSession, ends)
-    none = F.array().cast("array<int>")
+    dropped(spark, ends)
+    none = F.array().cast("array<long>")
     both = pairs.withColumn("exact", none).unionByName(exact.select("id", "mate", none.alias("shifts"), F.col("shifts").alias("exact")))
-    pairs = written(both.groupBy("id", "mate").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("shifts", "exact")]), "pairs")
-    text = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text_col).alias("text"))
+    first = written(both.groupBy("id", "mate").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("shifts", "exact")]), "pairs")
+    found = written(_verified(text, first, width, least, percent), "found")
+    more = _second(text, shared, found, first, width)
+    found = written(found.unionByName(_verified(text, more.withColumn("exact", none), width, least, percent)), "found")
+    dropped(spark, shared)
+    about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
+    told = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
+    found = written(told.select("doc_id", "start_word", "end_word", "mate.*"), "passages")
+    own = found.select(F.col("mate_id").alias("doc_id"), F.col("mate_start").alias("start_word"), F.col("mate_end").alias("end_word")).distinct()
+    own = own.select("*", F.col("doc_id").alias("mate_id"), F.col("start_word").alias("mate_start"), F.col("end_word").alias("mate_end"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept"))
+    return found.withColumn("kept", F.lit(False)).unionByName(own)
+
+
+def _verified(text: DataFrame, pairs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+    """The passages that pairs of texts (id, mate, shifts, exact) share: doc_id, start_word, end_word and the mate's."""
     ids = pairs.select("id").unionByName(pairs.select(F.col("mate").alias("id"))).distinct()
     used = written(text.join(ids.hint("merge"), "id", "left_semi"), "texts")
     both = pairs.join(used, "id").join(used.select(F.col("id").alias("mate"), F.col("text").alias("mate_text")), "mate")
@@ -322,14 +406,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
             )
 
     name = "doc_id long, start_word long, end_word long, mate_id long, mate_start long, mate_end long, similarity double"
-    told = both.select("id", "mate", "shifts", "exact", "text", "mate_text").mapInArrow(verify, name)
-    about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
-    told = told.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
-    found = written(told.select("doc_id", "start_word", "end_word", "mate.*"), "passages")
-    dropped(docs.sparkSession, used)
-    first = found.select(F.col("mate_id").alias("doc_id"), F.col("mate_start").alias("start_word"), F.col("mate_end").alias("end_word")).distinct()
-    first = first.select("*", F.col("doc_id").alias("mate_id"), F.col("start_word").alias("mate_start"), F.col("end_word").alias("mate_end"), F.lit(1.0).alias("similarity"), F.lit(True).alias("kept"))
-    return found.withColumn("kept", F.lit(False)).unionByName(first)
+    return both.select("id", "mate", "shifts", "exact", "text", "mate_text").mapInArrow(verify, name)
 
 
 def _text_shingles(raw: np.ndarray, width: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lineweave.llm import substring
 
@@ -169,3 +170,70 @@ def test_exact_repeats_that_begin_with_a_frequent_line(spark):
         copies[tuple(f"{line} {tail}".split())] = (2000 + 2 * k, 2001 + 2 * k)
         rows += [(2000 + 2 * k + j, " ".join([prose(rng, 30), line, tail, prose(rng, 25)])) for j in (0, 1)]
     assert missed(spark, rows, copies) == []
+
+
+def test_fragments_of_the_passage_come_first(spark):
+    """The first text of each group holds 45 and 40 words of a passage that the two others share whole."""
+    rng = random.Random(13)
+    rows, copies = [], {}
+    for g in range(150):
+        p = prose(rng, 60).split()
+        rows.append((3 * g, " ".join([prose(rng, 15), *p[:45], prose(rng, 25), *p[20:], prose(rng, 15)])))
+        copies[tuple(p)] = (3 * g + 1, 3 * g + 2)
+        rows += [(3 * g + k, " ".join([prose(rng, 20), *p, prose(rng, 20)])) for k in (1, 2)]
+    assert missed(spark, rows, copies) == []
+
+
+def edited(rng, words, n=1):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = prose(rng, 1) + "x"
+    return out
+
+
+def test_recall_of_near_passages(spark):
+    """Passages with one word in sixty changed, whatever comes first: nothing, their fragments, edited versions, a
+    frequent line before them."""
+    rng = random.Random(14)
+    rows, pairs, i = [], {"plain": [], "fragments": [], "versions": [], "line": []}, 0
+    line = prose(rng, 38).split()
+
+    def put(words):
+        nonlocal i
+        rows.append((i, " ".join([prose(rng, 20), *words, prose(rng, 20)])))
+        i += 1
+        return i - 1
+
+    for _ in range(600):
+        put(line)
+    for _ in range(60):
+        for kind in pairs:
+            p = (line if kind == "line" else []) + prose(rng, 30 if kind == "line" else 64).split()
+            if kind == "fragments":
+                put([*p[:45], *prose(rng, 20).split(), *p[24:]])
+            for _ in range(12 if kind == "versions" else 0):
+                put(edited(rng, p[:20], 2) + edited(rng, p[20:44], 2) + edited(rng, p[44:], 2))
+            a = put(p)
+            pairs[kind].append((a, put(edited(rng, p)), len(p)))
+    got = {}
+    for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    for kind, all_ in pairs.items():
+        found = [any(min(e, 20 + n) - max(a, 20) >= 50 for a, e in got.get(later, [])) for _, later, n in all_]
+        assert sum(found) >= 0.9 * len(found), (kind, sum(found))
+
+
+def test_a_text_in_parts(spark, monkeypatch):
+    """Cut into overlapping parts, a long text gives what it gives as a whole."""
+    rng = random.Random(15)
+    p = prose(rng, 80)
+    rows = [(1, " ".join([prose(rng, 9000), p, prose(rng, 6000), p, prose(rng, 7000)])), (2, " ".join([prose(rng, 30), p]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring.repeats(df).collect()))
+    monkeypatch.setattr(substring, "PART", 4000)
+    parts = substring._texts(iter(df.toArrow().select(["doc_id", "text"]).to_batches()), 5, 46)
+    assert len(list(parts)) > 6
+    assert len(want) >= 2 and {r.doc_id for r in substring.repeats(df).collect()} == {w[0] for w in want}
+    with_text_ids = df.selectExpr("cast(doc_id as string) as doc_id", "text")
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.repeats(with_text_ids)
