@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,9 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of written() tables that nothing reads any more."""
     for path in {x.rsplit("/", 1)[0] for df in tables for x in df.inputFiles()}:
         delete(spark, path)
+
+
+def collected(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
