@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.sources.scratch import dropped, shared_path, written  # noqa: F401  for the operators here
+from lineweave.sources.scratch import collected, dropped, shared_path, written  # noqa: F401  for the operators here
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, whole_ids, written
+from lineweave.llm.common import buffers, collected, dropped, flat, lists, mix, steps, whole_ids, written
 from lineweave.llm.words import shingles, words
 
 #: Hash functions; how many of them have to agree on a pair and alignment.
-HASHES, AGREE = 6, 2
+HASHES, AGREE = 4, 2
 #: Shingles to either side that windows have to share to meet a second time; passages split by one word hold the least.
 DEPTHS = (22, 33, 44)
 #: Equal shingles in a row from which on they count as a run.
@@ -137,32 +137,32 @@ def _part(column: str, low: int, bits: int) -> str:
 
 def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, mate, shifts): texts to compare with an earlier one, and by how many places passages are shifted; then
-    the values that texts share, and the windows of these."""
+    the values that texts share, and the windows (value, id, place, lead) of those that more than two windows share."""
     # written, so that both sides of the join are freshly exchanged and a value of very many windows can be split
     ends = written(w.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("value"), "values")
     shared = written(w.join(ends.hint("merge"), "value", "left_semi"), "windows")
-    lead = shared.groupBy("value").agg(F.min(F.struct("id", "place")).alias("lead"))
-    lead = written(lead.select("value", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at")), "leads")
+    lead = shared.groupBy("value").agg(F.min(F.struct("id", "place")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    lead = written(lead.select("value", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at"), "n"), "leads")
     left, right = (f"least({_part('place', k, 10)}, {_part('at', k, 10)})" for k in (_L, _R))
     met = shared.join(lead, "value").where(f"id != mate and {left} + {right} + 1 >= {least}")
     by_shift = met.groupBy("id", "mate", F.expr(f"shiftrightunsigned(at, {_C}) - shiftrightunsigned(place, {_C})").alias("shift")).agg(F.bit_or(F.expr(f"shiftleft(1, {_part('place', _F, 4)})")).alias("fs"))
     pair = by_shift.groupBy("id", "mate").agg(F.bit_or("fs").alias("fs"), F.collect_set("shift").alias("shifts"))
     pairs = written(pair.where(F.bit_count("fs") >= agree).select("id", "mate", "shifts"), "candidates")
-    dropped(w.sparkSession, lead)
-    return pairs, ends, shared
+    # in a value of two windows both have met
+    crowded = written(shared.join(lead.where("n > 2").select("value", F.col("mate").alias("lead")).hint("merge"), "value"), "crowded")
+    dropped(w.sparkSession, lead, shared)
+    return pairs, ends, crowded
 
 
-def _second(docs: DataFrame, shared: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _second(docs: DataFrame, crowded: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(id, mate, shifts): texts whose windows no passage explains, with the first text that goes on alike beside them."""
     spark = docs.sparkSession
     spans = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     c = f"shiftrightunsigned(place, {_C})"
     inside = F.expr(f"exists(spans, s -> s.start_word <= {c} and {c} + {width} <= s.end_word)")
-    flagged = written(shared.join(spans.hint("merge"), "id", "left").select("value", "id", "place", (~F.coalesce(inside, F.lit(False))).alias("open")), "flagged")
-    values = flagged.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
-    values = written(values.where("n > 2 and last > lead").select("value", "lead"), "open-values")
-    own = flagged.join(values.hint("merge"), "value").withColumn("open", F.expr("open and id != lead"))
-    own = own.groupBy("id").agg(F.collect_list(F.struct("value", "place", "open")).alias("own"))
+    flagged = written(crowded.join(spans.hint("merge"), "id", "left").select("value", "id", "place", (~F.coalesce(inside, F.lit(False)) & F.expr("id != lead")).alias("open")), "flagged")
+    values = written(flagged.where("open").select("value").distinct(), "open-values")
+    own = flagged.join(values.hint("merge"), "value", "left_semi").groupBy("id").agg(F.collect_list(F.struct("value", "place", "open")).alias("own"))
     rows = docs.join(own.hint("merge"), "id").select("id", "text", F.col("own.value").alias("value"), F.col("own.place").alias("place"), F.col("own.open").alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,16 +362,19 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
         raise ValueError("passages must be longer than a shingle and of at most 1023; 16 hash functions at most")
     whole_ids(docs, key)
     spark, text = docs.sparkSession, _read(docs, key, text_col)
-    pairs, ends, shared = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
+    pairs, ends, crowded = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
+    collected(spark)
     exact = _exact(docs, key, text_col, width, least, ends)
     dropped(spark, ends)
     none = F.array().cast("array<long>")
     both = pairs.withColumn("exact", none).unionByName(exact.select("id", "mate", none.alias("shifts"), F.col("shifts").alias("exact")))
     first = written(both.groupBy("id", "mate").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("shifts", "exact")]), "pairs")
     found = written(_verified(text, first, width, least, percent), "found")
-    more = _second(text, shared, found, first, width)
+    collected(spark)
+    more = _second(text, crowded, found, first, width)
+    collected(spark)
     found = written(found.unionByName(_verified(text, more.withColumn("exact", none), width, least, percent)), "found")
-    dropped(spark, shared)
+    dropped(spark, crowded)
     about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
     told = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
     found = written(told.select("doc_id", "start_word", "end_word", "mate.*"), "passages")
