@@ -3,18 +3,18 @@
 A text is a sequence of `width`-word shingles. For each of HASHES hash functions, a Cartesian tree over the shingles'
 values gives compact windows (l, c, r): every passage that begins in l..c and ends in c..r has its least value at c.
 Windows of fewer than `least` shingles hold no passage of interest and are not built. Two passages can only be alike
-if they share least values, that is, if windows with equal values meet. Three interval joins let them meet without
-all pairs of a value:
+if they share least values, that is, if windows with equal values meet. Interval joins let them meet without all
+pairs of a value:
 
 1. Each window meets the first one of its value; pairs of texts whose aligned windows leave room for a passage under
-   enough hash functions are verified on their full texts.
-2. Exact repeats don't depend on whom a window meets there: each passage of `least` shingles lies in one window of
-   the first function, and copies lie in windows of one value. Where texts share that value, each passage has a hash
-   of all its shingles, and each text meets the first one that holds the very passage.
-3. Windows that no verified passage explains, as their value's first one was an unlike text (one with parts of the
+   enough hash functions are verified on their full texts. Two windows that have a value of the first function to
+   themselves need no other.
+2. Windows that no verified passage explains, as their value's first one was an unlike text (one with parts of the
    passage, an edited one, or one that only shares a frequent line), meet the first window of their value, and the
    first such unexplained one, with which they share the next DEPTHS shingles to the left or right. Texts that hold a
-   passage in common go on alike beyond what they share with others, however many those are.
+   passage in common go on alike beyond what they share with others, however many those are. Under the first function
+   each passage of `least` shingles around the window's centre counts, too, by a hash of all its shingles: an exact
+   repeat lies in one window of either text, so it is met whatever else shares the value.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, collected, dropped, flat, lists, mix, steps, whole_ids, written
+from lineweave.llm.common import buffers, collected, dropped, flat, mix, steps, whole_ids, written
 from lineweave.llm.words import shingles, words
 
 #: Hash functions; how many of them have to agree on a pair and alignment.
@@ -135,9 +135,9 @@ def _part(column: str, low: int, bits: int) -> str:
     return f"cast(shiftrightunsigned({column}, {low}) & {(1 << bits) - 1} as int)"
 
 
-def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, DataFrame]:
     """(id, mate, shifts): texts to compare with an earlier one, and by how many places passages are shifted; then
-    the values that texts share, and the windows (value, id, place, lead) of those that more than two windows share."""
+    the windows (value, id, place, lead) of values that more than two windows share."""
     # written, so that both sides of the join are freshly exchanged and a value of very many windows can be split
     ends = written(w.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("value"), "values")
     shared = written(w.join(ends.hint("merge"), "value", "left_semi"), "windows")
@@ -145,17 +145,20 @@ def _candidates(w: DataFrame, least: int, agree: int) -> tuple[DataFrame, DataFr
     lead = written(lead.select("value", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at"), "n"), "leads")
     left, right = (f"least({_part('place', k, 10)}, {_part('at', k, 10)})" for k in (_L, _R))
     met = shared.join(lead, "value").where(f"id != mate and {left} + {right} + 1 >= {least}")
-    by_shift = met.groupBy("id", "mate", F.expr(f"shiftrightunsigned(at, {_C}) - shiftrightunsigned(place, {_C})").alias("shift")).agg(F.bit_or(F.expr(f"shiftleft(1, {_part('place', _F, 4)})")).alias("fs"))
-    pair = by_shift.groupBy("id", "mate").agg(F.bit_or("fs").alias("fs"), F.collect_set("shift").alias("shifts"))
-    pairs = written(pair.where(F.bit_count("fs") >= agree).select("id", "mate", "shifts"), "candidates")
+    by_shift = met.groupBy("id", "mate", F.expr(f"shiftrightunsigned(at, {_C}) - shiftrightunsigned(place, {_C})").alias("shift")).agg(
+        F.bit_or(F.expr(f"shiftleft(1, {_part('place', _F, 4)})")).alias("fs"), F.max(F.expr(f"n = 2 and {_part('place', _F, 4)} = 0")).alias("alone")
+    )
+    pair = by_shift.groupBy("id", "mate").agg(F.bit_or("fs").alias("fs"), F.max("alone").alias("alone"), F.collect_set("shift").alias("shifts"))
+    pairs = written(pair.where((F.bit_count("fs") >= agree) | F.col("alone")).select("id", "mate", "shifts"), "candidates")
     # in a value of two windows both have met
     crowded = written(shared.join(lead.where("n > 2").select("value", F.col("mate").alias("lead")).hint("merge"), "value"), "crowded")
-    dropped(w.sparkSession, lead, shared)
-    return pairs, ends, crowded
+    dropped(w.sparkSession, ends, lead, shared)
+    return pairs, crowded
 
 
-def _second(docs: DataFrame, crowded: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(id, mate, shifts): texts whose windows no passage explains, with the first text that goes on alike beside them."""
+def _second(docs: DataFrame, crowded: DataFrame, found: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
+    """(id, mate, shifts, exact): texts whose windows no passage explains, with the first text that goes on alike beside
+    them, and by how many places what they share is shifted; exact: that of passages of `least` equal shingles."""
     spark = docs.sparkSession
     spans = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     c = f"shiftrightunsigned(place, {_C})"
@@ -176,49 +179,40 @@ def _second(docs: DataFrame, crowded: DataFrame, found: DataFrame, pairs: DataFr
                 value, place = (part.column(k).flatten().to_numpy().view(np.uint64) for k in (2, 3))
                 open_ = part.column(4).flatten().to_numpy(zero_copy_only=False)
                 local = (place >> np.uint64(_C)).astype(np.int64)
-                here = np.flatnonzero(local < np.diff(at)[row])  # others are of another text of that id, as are those of another value
-                f = (place[here] >> np.uint64(_F) & np.uint64(15)).astype(np.int64)
-                here = here[s[at[row[here]] + local[here]] * np.array(_ODD)[f] == value[here]]
+                near = np.flatnonzero(local < np.diff(at)[row])  # others are of another text of that id, as are those of another value
+                f = (place[near] >> np.uint64(_F) & np.uint64(15)).astype(np.int64)
+                here = near[s[at[row[near]] + local[near]] * np.array(_ODD)[f] == value[near]]
+                reach = [(place[here] >> np.uint64(k) & np.uint64(FAR)).astype(np.int64) for k in (_L, _R)]
+                whole = np.flatnonzero(f[np.searchsorted(near, here)] == 0)
                 row, local, value, open_ = row[here], local[here], value[here], open_[here]
                 centre, sums = at[row] + local, _Sums(s)
-                for side, t in ((side, t) for side in (0, 1) for t in DEPTHS):
-                    ok = np.flatnonzero(centre + t < at[row + 1]) if side else np.flatnonzero(local >= t)
-                    begin = centre[ok] if side else centre[ok] - t
-                    key = mix(sums.of(begin, t + 1) ^ value[ok] ^ np.uint64(t * 2 + side << 20))
-                    yield pa.record_batch([flat(key.view(np.int64), pa.int64()), part.column(0).take(flat(row[ok], pa.int64())), flat(local[ok], pa.int64()), flat(open_[ok], pa.bool_())], names=["key", "id", "at", "open"])
 
-    keys = written(rows.mapInArrow(run, "key long, id long, at long, open boolean"), "keys")
+                def told(which: np.ndarray, begin: np.ndarray, n: int, salt: int, exact: bool) -> pa.RecordBatch:
+                    key = mix(sums.of(begin, n) ^ value[which] ^ np.uint64(salt << 20))
+                    place = begin - at[row[which]] if exact else local[which]
+                    return pa.record_batch([flat(key.view(np.int64), pa.int64()), part.column(0).take(flat(row[which], pa.int64())), flat(place, pa.int64()), flat(open_[which], pa.bool_()), pa.array(np.full(len(which), exact))], names=["key", "id", "at", "open", "exact"])
+
+                for t in DEPTHS:
+                    left, right = np.flatnonzero(local >= t), np.flatnonzero(centre + t < at[row + 1])
+                    yield told(left, centre[left] - t, t + 1, 2 * t, False)
+                    yield told(right, centre[right], t + 1, 2 * t + 1, False)
+                begin = centre[whole] - np.minimum(reach[0][whole], least - 1)
+                n = np.maximum(np.minimum(centre[whole], centre[whole] + reach[1][whole] - least + 1) - begin + 1, 0)
+                yield told(np.repeat(whole, n), np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n), least, 0, True)
+
+    keys = written(rows.mapInArrow(run, "key long, id long, at long, open boolean, exact boolean"), "keys")
     here = F.struct(F.col("id").alias("mate"), F.col("at").alias("there"))
     lead = keys.groupBy("key").agg(F.min(here).alias("first"), F.min(F.when(F.col("open"), here)).alias("unlike"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last > first.mate")
-    met = keys.where("open").join(lead.select("key", F.array_distinct(F.array("first", "unlike")).alias("leads")).hint("merge"), "key").select("id", "at", F.inline("leads"))
-    met = met.where("mate < id").groupBy("id", "mate").agg(F.collect_set(F.expr("there - at")).alias("shifts"))
-    known = pairs.select("id", "mate", F.array_union("shifts", "exact").alias("known"))
-    more = met.join(known, ["id", "mate"], "left").select("id", "mate", F.array_except("shifts", F.coalesce("known", F.array().cast("array<long>"))).alias("shifts"))
-    out = written(more.where(F.size("shifts") > 0), "second")
+    met = keys.where("open").join(lead.select("key", F.array_distinct(F.array("first", "unlike")).alias("leads")).hint("merge"), "key").select("id", "at", "exact", F.inline("leads"))
+    shift = F.expr("there - at")
+    met = met.where("mate < id").groupBy("id", "mate").agg(F.collect_set(F.when(~F.col("exact"), shift)).alias("shifts"), F.collect_set(F.when(F.col("exact"), shift)).alias("exact"))
+    known = F.coalesce("known", F.array().cast("array<long>"))
+    more = met.join(pairs.withColumnRenamed("shifts", "known"), ["id", "mate"], "left").select("id", "mate", *[F.array_except(c, known).alias(c) for c in ("shifts", "exact")])
+    out = written(more.where("size(shifts) + size(exact) > 0"), "second")
     dropped(spark, flagged, values, keys)
     return out
 
 
-def passages(docs: DataFrame, key: str, text_col: str, width: int, least: int) -> DataFrame:
-    """(value, id, start, hashes): each window of the first function with the hashes of its passages of `least` shingles.
-
-    The passages begin at start, start + 1 and so on; each passage of a text is in exactly one window.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s, at, base in _texts(batches, width, least):
-            v = s * _ODD[0]
-            l, c, r = compact_windows(v, at, least)
-            begin = np.maximum(l, c - least + 1)
-            n = np.minimum(c, r - least + 1) - begin + 1
-            k = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-            row = np.searchsorted(at, c, side="right") - 1
-            hashes = lists(_rolled(s, least)[k], n, pa.int32())
-            yield pa.record_batch([flat(v[c].view(np.int64), pa.int64()), ids.take(flat(row, pa.int64())), flat(begin - at[row] + base[row], pa.int64()), hashes], names=["value", "id", "start", "hashes"])
-
-    return _read(docs, key, text_col).mapInArrow(run, "value long, id long, start long, hashes array<int>")
-
-
 class _Sums:
     """Hashes of any values in a row: a polynomial of them modulo 2**64."""
 
@@ -231,24 +225,6 @@ class _Sums:
         return (self.total[begin + n] - self.total[begin]) * self.back[begin]
 
 
-def _rolled(s: np.ndarray, n: int) -> np.ndarray:
-    """32 mixed bits for each n values in a row."""
-    return (mix(_Sums(s).of(np.arange(len(s) - n + 1), n)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def _exact(docs: DataFrame, key: str, text_col: str, width: int, least: int, ends: DataFrame) -> DataFrame:
-    """(id, mate, shifts): each text with the first one that holds the very same passage; ends: values that texts share."""
-    held = passages(docs, key, text_col, width, least).join(ends.hint("merge"), "value", "left_semi")
-    held = written(held, "held")
-    rows = held.select("id", "value", "start", F.posexplode("hashes").alias("k", "hash")).select("id", F.xxhash64("value", "hash").alias("passage"), (F.col("start") + F.col("k")).alias("place"))
-    first = rows.groupBy("passage").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("id").alias("last")).where("lead.id != last")
-    first = first.select("passage", F.col("lead.id").alias("mate"), F.col("lead.place").alias("at"))
-    met = rows.join(first.hint("merge"), "passage").where("id != mate").select("id", "mate", F.expr("at - place").alias("shift"))
-    pairs = written(met.groupBy("id", "mate").agg(F.collect_set("shift").alias("shifts")), "exact")
-    dropped(docs.sparkSession, held)
-    return pairs
-
-
 def _runs(a: np.ndarray, b: np.ndarray, d: int, shortest: int) -> np.ndarray:
     """[begin, end) of the runs of at least `shortest` shingles of a that b repeats d places further on."""
     lo, hi = max(0, -d), min(len(a), len(b) - d)
@@ -362,18 +338,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
         raise ValueError("passages must be longer than a shingle and of at most 1023; 16 hash functions at most")
     whole_ids(docs, key)
     spark, text = docs.sparkSession, _read(docs, key, text_col)
-    pairs, ends, crowded = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
+    first, crowded = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
     collected(spark)
-    exact = _exact(docs, key, text_col, width, least, ends)
-    dropped(spark, ends)
-    none = F.array().cast("array<long>")
-    both = pairs.withColumn("exact", none).unionByName(exact.select("id", "mate", none.alias("shifts"), F.col("shifts").alias("exact")))
-    first = written(both.groupBy("id", "mate").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("shifts", "exact")]), "pairs")
-    found = written(_verified(text, first, width, least, percent), "found")
+    found = written(_verified(text, first.withColumn("exact", F.array().cast("array<long>")), width, least, percent), "found")
     collected(spark)
-    more = _second(text, crowded, found, first, width)
+    more = _second(text, crowded, found, first, width, least)
     collected(spark)
-    found = written(found.unionByName(_verified(text, more.withColumn("exact", none), width, least, percent)), "found")
+    found = written(found.unionByName(_verified(text, more, width, least, percent)), "found")
     dropped(spark, crowded)
     about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
     told = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
