@@ -340,12 +340,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width:
     spark, text = docs.sparkSession, _read(docs, key, text_col)
     first, crowded = _candidates(windows(docs, key, text_col, width, least, hashes), least, agree)
     collected(spark)
-    found = written(_verified(text, first.withColumn("exact", F.array().cast("array<long>")), width, least, percent), "found")
+    found = _verified(text, first.withColumn("exact", F.array().cast("array<long>")), width, least, percent)
     collected(spark)
     more = _second(text, crowded, found, first, width, least)
     collected(spark)
-    found = written(found.unionByName(_verified(text, more, width, least, percent)), "found")
-    dropped(spark, crowded)
+    dropped(spark, crowded, first)
+    found = found.unionByName(_verified(text, more, width, least, percent))
     about = F.struct("mate_id", "mate_start", "mate_end", "similarity")
     told = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(about).alias("mate"))
     found = written(told.select("doc_id", "start_word", "end_word", "mate.*"), "passages")
@@ -380,7 +380,9 @@ def _verified(text: DataFrame, pairs: DataFrame, width: int, least: int, percent
             )
 
     name = "doc_id long, start_word long, end_word long, mate_id long, mate_start long, mate_end long, similarity double"
-    return both.select("id", "mate", "shifts", "exact", "text", "mate_text").mapInArrow(verify, name)
+    found = written(both.select("id", "mate", "shifts", "exact", "text", "mate_text").mapInArrow(verify, name), "found")
+    dropped(text.sparkSession, used)
+    return found
 
 
 def _text_shingles(raw: np.ndarray, width: int) -> np.ndarray:
