@@ -24,7 +24,7 @@ from lineweave.llm.common import buffers, flat, steps
 _TYPE = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _CLEAR, _END, _FIRST = 256, 257, 258
 
@@ -48,10 +48,12 @@ class Page:
 # ---- codecs ----
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, need: int | None = None) -> bytes:
+    """The decoded bytes; with need it stops once it has so many."""
+    out, i, n, size = [], 0, len(data), 0
+    while i < n and (need is None or size < need):
         k = data[i]
+        size += k + 1 if k < 128 else 257 - k if k > 128 else 0
         if k < 128:
             out.append(data[i + 1 : i + 2 + k])
             i += k + 2
@@ -153,8 +155,8 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(x[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
-def _inflate(data: bytes) -> bytes:
-    return zlib.decompressobj().decompress(data)
+def _inflate(data: bytes, need: int) -> bytes:
+    return zlib.decompressobj().decompress(data, max(need, 1))
 
 
 # ---- reader ----
@@ -190,7 +192,7 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
 
 
-def _samples(raw: bytes, order: str, bits: int, rows: int, width: int, samples: int, predictor: int, form: int) -> np.ndarray:
+def _samples(raw: bytes, order: str, bits: int, rows: int, width: int, samples: int, predictor: int) -> np.ndarray:
     """rows x width x samples of one strip or tile, predictor undone."""
     if bits < 8:
         line = -(-width * samples * bits // 8)
@@ -238,16 +240,16 @@ def pages(data: bytes) -> Iterator[Page]:
                     raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 8)[:, ::-1]).tobytes()
                 need = rows * -(-w * deep * bits // 8)
                 if compression == PACKBITS:
-                    raw = packbits_decode(raw)
+                    raw = packbits_decode(raw, need)
                 elif compression == LZW:
                     raw = lzw_decode(raw, need)
                 elif compression in (DEFLATE, OLD_DEFLATE):
-                    raw = _inflate(raw)
+                    raw = _inflate(raw, need)
                 elif compression != NONE:
                     raise TiffError(f"compression {compression}")
                 if len(raw) < need:
                     raise TiffError("a block decodes to too few bytes")
-                part = _samples(raw, order, bits, rows, w, deep, predictor, t.get(SAMPLE_FORMAT, (1,))[0])
+                part = _samples(raw, order, bits, rows, w, deep, predictor)
                 part = part[: height - y, : width - x]
                 image[y : y + part.shape[0], x : x + part.shape[1], plane * deep : (plane + 1) * deep] = part
             yield Page(width, height, samples, bits, compression, predictor, tiled, image.tobytes())
@@ -265,9 +267,8 @@ def write(payload: bytes, width: int = 64, page_rows: int = 1024) -> bytes:
     compression of each page, so that equal payloads are stored alike and all of the reader's paths are in use.
     """
     seed = zlib.crc32(payload)
-    order, out, links = "<" if seed & 1 else ">", [], 4
-    out.append((b"II" if seed & 1 else b"MM") + struct.pack(order + "HI", 42, 0))
-    at = 8
+    order, links = "<" if seed & 1 else ">", 4
+    out = bytearray((b"II" if seed & 1 else b"MM") + struct.pack(order + "HI", 42, 0))
     step = width * page_rows
     for k in range(0, len(payload), step):
         image = np.frombuffer(payload[k : k + step], np.uint8).reshape(-1, width)
@@ -285,16 +286,15 @@ def write(payload: bytes, width: int = 64, page_rows: int = 1024) -> bytes:
             blocks.append(packbits_encode(raw) if kind == PACKBITS else lzw_encode(raw) if kind == LZW else zlib.compress(raw, 6))
         offsets = []
         for b in blocks:
-            offsets.append(at)
-            out.append(b + b"\0" * (len(b) & 1))
-            at += len(b) + (len(b) & 1)
+            offsets.append(len(out))
+            out += b + b"\0" * (len(b) & 1)
         tags: list[tuple[int, int, list[int]]] = [(WIDTH, 3, [width]), (HEIGHT, 4, [len(image)]), (BITS, 3, [8]), (COMPRESSION, 3, [kind]), (PHOTOMETRIC, 3, [1])]
         sizes = [len(b) for b in blocks]
         if tiled:
             tags += [(SAMPLES, 3, [1]), (PREDICTOR, 3, [predictor]), (TILE_WIDTH, 3, [width]), (TILE_HEIGHT, 3, [rows]), (TILE_OFFSETS, 4, offsets), (TILE_BYTES, 4, sizes)]
         else:
             tags += [(STRIP_OFFSETS, 4, offsets), (SAMPLES, 3, [1]), (ROWS_PER_STRIP, 4, [rows]), (STRIP_BYTES, 4, sizes), (PREDICTOR, 3, [predictor])]
-        extra, entries = b"", b""
+        extra, entries, at = b"", b"", len(out)
         extra_at = at + 2 + 12 * len(tags) + 4
         for tag, form, values in tags:
             raw = struct.pack(f"{order}{len(values)}{'H' if form == 3 else 'I'}", *values)
@@ -304,13 +304,10 @@ def write(payload: bytes, width: int = 64, page_rows: int = 1024) -> bytes:
             else:
                 entries += struct.pack(order + "I", extra_at + len(extra))
                 extra += raw
-        out.append(struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0) + extra)
-        blob = bytearray(b"".join(out))
-        struct.pack_into(order + "I", blob, links, at)
+        out += struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0) + extra
+        struct.pack_into(order + "I", out, links, at)  # the page before, or the header, leads here
         links = extra_at - 4
-        at = len(blob)
-        out = [bytes(blob)]
-    return out[0]
+    return bytes(out)
 
 
 # ---- DataFrames ----
