@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from lineweave.llm.common import buffers, crc_mod, flat, lists, steps, written
 DIMS = 4096
 #: Sampled ids that may travel to all tasks.
 FEW = 50_000
+#: The share of a language's own texts that its threshold is measured at.
+FIRST = 0.01
 #: Distinct trigrams from which on a text's cosine is held against the full threshold.
 FULL = 256
 _LETTER = np.arange(256, dtype=np.uint32)
@@ -98,8 +101,8 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: int = 4, per_slot: int = 24, slots: int = 16, far: float = 0.5) -> Model:
     """Fit on at most slots * per_slot labelled texts per language, spread over `slots` by a hash of the key.
 
-    The bound (384 a language by default) is a parameter and holds for centroids and thresholds; the IDF counts all
-    labelled texts. Texts that are null or without a letter are left out. A
+    The bound (384 a language by default) is a parameter and holds for centroids and thresholds, also where rows
+    repeat an id; each language is fitted in a task of its own. The IDF counts all labelled texts. Texts that are null or without a letter are left out. A
     language's rejection threshold is `far` times the first percentile of its own texts' best cosines; for a text of
     fewer than FULL distinct trigrams, whose cosines are small by nature, it shrinks with the root of their number.
     """
@@ -116,31 +119,35 @@ def train(docs: DataFrame, label_col: str, text_col: str, key: str, centroids: i
     chosen = written(chosen, "sample")
     if chosen.count() <= FEW:  # slots * per_slot a language: with more languages than FEW allows, texts are shuffled
         chosen = F.broadcast(chosen)
+    n, held = document_frequencies(usable.select(F.lower(text_col)))
+    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, x in _features(batch, 2):
                 rows, cols = np.nonzero(x)
                 n = np.bincount(rows, minlength=hi - lo)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists(cols.astype(np.int16), n, pa.int16()), lists(x[rows, cols], n, pa.float32())], names=["id", "label", "at", "value"])
+                yield pa.record_batch([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1, 3)), lists(cols.astype(np.int16), n, pa.int16()), lists(x[rows, cols], n, pa.float32())], names=["place", "label", "text_hash", "at", "value"])
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "text_hash"], kind="mergesort")
+        x = np.zeros((len(pdf), DIMS), np.float32)
+        for i, (at, value) in enumerate(zip(pdf["at"], pdf["value"], strict=True)):
+            x[i, at] = value
+        own = _unit(x * idf)
+        c = _spherical(own, centroids)
+        limit = far * float(np.quantile((own @ c.T).max(1), FIRST))
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "centroid": list(c), "threshold": limit})
 
+    # an id may stand for many rows, so the rows themselves are bounded as well
     sample = usable.select(F.col(key).alias("id"), F.col(label_col).alias("label"), F.lower(text_col).alias("text")).join(chosen, "id", "left_semi")
-    got = sample.mapInArrow(vectors, "id long, label string, at array<short>, value array<float>").toArrow().sort_by([("id", "ascending")])
-    x = np.zeros((got.num_rows, DIMS), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
-        x[i, at.values.to_numpy()] = value.values.to_numpy()
-    n, held = document_frequencies(usable.select(F.lower(text_col)))
-    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + 1
-    x = _unit(x * idf)
-    label = np.array(got["label"].to_pylist(), object)
-    rows, names, limit = [np.zeros((0, DIMS), np.float32)], [], []
-    for lang in sorted(set(label)):
-        own = x[label == lang]
-        c = _spherical(own, centroids)
-        rows.append(c)
-        names += [lang] * len(c)
-        limit += [far * float(np.quantile((own @ c.T).max(1), 0.01))] * len(c)
-    return Model(idf, np.concatenate(rows), names, np.array(limit))
+    sample = sample.withColumn("place", F.xxhash64(F.col("id").cast("string"))).withColumn("slot", F.pmod("place", F.lit(slots))).withColumn("text_hash", F.xxhash64("text"))
+    few = sample.withColumn("k", F.row_number().over(Window.partitionBy("label", "slot").orderBy("place", "text_hash"))).where(F.col("k") <= per_slot)
+    made = few.select("place", "label", "text", "text_hash").mapInArrow(vectors, "place long, label string, text_hash long, at array<short>, value array<float>")
+    made = made.groupBy("label").applyInPandas(fitted, "label string, centroid array<float>, threshold double").toPandas()  # centroids a language
+    made = made.sort_values("label", kind="mergesort")
+    rows = np.stack([np.zeros(DIMS, np.float32), *made["centroid"]])[1:]
+    return Model(idf, rows, made["label"].tolist(), made["threshold"].to_numpy(float))
 
 
 def _nearest(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

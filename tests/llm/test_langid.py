@@ -51,3 +51,45 @@ def test_idf_counts_all_training_texts(spark):
         held += langid.counts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] > 0
     want = np.log((1 + len(texts)) / (1 + held)) + 1
     assert np.allclose(langid.train(docs, "lang", "text", "doc_id", per_slot=1).idf, want, atol=1e-5)
+
+
+def test_rows_that_repeat_an_id_are_bounded(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null")
+    one = docs.where("lang = 'en'").selectExpr("cast(7 as long) as doc_id", "text", "lang")
+    many = docs.where("lang <> 'en'").select("doc_id", "text", "lang").unionByName(one)
+    model = langid.train(many, "lang", "text", "doc_id", per_slot=3)
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = lang_pred").count() >= 0.97 * docs.count()
+    assert langid.train(one, "lang", "text", "doc_id", per_slot=3, centroids=9).language == ["en"] * 3  # three rows were fitted
+
+
+def test_predictions_against_brute_force(spark):
+    """TF-IDF of trigrams, cosines with the centroids and thresholds, text by text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, "lang", "text", "doc_id")
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.where("text is not null").collect():
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in r.text.lower().encode())
+        tf = np.zeros(langid.DIMS)
+        for k in range(len(raw) - 2):
+            if raw[k : k + 3] != b"   ":
+                code = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+                tf[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        v = np.log1p(tf) * model.idf
+        cos = model.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        best = int(np.argmax(cos))
+        p = got[r.doc_id]
+        if any(c.isalpha() for c in r.text):
+            assert abs(p.score - cos[best]) < 1e-4 and (p.lang_pred == model.language[best] or np.sort(cos)[-1] - np.sort(cos)[-2] < 1e-4)
+            limit = model.threshold[best] * min(np.count_nonzero(tf) / langid.FULL, 1) ** 0.5
+            assert p.rejected == (cos[best] < limit) or abs(cos[best] - limit) < 1e-4
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    """Leaving each language out in turn; hardly any text of the learned ones is rejected."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null and n_chars >= 200")
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+        model = langid.train(docs.where(docs.lang != lang), "lang", "text", "doc_id")
+        told = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+        left = told.where(told.lang == lang)
+        print(lang, "rejected", left.where("rejected").count() / left.count(), "of the others", told.where(told.lang != lang).where("rejected").count() / told.where(told.lang != lang).count())
