@@ -11,14 +11,15 @@ near copies costs g comparisons, not g * g.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, written
+from lineweave.llm.common import buffers, dropped, flat, lists, mix, steps, whole_ids, written
 from lineweave.llm.components import components
 from lineweave.llm.words import shingle_set, words
 
@@ -70,7 +71,11 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands: int, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: id, n_shingles, digest (16 bytes that tell sets apart; null for an empty set), bands, sketch."""
+    """One row per row of docs: id, mark, n_shingles, digest, bands, sketch.
+
+    mark is a hash of the text, which tells texts of one id apart; digest 16 bytes that tell sets apart, null for an
+    empty set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +93,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands:
                     else:
                         digest.append(None)
             yield pa.record_batch(
-                [batch.column(0), flat(n_set, pa.int64()), flat(digest, pa.binary()), lists(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.where(n_set > 0, n_bands, 0), pa.int64()), lists(np.concatenate(odd or [np.zeros(0, np.int64)]), np.where(n_set > 0, SKETCH, 0), pa.int64())],
-                names=["id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column(0), batch.column(2), flat(n_set, pa.int64()), flat(digest, pa.binary()), lists(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.where(n_set > 0, n_bands, 0), pa.int64()), lists(np.concatenate(odd or [np.zeros(0, np.int64)]), np.where(n_set > 0, SKETCH, 0), pa.int64())],
+                names=["id", "mark", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    rows_ = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), _mark(text_col).alias("mark"))
+    return rows_.mapInArrow(run, "id long, mark long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -118,19 +128,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id reachable over links, the own id included. A null or empty text, or one without words, has an
     empty set and is linked with nothing; a text of fewer words than `width` has its whole sequence as one shingle.
     Rows with equal sets are linked whatever their number. A null id is never linked: component_id null, kept true.
-    Rows that repeat an id each get a row. Only the two named columns are read; an empty table gives no rows.
+    Rows that repeat an id each get a row, by their own text. Ids of another kind than whole numbers are an error. Only
+    the two named columns are read; an empty table gives no rows.
+    """
+    return _rows(docs, id_col, text_col, width, percent).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept")
+    )
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; all columns stay as they are, whatever their names.
+
+    Of rows that repeat an id each goes or stays by its own text; rows that repeat id and text do so together.
     """
+    own_id, own_mark = (f"{x}-{uuid.uuid4().hex}" for x in ("id", "mark"))  # no column of docs has such a name
+    gone = _rows(docs, id_col, text_col, width, percent).where("not id <=> component").select(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).distinct()
+    same = (docs[id_col] == gone[own_id]) & (F.xxhash64(docs[text_col].cast("string")) == gone[own_mark])
+    return docs.join(gone.hint("merge"), same, "left_anti")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """One row per row of docs: id, mark, n_shingles, component."""
+    whole_ids(docs, id_col)
     n_bands = bands_for(percent / 100)
     signed = written(signatures(docs, id_col, text_col, width, n_bands), "signatures")
     usable = signed.where("id is not null and digest is not null")
-    items = written(usable.groupBy("digest").agg(F.min("id").alias("item"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "items")
-    # An id may stand for several texts if the table repeats ids: such items are one node of the graph.
+    first = F.min(F.struct("id", "mark")).alias("first")
+    items = usable.groupBy("digest").agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    items = written(items.select("digest", "first.*", "n", "bands", "sketch").withColumn("item", F.monotonically_increasing_id()), "items")
     members = items.select(F.explode("bands").alias("bucket"), "item")
     bucket = written(members.groupBy("bucket").agg(F.min("item").alias("centre"), F.max("item").alias("last")).where("centre != last").select("bucket", "centre"), "buckets")
     members = written(members.join(bucket.select("bucket"), "bucket", "left_semi"), "members")
-    wanted = members.select("item").distinct()
+    wanted = items.select("item", "id", "mark").join(members.select("item").distinct(), "item", "left_semi")
     # merged by sorting at any size: the texts' side is too large to copy the other one to each task
-    full = docs.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "item", "left_semi")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    full = text.join(wanted.hint("merge"), ["id", "mark"]).dropDuplicates(["id", "mark"])  # already dealt by these
     shingled = written(sets(full, "item", "text", width).select(F.col("id").alias("item"), "shingles"), "sets")
 
     # First each text against one centre only, the smallest of its buckets' centres: that joins most of each group.
@@ -158,13 +190,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for table in (members, bucket, shingled):
         dropped(docs.sparkSession, table)
 
-    own = _label(items.select("digest", "item"), "item", label, "component")
-    rows = signed.select("id", "n_shingles", "digest")
-    both = rows.where("id is not null and digest is not null").join(own.select("digest", "component"), "digest").select("id", "n_shingles", "component")
-    alone = rows.where("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component"))
-    return both.unionByName(alone).select(
-        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept")
-    )
+    own = written(_label(items.select("digest", "id", "item"), "item", label, "c").select("digest", "id", "c"), "own")
+    dropped(docs.sparkSession, items)
+    own = own.select("digest", "c").join(own.groupBy("c").agg(F.min("id").alias("component")), "c").select("digest", "component")
+    rows = signed.select("id", "mark", "n_shingles", "digest")
+    both = rows.where("id is not null and digest is not null").join(own, "digest").select("id", "mark", "n_shingles", "component")
+    return both.unionByName(rows.where("id is null or digest is null").select("id", "mark", "n_shingles", F.col("id").alias("component")))
 
 
 def _label(table: DataFrame, column: str, label: DataFrame, name: str) -> DataFrame:

@@ -103,3 +103,17 @@ def test_words_follow_the_pattern():
     assert [bytes(data[s:e]).decode() for s, e in zip(starts, ends, strict=True)] == re.findall(r"[^\x20\x09-\x0d]+", text)
     assert first.tolist() == [0, len(h)]
     assert len(shingle_set(h[:0], 3)) == 0
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    near = " ".join([*(f"a{k}" for k in range(29)), "other"])
+    rows = [(1, a, "p"), (2, near, "q"), (2, b, "r"), (2, b, "r"), (3, b, "s"), (4, None, "t"), (None, a, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").selectExpr("doc_id", "text", "mark", "1 as id", "2 as component")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df, width=3, percent=80).collect())
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True)]
+    kept = minhash.without_duplicates(df, width=3, percent=80)
+    assert kept.columns == df.columns and sorted(r.mark for r in kept.collect()) == ["p", "r", "r", "t", "u"]
+    assert minhash.without_duplicates(df.limit(0)).collect() == []
+    with pytest.raises(TypeError, match="whole numbers"):
+        minhash.near_duplicates(df.withColumn("doc_id", df.mark))
