@@ -1,4 +1,10 @@
-"""A document pipeline of the training-data operators: language ID, near-dedup, substring dedup, packing."""
+"""A document pipeline of the training-data operators: language ID, near-dedup, substring dedup, packing.
+
+Each stage but the last keeps all columns, whatever their names, and looks at doc_id, text and (to learn) lang only.
+Null and empty texts and those without a letter go in the first stage. A row without an id is linked with no other and
+stays. Rows that repeat an id go or stay by their own text. Texts of any length are looked at whole. An empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked at Jaccard 0.8 on five-word shingles."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.without_duplicates(docs, width=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
