@@ -72,3 +72,27 @@ def test_run_is_the_stages_one_after_another(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_input(spark):
+    """Null ids and texts, rows that repeat an id, very long texts, columns whose names the operators use, no rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").limit(30)
+    rng = random.Random(5)
+    known = sorted({w for r in docs.collect() for w in tokens(r.text)})
+    text = lambda n: " ".join(f"{rng.choice(known)} {rng.choice(known)}{rng.randrange(10**4)}" for _ in range(n // 2))
+    long, same, other, none_ = text(40_000), text(200), text(200), text(200)
+    extra = [(20_000, long), (20_001, f"{long} more"), (20_002, same), (20_002, other), (20_003, same), (None, none_), (None, None), (20_004, "")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in extra]
+    own = docs.unionByName(spark.createDataFrame(rows, docs.schema)).selectExpr("*", "lang as label", "substr(text, 1, 40) as id", "doc_id as component", "1 as spans", "source as mark")
+    at = own
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = spark.createDataFrame(stage(spark, at, "").collect(), own.schema)
+        assert at.columns == own.columns, name
+        left = {(r.doc_id, (r.id or "")) for r in at.collect()}
+        assert {(20_000, long[:40]), (20_002, same[:40]), (20_002, other[:40]), (None, none_[:40])} <= left, name
+        assert ((20_001, long[:40]) in left) == ((20_003, same[:40]) in left) == (name == "language ID")
+        assert (20_004, "") not in left and (None, "") not in left
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, "").collect()
+    assert sum(r.doc_id == 20_000 for r in packed) >= 20 and any(r.doc_id is None for r in packed)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, own.limit(0), "").collect() == [], name
