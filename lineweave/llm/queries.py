@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineweave.llm import bpe, brown, embed_dedup, langid, minhash, packing, substring, tiff, tokencount, urlfilter
+from lineweave.llm import bpe, brown, embed_dedup, langid, merkle, minhash, packing, substring, tiff, tokencount, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_tiff": op2_tiff,
@@ -66,12 +74,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_minhash": op9_minhash,
     "op10_tokencount": op10_tokencount,
+    "op11_warc": op11_warc,
+    "op12_merkle": op12_merkle,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
     "op3_urlfilter": urlfilter.oracle(),
+    "op11_warc": warc.oracle(),
+    "op12_merkle": merkle.oracle(),
     "op8_embed_dedup": """
 with recursive v as materialized (
   select vec_id, embedding::double[] as e, list_dot_product(embedding::double[], embedding::double[]) as s from embeddings),
