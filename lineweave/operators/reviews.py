@@ -22,16 +22,29 @@ def status(passes: Column, fails: Column) -> Column:
     return F.when(passes, "pass").when(fails, "fail").otherwise("inconclusive")
 
 
+#: The counts that a summary of votes is made of; counts of parts add up.
+COUNTS = ["votes", "wins", "losses", "ties", "both_poor"]
+
+
+def partial_counts(votes: DataFrame, by: list[str], times: Column | None = None) -> DataFrame:
+    """COUNTS by group over votes (won, tie, both_poor), each vote counting `times`."""
+    tie, poor, won = (F.coalesce(c, F.lit(False)) for c in ("tie", "both_poor", "won"))
+    one = F.lit(1) if times is None else times
+    of = lambda which: F.coalesce(F.sum(F.when(which, one.cast("long"))), F.lit(0))
+    kinds = [F.lit(True), ~tie & ~poor & won, ~tie & ~poor & ~won, tie, poor]
+    return votes.groupBy(*by).agg(*[of(which).alias(c) for c, which in zip(COUNTS, kinds, strict=True)])
+
+
 def vote_summary(votes: DataFrame, by: list[str] | None = None, least: int = 50) -> DataFrame:
     """Per group of earliest votes: wins, losses, ties, both_poor, decisive, share of wins, interval, status.
 
     votes: won (boolean), tie, both_poor. Without votes and groups the one row holds zeros and is inconclusive.
     """
-    clear = ~F.coalesce("tie", F.lit(False)) & ~F.coalesce("both_poor", F.lit(False))
-    won = F.coalesce("won", F.lit(False))
-    n = votes.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("votes"), F.count_if(clear & won).alias("wins"), F.count_if(clear & ~won).alias("losses"), F.count_if(F.coalesce("tie", F.lit(False))).alias("ties"), F.count_if(F.coalesce("both_poor", F.lit(False))).alias("both_poor"),
-    )
+    return summarised(partial_counts(votes, by or []), least)
+
+
+def summarised(n: DataFrame, least: int = 50) -> DataFrame:
+    """COUNTS by group with decisive votes, share of wins, interval and status."""
     n = n.withColumn("decisive", F.col("wins") + F.col("losses"))
     low, high = wilson(F.col("wins"), F.col("decisive"))
     n = n.withColumn("win_share", F.when(F.col("decisive") > 0, F.col("wins") / F.col("decisive")).otherwise(0.0)).withColumn("low", low).withColumn("high", high)

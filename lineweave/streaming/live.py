@@ -1,12 +1,9 @@
-"""Streaming counterparts (survey 2.12): votes as they arrive, segments of a live note stream, incremental selection."""
+"""Streaming counterparts (survey 2.12): votes as they arrive, sessions and token counts; see incremental and stateful."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from lineweave.operators.reviews import vote_summary
 
 
 def votes(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,17 +16,6 @@ def earliest_votes(stream: DataFrame, keys: list[str], time: str = "timestamp",
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def write_vote_summaries(stream: DataFrame, path: str, checkpoint: str, by: list[str]) -> StreamingQuery:
-    """Appends the deduplicated votes to a table; each batch also refreshes the summary of the whole table."""
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        df.withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/votes/epoch={epoch}")  # a retried epoch replaces its own files
-        everything = df.sparkSession.read.parquet(f"{path}/votes")
-        vote_summary(everything, by).write.mode("overwrite").parquet(f"{path}/summary")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def live_segments(stream: DataFrame, key: str, time: str, silence: str = "12 hours", late: str = "1 hour") -> DataFrame:
     """Gap-based segments of a note stream: sessions by key that end after `silence`."""
     return (
