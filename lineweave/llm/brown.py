@@ -3,9 +3,10 @@
 Training counts every word of every training text. All words seen more than once are clustered by exchange: a word
 moves to the class under which its neighbours' classes are likeliest, if the exact gain of that one move is positive.
 The LOOKUP most frequent words (a table of bounded size that travels with the tasks) start from classes by rank and
-move in sweeps. In a sweep each task goes through its words one by one, with its own copy of the table of class
-bigrams, which follows its moves; then the table is counted anew, and a sweep that made the whole worse is taken back
-and tried with a part of the words. The other words seen more than once stay distributed: each joins the class under
+move in sweeps. In a sweep the words are dealt, by rank, to a fixed number of hands; each hand goes through its words
+one by one, with its own copy of the classes and of the table of class bigrams, both of which follow its moves. Then
+the table is counted anew, and a sweep that made the whole worse is taken back and tried with a part of the words.
+Classes depend on neither partitions nor batches; of classes that are equally likely the first one wins. The other words seen more than once stay distributed: each joins the class under
 which its neighbours' classes are likeliest. Words seen once and unseen ones are the tail class.
 
 P(w | w') = P(class(w) | class(w')) * P(w | class(w)), with transitions smoothed towards class frequencies and the
@@ -14,6 +15,7 @@ tail's emissions by one for each of its words and one for all unseen ones.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,9 @@ from lineweave.llm.hashindex import HashIndex
 from lineweave.llm.words import words
 
 #: Words whose classes and counts travel with the tasks, classes, sweeps at most.
-LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 4
+LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 8
+#: Share of words below which a sweep's moves are left and the classes are settled.
+SETTLED = 0.001
 #: Weight of the class frequencies in a transition, in tokens.
 PRIOR = 5.0
 #: Distinct words or bigrams that a counting task holds before it hands them on.
@@ -36,8 +40,12 @@ HELD = 1 << 19
 END = np.int64(0x454E44)
 #: Class numbers: clusters, then the tail and the end.
 TAIL, STOP, KINDS = CLASSES, CLASSES + 1, CLASSES + 2
-#: Words that look for a class together before each moves on its own.
+#: Words whose neighbours' classes are counted together.
 SLICE = 128
+#: Added to counts of class bigrams when a word looks for a class.
+SOFT = 0.1
+#: Hands that the words of a sweep are dealt to.
+DEALT = 64
 #: Added to the number of a neighbour to the left.
 LEFT = 1 << 24
 
@@ -145,15 +153,16 @@ def contexts(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
     pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     left, right = F.expr(f"cast(pair div {units} as int)"), F.expr(f"cast(pair % {units} as int)")
     sides = F.array(F.struct(left.alias("unit"), right.alias("at")), F.struct(right.alias("unit"), (left + LEFT).alias("at")))
-    each = pairs.select(F.explode(sides).alias("e"), "n").select("e.unit", "e.at", "n")
-    return each.repartition("unit").sortWithinPartitions("unit").mapInArrow(_gathered, "unit int, own long, right binary, right_n binary, left binary, left_n binary")
+    each = pairs.select(F.explode(sides).alias("e"), "n").select((F.col("e.unit") % DEALT).alias("hand"), "e.unit", "e.at", "n")
+    dealt = each.repartition(DEALT, "hand").sortWithinPartitions("hand", "unit").select((F.col("hand") * units + F.col("unit")).cast("int").alias("turn"), "at", "n")
+    return dealt.mapInArrow(lambda batches: _gathered(batches, units), "unit int, own long, right binary, right_n binary, left binary, left_n binary")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit as one row per unit: neighbours as 32-bit, counts as 64-bit numbers on either side."""
+def _gathered(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by turn (hand * units + unit) as one row per unit: neighbours as 32-bit, counts as 64-bit numbers."""
 
-    def rows(unit: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.diff(unit, prepend=-1))
+    def rows(turn: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start, unit = np.flatnonzero(np.diff(turn, prepend=-1)), turn % units
         for lo in range(0, len(start), 1024):
             out = []
             for a, b in zip(start[lo : lo + 1024], [*start[lo + 1 : lo + 1025], len(unit)], strict=False):
@@ -211,44 +220,85 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
+def _one(x: float) -> float:
+    return x * math.log(x) if x > 0 else 0.0
+
+
 class Exchange:
     """A table of class bigrams that follows the moves of single words; gain() is exact."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.rows, self.columns = table.copy(), table.sum(1), table.sum(0)
+        self.terms, self.logs = _xlogx(table), np.log(table + SOFT)
+        self.log_sums = np.log([self.rows + SOFT * KINDS, self.columns + SOFT * KINDS])
+
+    def choice(self, right: np.ndarray, left: np.ndarray) -> int:
+        """As likeliest() for one word, from logarithms that follow the moves."""
+        to, of = self.logs[:CLASSES] @ right - self.log_sums[0, :CLASSES] * right.sum(), left @ self.logs[:, :CLASSES] - self.log_sums[1, :CLASSES] * left.sum()
+        return int(np.argmax(to + of))
 
     def likeliest(self, right: np.ndarray, left: np.ndarray) -> np.ndarray:
         """For many words at once, the class under which their neighbours' classes are likeliest."""
-        t = self.table + 0.1
+        t = self.table + SOFT
         return np.argmax(right @ np.log(t / t.sum(1, keepdims=True))[:CLASSES].T + left @ np.log(t / t.sum(0, keepdims=True))[:, :CLASSES], axis=1)
 
-    def _moved(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows a and b, and columns a and b, after a word with these neighbours has gone from class a to b."""
-        rows = np.stack([self.table[a] - right, self.table[b] + right])
-        columns = np.stack([self.table[:, a] - left, self.table[:, b] + left])
-        cells = ((rows[0, a] - left[a] - own, rows[0, b] + left[a]), (rows[1, a] - left[b], rows[1, b] + left[b] + own))
-        for i, x in enumerate((a, b)):
-            for j, y in enumerate((a, b)):
-                rows[i, y] = columns[j, x] = cells[i][j]
-        return rows, columns
+    def _tried(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+        """Gain, rows a and b then columns a and b, their terms, and their sums, once a word has gone from class a to b."""
+        t, x = self.table, self.terms
+        new = np.stack([t[a] - right, t[b] + right, t[:, a] - left, t[:, b] + left])
+        cells = ((new[0, a] - left[a] - own, new[0, b] + left[a]), (new[1, a] - left[b], new[1, b] + left[b] + own))
+        for i in (0, 1):
+            for j, y in ((0, a), (1, b)):
+                new[i, y] = cells[i][j]
+                new[2 + j, (a, b)[i]] = cells[i][j]
+        terms, n, m = _xlogx(new), right.sum() + own, left.sum() + own
+        sums = [self.rows[a] - n, self.rows[b] + n, self.columns[a] - m, self.columns[b] + m]
+        old = (self.rows[a], self.rows[b], self.columns[a], self.columns[b])
+        gain = terms.sum() - terms[0, a] - terms[0, b] - terms[1, a] - terms[1, b] - (x[a].sum() + x[b].sum() + x[:, a].sum() + x[:, b].sum() - x[a, a] - x[a, b] - x[b, a] - x[b, b])
+        return float(gain) - sum(map(_one, sums)) + sum(map(_one, old)), new, terms, sums
 
     def gain(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> float:
-        rows, columns = self._moved(a, b, right, left, own)
-        both = [a, b]
-
-        def part(r: np.ndarray, c: np.ndarray) -> float:
-            return _xlogx(r).sum() + _xlogx(c).sum() - _xlogx(r[:, both]).sum()
-
-        n, m = right.sum() + own, left.sum() + own
-        sums = np.array([self.rows[a], self.rows[b], self.columns[a], self.columns[b]])
-        return float(part(rows, columns) - part(self.table[both], self.table[:, both].T) - _xlogx(sums + [-n, n, -m, m]).sum() + _xlogx(sums).sum())
-
-    def move(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
-        rows, columns = self._moved(a, b, right, left, own)
-        self.table[[a, b]], self.table[:, [a, b]] = rows, columns.T
-        n, m = right.sum() + own, left.sum() + own
-        self.rows[[a, b]] += [-n, n]
-        self.columns[[a, b]] += [-m, m]
+        return self._tried(a, b, right, left, own)[0]
+
+    def move(self, a: int, b: int, right: np.ndarray, left: np.ndarray, own: float, least: float = -math.inf) -> bool:
+        """Move a word if it gains more than `least`; whether it has moved."""
+        gain, new, terms, sums = self._tried(a, b, right, left, own)
+        if gain <= least:
+            return False
+        for whole, part in ((self.table, new), (self.terms, terms), (self.logs, np.log(new + SOFT))):
+            whole[a], whole[b], whole[:, a], whole[:, b] = part
+        self.rows[a], self.rows[b], self.columns[a], self.columns[b] = sums
+        la, lb, ca, cb = (math.log(x + SOFT * KINDS) for x in sums)
+        self.log_sums[0, a], self.log_sums[0, b], self.log_sums[1, a], self.log_sums[1, b] = la, lb, ca, cb
+        return True
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each hand in turn, SLICE at a time, however the batches fall."""
+    held = None
+    for batch in batches:
+        whole = batch if held is None else pa.concat_batches([held, batch])
+        if not len(whole):
+            continue
+        unit = whole.column(0).to_numpy().astype(np.int64)
+        start = np.flatnonzero(np.diff((unit % DEALT << 32) + unit // DEALT // SLICE, prepend=-1))
+        for lo, hi in zip(start, start[1:], strict=False):
+            yield whole.slice(lo, hi - lo)
+        held = whole.slice(start[-1])
+    if held is not None:
+        yield held
+
+
+def _among(at: pa.Array, n: pa.Array, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of a slice have each of its words as a neighbour, and how often: (first place, row, count)."""
+    (data, off), (counts, _) = buffers(at), buffers(n)
+    x, row = np.frombuffer(data.tobytes(), np.int32), np.repeat(np.arange(len(at)), np.diff(off) // 4)
+    order = np.argsort(unit)
+    place = np.minimum(np.searchsorted(unit, x, sorter=order), len(unit) - 1)
+    hit = unit[order[place]] == x
+    word, row, counts = order[place[hit]], row[hit], np.frombuffer(counts.tobytes(), np.int64)[hit]
+    by = np.argsort(word, kind="stable")
+    return np.searchsorted(word[by], np.arange(len(unit) + 1)), row[by], counts[by]
 
 
 def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, part: int) -> np.ndarray:
@@ -256,23 +306,13 @@ def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, par
     shared = near.sparkSession.sparkContext.broadcast((kind, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, table = shared.value
-        kind, model = kind.copy(), Exchange(table)
-        for batch in batches:
-            for lo in range(0, len(batch), SLICE):
-                some = batch.slice(lo, SLICE)
-                unit, own = some.column(0).to_numpy(), some.column(1).to_numpy()
-                right, left = _side(some.column(2), some.column(3), kind), _side(some.column(4), some.column(5), kind)
-                best = model.likeliest(right, left)
-                turn = (kind[unit] < CLASSES) & (best != kind[unit]) & (unit % parts == part)
-                moved = []
-                for i in np.flatnonzero(turn):
-                    a, b = int(kind[unit[i]]), int(best[i])
-                    if model.gain(a, b, right[i], left[i], own[i]) > 1e-9:
-                        model.move(a, b, right[i], left[i], own[i])
-                        kind[unit[i]] = b
-                        moved.append(unit[i])
-                yield pa.record_batch([flat(np.array(moved, np.int64), pa.int64()), flat(kind[np.array(moved, np.int64)], pa.int64())], names=["unit", "kind"])
+        hand = -1
+        for some in _slices(batches):
+            unit, own = some.column(0).to_numpy(), some.column(1).to_numpy()
+            if unit[0] % DEALT != hand:
+                hand, kind, model = unit[0] % DEALT, shared.value[0].copy(), Exchange(shared.value[1])
+            moved = move_words(model, kind, unit, own, some.column(2), some.column(3), some.column(4), some.column(5), (unit // DEALT) % parts == part)
+            yield pa.record_batch([flat(moved, pa.int64()), flat(kind[moved], pa.int64())], names=["unit", "kind"])
 
     got = near.mapInArrow(run, "unit long, kind long").toArrow()  # LOOKUP rows at most
     out = kind.copy()
@@ -280,13 +320,34 @@ def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, par
     return out
 
 
+def move_words(model: Exchange, kind: np.ndarray, unit: np.ndarray, own: np.ndarray, right: pa.Array, right_n: pa.Array, left: pa.Array, left_n: pa.Array, turn: np.ndarray) -> np.ndarray:
+    """Move the words of a slice whose turn it is, one by one, in model and kind; gives the units that have moved.
+
+    Class and gain are those of that moment: the counts of a word's neighbours' classes follow the moves of those that
+    lie in the slice.
+    """
+    after, before = _side(right, right_n, kind), _side(left, left_n, kind)
+    sides = [(counts, *_among(at, n, unit)) for counts, at, n in ((after, right, right_n), (before, left, left_n))]
+    moved = []
+    for i in np.flatnonzero(turn & (kind[unit] < CLASSES)):
+        a, b = int(kind[unit[i]]), model.choice(after[i], before[i])
+        if a != b and model.move(a, b, after[i], before[i], own[i], 1e-9):
+            kind[unit[i]] = b
+            moved.append(unit[i])
+            for counts, first, row, n in sides:
+                rows, times = row[first[i] : first[i + 1]], n[first[i] : first[i + 1]]
+                counts[rows, a] -= times  # a row names a neighbour once on a side
+                counts[rows, b] += times
+    return np.array(moved, np.int64)
+
+
 def exchange(near: DataFrame, kind: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """The class of each unit and the counts of class bigrams, after sweeps until no word gains."""
     table, parts = _table(near, kind), 1
     best = likelihood(table)
     for sweep in range(sweeps):
         moved = _sweep(near, kind, table, parts, sweep % parts)
-        if (moved == kind).all() and parts == 1:
+        if parts == 1 and (moved != kind).sum() <= SETTLED * len(kind):
             break
         new = _table(near, moved)
         if (now := likelihood(new)) > best:

@@ -141,3 +141,50 @@ def test_exchange_finds_classes(spark, monkeypatch):
         at = dict(zip(m.vocab.word.tolist(), m.kind.tolist(), strict=False)) | ({r.word: r.kind for r in rare.collect()} if rare else {})
         kinds = [{at[x] for x in hashes(group)} for group in (left, right)]
         assert not kinds[0] & kinds[1]
+
+
+def corpus(spark, n=60):
+    """Texts of two kinds of words in turn, frequent ones far more often than others."""
+    rng = np.random.default_rng(3)
+    pick = lambda c: f"{c}{int(rng.pareto(0.9) * 4) % 150}"
+    return spark.createDataFrame([(k, " ".join(pick("ab"[i % 2]) if rng.random() < 0.9 else pick("c") for i in range(80))) for k in range(n)], "doc_id long, text string")
+
+
+def test_slices_follow_every_move(spark):
+    """Moves within a slice of the real size leave exact tables, and a likelihood like that of words one by one."""
+    docs = corpus(spark)
+    vocab = brown.vocabulary(brown.word_counts(docs, "text"))
+    near = brown.contexts(docs, "text", vocab).cache()
+    rows = near.orderBy("unit").toArrow().combine_chunks().to_batches()[0]
+    found = {}
+    for size in (1, brown.SLICE):
+        kind = vocab.first_kinds()
+        model = brown.Exchange(brown._table(near, kind))
+        for _ in range(4):
+            for lo in range(0, len(rows), size):
+                some = rows.slice(lo, size)
+                unit = some.column(0).to_numpy()
+                brown.move_words(model, kind, unit, some.column(1).to_numpy(), *some.columns[2:], np.ones(len(unit), bool))
+                assert model.table.min() >= 0
+        assert np.allclose(model.table, brown._table(near, kind)) and np.allclose(model.rows, model.table.sum(1)) and np.allclose(model.columns, model.table.sum(0))
+        assert np.allclose(model.terms, brown._xlogx(model.table)) and np.allclose(model.logs, np.log(model.table + brown.SOFT))
+        found[size] = brown.likelihood(model.table)
+    start = brown.likelihood(brown._table(near, vocab.first_kinds()))
+    assert found[1] == found[brown.SLICE] > start
+    assert brown.likelihood(brown.exchange(near, vocab.first_kinds())[1]) - start > 0.8 * (found[1] - start)
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    docs = corpus(spark)
+    made = []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, batch in ((2, 10_000), (7, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            some = docs.repartition(parts)
+            made.append(brown.fit(some, "text", brown.word_counts(some, "text").cache())[0])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (made[0].kind == made[1].kind).all() and np.allclose(made[0].transition, made[1].transition)
