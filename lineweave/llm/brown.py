@@ -29,7 +29,7 @@ from lineweave.llm.hashindex import HashIndex
 from lineweave.llm.words import words
 
 #: Words whose classes and counts travel with the tasks, classes, sweeps at most.
-LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 8
+LOOKUP, CLASSES, SWEEPS = 1 << 18, 64, 6
 #: Share of words below which a sweep's moves are left and the classes are settled.
 SETTLED = 0.001
 #: Weight of the class frequencies in a transition, in tokens.
@@ -153,8 +153,8 @@ def contexts(docs: DataFrame, text_col: str, vocab: Vocabulary) -> DataFrame:
     pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     left, right = F.expr(f"cast(pair div {units} as int)"), F.expr(f"cast(pair % {units} as int)")
     sides = F.array(F.struct(left.alias("unit"), right.alias("at")), F.struct(right.alias("unit"), (left + LEFT).alias("at")))
-    each = pairs.select(F.explode(sides).alias("e"), "n").select((F.col("e.unit") % DEALT).alias("hand"), "e.unit", "e.at", "n")
-    dealt = each.repartition(DEALT, "hand").sortWithinPartitions("hand", "unit").select((F.col("hand") * units + F.col("unit")).cast("int").alias("turn"), "at", "n")
+    each = pairs.select(F.explode(sides).alias("e"), "n").select((F.col("e.unit") % DEALT).alias("hand"), (F.col("e.unit") % DEALT * units + F.col("e.unit")).cast("int").alias("turn"), "e.at", "n")
+    dealt = each.repartition(DEALT, "hand").sortWithinPartitions("turn").select("turn", "at", "n")
     return dealt.mapInArrow(lambda batches: _gathered(batches, units), "unit int, own long, right binary, right_n binary, left binary, left_n binary")
 
 
