@@ -36,6 +36,16 @@ def path_id(path: Column) -> Column:
     return F.substring(F.sha1(path), 1, 16)
 
 
+def utc_now() -> Column:
+    """F8: the time of the query in UTC, as ISO text that sorts by time."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def run_id(utc: Column, settings: Column) -> Column:
+    """a run's name from its time, a timestamp in UTC, and the checksum of its settings."""
+    return F.concat(F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'"), F.lit("_"), F.substring(settings, 1, 8))
+
+
 def unit_hash(seed: int, key: Column) -> Column:
     """a number in [0, 1] that depends on seed and key only."""
     return F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import hash_order, token_name, unit
-from lineweave.operators import diagnostics, vectors
+from lineweave.operators import diagnostics, moments, vectors
+
+#: Rows and bytes of vectors that one start of a fit holds at most.
+MOST_ROWS, MOST_BYTES = 1 << 18, 1 << 28
 
 
 def sample(rows: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
@@ -20,16 +21,77 @@ def sample(rows: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFram
     return rows if n is None else rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 
 
-def fit(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42, fit_sample: int | None = 100_000) -> list[tuple[int, list[float]]]:
-    """V5: k unit centroids of the unit vectors, numbered from 0, fitted on at most fit_sample rows."""
-    x = sample(rows, key, fit_sample, seed).select(key, array_to_vector(unit(F.col(vector))).alias("features"))
-    if k == 1:
-        one = vectors.mean_centroids(sample(rows, key, fit_sample, seed).select(F.lit(0).alias("cluster_id"), unit(F.col(vector)).alias("v")), "cluster_id", "v")
-        return [(0, list(r["centroid"])) for r in one.collect()]  # one row
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=50, initSteps=2).fit(x.orderBy(key))
-    centers = np.array(model.clusterCenters())
-    centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-8)
-    return [(i, c.tolist()) for i, c in enumerate(centers)]
+def fit(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42, fit_sample: int | None = 100_000, batch: int = 8192, steps: int = 300, n_init: int = 3) -> list[tuple[int, list[float]]]:
+    """V5: k unit centroids of the unit vectors, numbered from 0: mini-batch spherical k-means, the best of n_init starts.
+
+    Fitted on fit_sample rows at most, MOST_BYTES of vectors at most, in a seeded hash order: each start is a task that
+    holds the sample, draws its batches from it and gives its centroids and their inertia. The same rows give the same
+    centroids however they lie. Null vectors don't count; of fewer than k distinct vectors some are centroids twice.
+    """
+    own = rows.where(F.col(vector).isNotNull())
+    dims = own.select(F.size(vector).alias("d")).first()
+    if dims is None:
+        raise ValueError("no vectors to fit a codebook on")
+    most = min(fit_sample or MOST_ROWS, MOST_ROWS, max(1, MOST_BYTES // (8 * max(1, dims["d"]))))
+    x = sample(own, key, most, seed).select(hash_order(seed, F.col(key)).alias("h"), F.col(key).cast("string").alias("key"), unit(F.col(vector)).alias("v"), F.explode(F.array(*[F.lit(i) for i in range(n_init)])).alias("start"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, pdf = int(pdf["start"].iloc[0]), pdf.sort_values(["h", "key"])
+        found, inertia = mini_batch(np.stack(pdf["v"].to_numpy()).astype(float), k, seed * 1000 + start, batch, steps)
+        return pd.DataFrame({"start": start, "inertia": inertia, "cluster_id": range(k), "centroid": list(found)})
+
+    made = x.groupBy("start").applyInPandas(run, "start int, inertia double, cluster_id int, centroid array<double>")
+    best = made.groupBy("start").agg(F.min("inertia").alias("inertia"), F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("c")).orderBy("inertia", "start").first()  # k centroids
+    return [(r["cluster_id"], list(r["centroid"])) for r in best["c"]]
+
+
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn in proportion to its distance from those before it; the nearest of a few draws counts."""
+    centres = [x[rng.integers(len(x))]]
+    far = np.maximum(1 - x @ centres[0], 0)
+    for _ in range(k - 1):
+        total = far.sum()
+        draws = rng.choice(len(x), 3, p=far / total) if total > 1e-12 else rng.integers(len(x), size=3)
+        tried = np.minimum(far[:, None], np.maximum(1 - x @ x[draws].T, 0))
+        at = int(np.argmin(tried.sum(0)))
+        centres.append(x[draws[at]])
+        far = tried[:, at]
+    return np.array(centres)
+
+
+def mini_batch(x: np.ndarray, k: int, seed: int, batch: int, steps: int) -> tuple[np.ndarray, float]:
+    """Unit centres of unit rows and their inertia, the sum of 1 - cosine.
+
+    A centre moves to a batch's rows by their share of all rows that it has seen, which halves after each pass, so that
+    early places fade; one that has seen under a hundredth of the most seen takes a row of the batch. Ten steps
+    without a gain of a ten-thousandth end it.
+    """
+    rng = np.random.default_rng(seed)
+    centres = _spread(x[rng.permutation(len(x))[: max(batch, 3 * k)]], k, rng)
+    seen, best, stale, passed = np.zeros(k), np.inf, 0, 0
+    for step in range(steps):
+        rows = x[rng.choice(len(x), batch, replace=False)] if batch < len(x) else x
+        s = rows @ centres.T
+        own = np.argmax(s, axis=1)
+        n = np.bincount(own, minlength=k).astype(float)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        passed += len(rows)
+        if passed >= len(x):
+            seen, passed = seen / 2, 0
+        seen += n
+        hit = n > 0
+        centres[hit] += (sums[hit] - n[hit, None] * centres[hit]) / seen[hit, None]
+        poor = np.flatnonzero(seen < 0.01 * seen.max())
+        if len(poor) and step % 10 == 9:
+            centres[poor], seen[poor] = rows[rng.integers(len(rows), size=len(poor))], np.median(seen)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-8)
+        now = float(np.mean(1 - s.max(1)))
+        stale = 0 if now < best * (1 - 1e-4) else stale + 1
+        best = min(best, now)
+        if stale >= 10:
+            break
+    return centres, float(sum((1 - (x[lo : lo + 4096] @ centres.T).max(1)).sum() for lo in range(0, len(x), 4096)))
 
 
 def build(rows: DataFrame, key: str, vector: str, k: int, prefix: str = "M", seed: int = 42, fit_sample: int | None = 100_000) -> dict[str, DataFrame | list]:
@@ -66,13 +128,9 @@ def stability(rows: DataFrame, key: str, vector: str, k: int, seeds: list[int],
     return out if out is not None else rows.sparkSession.createDataFrame([(seeds[0], seeds[0], 1.0, 1.0)], "seed_a int, seed_b int, ari double, nmi double")
 
 
-def components(rows: DataFrame, key: str, vector: str, dims: int, fit_sample: int = 200_000, seed: int = 42) -> DataFrame:
-    """V2g: the centred vectors' first principal components; signs are arbitrary."""
-    at = F.posexplode(vector).alias("at", "x")
-    mean = [r["m"] for r in sample(rows, key, fit_sample, seed).select(at).groupBy("at").agg(F.avg("x").alias("m")).orderBy("at").collect()]  # one row per component
-    centred = rows.select(key, array_to_vector(F.zip_with(vector, F.lit([float(m) for m in mean]), lambda x, m: x - m)).alias("v"))
-    model = PCA(k=min(dims, len(mean)), inputCol="v", outputCol="pc").fit(sample(centred, key, fit_sample, seed))
-    return model.transform(centred).select(key, vector_to_array("pc").alias("components"))
+def components(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """V2g: (key, components): the centred vectors on the first principal components of all of them."""
+    return moments.fit(rows, vector, dims, scaled=False).apply(rows, key, vector)
 
 
 def content_id(rows: DataFrame, key: str, settings: dict) -> str:

@@ -7,11 +7,13 @@ bounded thing (a part of one piece), and lines spread over tasks by key.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.functions import udtf
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,48 @@ def best_cuts(times: list[float], gain: list[float], onsets: list[float], measur
     return cuts[::-1]
 
 
+def line_segments(times: list[float], evidence: list[float], onsets: list[float], measure: float, limits: Limits) -> list[tuple[float, float, int, float]]:
+    """(start, end, notes, bars) of one line's segments, as segment_lines() says."""
+    out = []
+    if len(onsets) < limits.min_notes or len(times) < 2:
+        return out
+    cuts = best_cuts(times, evidence, onsets, measure, limits)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        notes = bisect.bisect_left(onsets, times[b] + 1e-6) - bisect.bisect_left(onsets, times[a] - 1e-6)
+        bars = (times[b] - times[a]) / measure
+        if notes >= 4 and times[b] - times[a] > 1e-6 and bars <= limits.hard_max_bars:
+            out.append((times[a], times[b], notes, bars))
+    return out
+
+
+class SegmentLine:
+    """segment_line of SQL: a table of one line's candidate cuts and onsets to its segments.
+
+    Takes rows (line, measure_length, t, evidence, onset): a candidate cut has t and evidence, a note has onset, a row may
+    be both. PARTITION BY line gives each line a call of its own; rows may come in any order.
+    """
+
+    def __init__(self) -> None:
+        self.line, self.measure, self.cuts, self.onsets = None, None, [], []
+
+    def eval(self, row: Row) -> None:
+        self.line, self.measure = row["line"], row["measure_length"]
+        if row["t"] is not None:
+            self.cuts.append((row["t"], row["evidence"] or 0.0))
+        if row["onset"] is not None:
+            self.onsets.append(row["onset"])
+
+    def terminate(self) -> Iterator[tuple]:
+        cuts = sorted(self.cuts)
+        for found in line_segments([t for t, _ in cuts], [e for _, e in cuts], sorted(self.onsets), self.measure, Limits()):
+            yield (self.line, *found)
+
+
+def register(spark: SparkSession, name: str = "segment_line") -> None:
+    """M11 in SQL: SELECT * FROM segment_line(TABLE(t) PARTITION BY line)."""
+    spark.udtf.register(name, udtf(SegmentLine, returnType="line string, start_q double, end_q double, n_notes bigint, n_bars double"))
+
+
 def segment_lines(candidates: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
     """(key, start_q, end_q, n_notes, n_bars) of each line's segments.
 
@@ -82,17 +126,7 @@ def segment_lines(candidates: DataFrame, key: str, limits: Limits = Limits()) ->
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for line in pdf.itertuples(index=False):
-            times, onsets = list(line.times), list(line.onsets)
-            if len(onsets) < limits.min_notes or len(times) < 2:
-                continue
-            cuts = best_cuts(times, list(line.evidence), onsets, line.measure_length, limits)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                notes = bisect.bisect_left(onsets, times[b] + 1e-6) - bisect.bisect_left(onsets, times[a] - 1e-6)
-                bars = (times[b] - times[a]) / line.measure_length
-                if notes >= 4 and times[b] - times[a] > 1e-6 and bars <= limits.hard_max_bars:
-                    rows.append((getattr(line, key), times[a], times[b], notes, bars))
+        rows = [(getattr(line, key), *r) for line in pdf.itertuples(index=False) for r in line_segments(list(line.times), list(line.evidence), list(line.onsets), line.measure_length, limits)]
         return pd.DataFrame(rows, columns=[key, "start_q", "end_q", "n_notes", "n_bars"])
 
     kind = candidates.schema[key].dataType.simpleString()

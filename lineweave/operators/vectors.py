@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import dot, unit
 from lineweave.operators import ranks
+from lineweave.sources.scratch import written
 
 #: Queries that one search sends to all tasks; more are dealt by a hash of their id and searched block by block.
 MOST_QUERIES = 20_000
+#: Rows of one block of a group in which pairs are looked for.
+GRID = 2048
 #: Rows of one batch whose views are all compared with each other.
 MOST_IN_BATCH = 4096
 
@@ -45,7 +48,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, same_instrument: bool
     n, kind = wanted.count(), corpus.schema["id"].dataType.simpleString()
     name = f"query_id {kind}, id {kind}, similarity double"
     if not n:
-        return corpus.sparkSession.createDataFrame([], name.replace("id bigint, similarity", "rank int, id bigint, similarity"))
+        return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, similarity double")
     found, blocks = None, -(-n // MOST_QUERIES)
     for block in range(blocks):
         q = (wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else wanted).toPandas()
@@ -140,18 +143,61 @@ def mine_pairs(rows: DataFrame, least: float, ratio: tuple[float, float], top: i
 
     rows: id, score_id, part_id, split, start_q, end_q, bars, vector. Each segment keeps its `top` most similar ones
     and of those `most`; with reciprocal only pairs that both sides keep. (id_a, id_b, score_id, similarity).
+
+    A group of one score, part, split and step of length is a grid of blocks of GRID rows; blocks meet in pairs, as
+    block products of which each row keeps its best, so a group of any size is spread over tasks. Groups of one block
+    share a task's grid cell with others. Rows without score, part, split, times, bars or vector are in no pair.
     """
+    kept_of = min(top, most)
+    need = ["id", "start_q", "end_q", "bars", "vector"]
+    fair = rows.select("score_id", "part_id", "split", *need).where(" and ".join(f"{c} is not null" for c in ("score_id", "part_id", "split", *need)))
     # lengths within the ratio lie in the same or in neighbouring steps, so a long score doesn't meet itself as a whole
     step = F.floor(F.ln(F.greatest(F.lit(1e-6), F.col("bars"))) / math.log(max(ratio[1], 1 / ratio[0], 1.01))) if ratio[0] > 0 else F.lit(0)
-    side = lambda s: rows.select("score_id", "part_id", "split", step.cast("long").alias("_step"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "start_q", "end_q", "bars")], unit(F.col("vector")).alias(f"v_{s}"))
-    around = side("b").withColumn("_step", F.explode(F.array(*[F.col("_step") + k for k in ((-1, 0, 1) if ratio[0] > 0 else (0,))])))
-    both = side("a").join(around, ["score_id", "part_id", "split", "_step"]).where(
-        (F.col("id_a") != F.col("id_b")) & apart(F.col("start_q_a"), F.col("end_q_a"), F.col("start_q_b"), F.col("end_q_b")) & length_ratio(F.col("bars_b"), F.col("bars_a"), *ratio)
-    )
-    close = both.withColumn("similarity", F.round(dot(F.col("v_a"), F.col("v_b")), 9)).where(F.col("similarity") >= least)
+    group = ["score_id", "part_id", "split", "_step"]
+    left = fair.withColumn("_step", step.cast("long"))
+    right = left.withColumn("_step", F.explode(F.array(*[F.col("_step") + k for k in ((-1, 0, 1) if ratio[0] > 0 else (0,))])))
+    count = lambda side, name: side.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
+    # written first, so that the joins below may split the group that most rows share
+    sizes = written(count(left, "_n").join(count(right, "_m"), group).select(*group, F.ceil(F.col("_n") / GRID).cast("int").alias("_i"), F.ceil(F.col("_m") / GRID).cast("int").alias("_j"), F.col("_n")), "groups")
+    bins = -(-(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] or 1) // GRID)
+    alone = (F.col("_i") > 1) | (F.col("_j") > 1)
+    name = F.xxhash64(*group)
+    cell = F.when(alone, name).otherwise(F.pmod(name, F.lit(bins)))
+    place = lambda among: F.pmod(F.xxhash64("id", F.lit(7)), F.col(among).cast("long")).cast("int")
+    every = lambda among: F.explode(F.sequence(F.lit(0), F.col(among) - 1))
+    columns = [*group, *need]
+    a = left.join(sizes, group).select(cell.alias("_cell"), alone.alias("_alone"), place("_i").alias("_a"), every("_j").alias("_b"), *columns)
+    b = right.join(sizes, group).select(cell.alias("_cell"), alone.alias("_alone"), every("_i").alias("_a"), place("_j").alias("_b"), *[F.col(c).alias(f"{c}_2") for c in columns])
+    by = ["_cell", "_alone", "_a", "_b"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "score_id")}
+    shape = f"id_a {kinds['id']}, id_b {kinds['id']}, score_id {kinds['score_id']}, similarity double, length_ratio double"
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.rename(columns=lambda c: c.removesuffix("_2")).sort_values("id", kind="stable")
+            codes = pd.factorize(pd.concat([x[group], y[group]]).apply(tuple, axis=1))[0]
+            own, other, v = codes[: len(x)], codes[len(x) :], _unit_rows(y["vector"])
+            ids, start, end, bars = (y[c].to_numpy() for c in ("id", "start_q", "end_q", "bars"))
+            for lo in range(0, len(x), 512):
+                p = x.iloc[lo : lo + 512]
+                col = lambda c: p[c].to_numpy()[:, None]  # noqa: E731, B023
+                share = bars / np.maximum(1e-6, col("bars").astype(float))
+                s = np.round(_unit_rows(p["vector"]) @ v.T, 9)
+                ok = (own[lo : lo + 512, None] == other) & (col("id") != ids) & ((end <= col("start_q")) | (start >= col("end_q"))) & (share >= ratio[0]) & (share <= ratio[1]) & (s >= least)
+                s = np.where(ok, s, -np.inf)
+                first = np.argsort(-s, axis=1, kind="stable")[:, :kept_of]
+                value = np.take_along_axis(s, first, 1)
+                keep = np.isfinite(value)
+                n = keep.sum(1)
+                out.append(pd.DataFrame({"id_a": np.repeat(p["id"].to_numpy(), n), "id_b": ids[first[keep]], "score_id": np.repeat(p["score_id"].to_numpy(), n), "similarity": value[keep], "length_ratio": np.take_along_axis(share, first, 1)[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id_a", "id_b", "score_id", "similarity", "length_ratio")})
+
+    close = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(best, shape)
     w = Window.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b")
-    kept = close.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(top, most)).select("id_a", "id_b", "score_id", "similarity", (F.col("bars_b") / F.greatest(F.lit(1e-6), F.col("bars_a"))).alias("length_ratio"))
+    kept = close.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept_of).select("id_a", "id_b", "score_id", "similarity", "length_ratio")
     if reciprocal:
+        kept = written(kept, "pairs")
         kept = kept.join(kept.select(F.col("id_a").alias("id_b"), F.col("id_b").alias("id_a")), ["id_a", "id_b"], "left_semi")
     return kept
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lineweave.config import DEFAULTS
 from lineweave.functions.expressions import hash_split, quality, segment_id, valid_vector
 from lineweave.operators import catalog as C
-from lineweave.operators import codebook, dataset, diagnostics, features, reviews, segment, sequences, vectors
+from lineweave.operators import ann, codebook, dataset, diagnostics, features, moments, reviews, segment, sequences, vectors
 from lineweave.operators import notes as N
 from lineweave.operators.ranks import quantiles
 
@@ -109,6 +109,12 @@ def build_learned_index(rows: DataFrame, encoder: Callable[[list], np.ndarray],
     return rows.select("segment_id", "score_id", hash_split(seed, F.col("score_id"), 0.8, 0.1).alias("split")).join(made, "segment_id")
 
 
+def save_learned_index(rows: DataFrame, encoder: Callable[[list], np.ndarray], path: str, seed: int = 42, **how) -> ann.Index:
+    """The embeddings with score and split as a saved neighbour index; its manifest names rows and recall."""
+    made = build_learned_index(rows, encoder, seed).select(F.col("segment_id").alias("id"), F.col("embedding").alias("vector"), "score_id", "split")
+    return ann.build(made, path, seed=seed, keep=["score_id", "split"], **how)
+
+
 def evaluate_backends(backends: dict[str, DataFrame], queries: int = 50, k: int = 10) -> DataFrame:
     """The neighbours of the same evenly spaced queries under each backend: backend, query_id, rank, id."""
     out = None
@@ -125,6 +131,37 @@ def summarize_encoder_evaluation(votes: DataFrame) -> DataFrame:
     return reviews.vote_summary(first.withColumn("won", F.col("winner_backend") == "learned"), ["run_id"])
 
 
+def evaluate_encoder(rows: DataFrame, positives: DataFrame, label: str = "score_id", k: int = 10) -> dict[str, DataFrame]:
+    """Recall, reciprocal rank and cosine of held-out positive pairs, and whether the embeddings have collapsed.
+
+    rows: id, vector and the label; positives: id_a, id_b. Pairs of ids that rows doesn't hold count for nothing.
+    """
+    both = positives.unionByName(positives.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).distinct()
+    known = both.join(rows.select(F.col("id").alias("id_a")), "id_a", "left_semi").join(rows.select(F.col("id").alias("id_b")), "id_b", "left_semi")
+    asked = rows.join(known.select(F.col("id_a").alias("id")).distinct(), "id", "left_semi")
+    neighbors = vectors.nearest(rows, asked, k, other_score=False)
+    cosines = vectors.pair_cosines(positives, rows).agg(F.count(F.lit(1)).alias("pairs"), F.avg("cosine").alias("positive_cosine"))
+    retrieval = vectors.retrieval_metrics(neighbors, known.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("id")))
+    return {"retrieval": retrieval.join(F.broadcast(cosines)), "collapse": moments.collapse(rows, "id", "vector", label)}  # one row each
+
+
+def evaluate_vocabulary(rows: DataFrame, assigned: DataFrame, queries: int = 100, n: int = 10) -> dict[str, DataFrame]:
+    """How far a codebook keeps the neighbours of evenly spaced queries; assigned: id, cluster_id, cosine."""
+    chosen = C.evenly_spaced(rows, [F.col("id")], queries)
+    kept = vectors.preservation(vectors.nearest(rows, chosen, n, other_score=False), assigned, "id", n)
+    return {"queries": kept, "means": vectors.preservation_means(kept)}
+
+
+def summarize_vocabulary_evaluation(ratings: DataFrame, trials: DataFrame) -> dict[str, DataFrame]:
+    """Ratings of clusters and blind trials, of each token and trial the earliest entry, and their joint status.
+
+    ratings: timestamp, token, rating; trials: timestamp, trial_id, same_cluster_won, tie, neither; both with an ordinal.
+    """
+    own = reviews.review_summary(reviews.earliest(ratings, ["token"], "timestamp", "ordinal"))
+    blind = reviews.trial_summary(reviews.earliest(trials, ["trial_id"], "timestamp", "ordinal"))
+    return {"reviews": own, "trials": blind, "combined": reviews.combined_status(own, blind)}
+
+
 def build_vocabulary(rows: DataFrame, sizes: list[int], prefix: str = "M") -> dict[int, dict]:
     return {k: codebook.build(rows, "id", "vector", k, prefix) for k in sizes}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.operators import catalog as C
-from lineweave.operators import scans
+from lineweave.operators import moments, scans
 from lineweave.plans.catalog_queries import _SCORES, scores, table
 from lineweave.plans.note_queries import _SEG
 from lineweave.sources.events import UNIT, notes_of
@@ -67,9 +67,36 @@ def as_of_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return scans.as_of(left, right, ["line"], "us", ["view_id"], F.lit(2 * 86_400_000_000)).select("event_id", "us_of", "view_id")
 
 
-QUERIES = {f.__name__: f for f in (incremental_selection, live_phrases, live_votes, as_of_tolerance)}
+def projected_variances(spark: SparkSession, d: str) -> DataFrame:
+    """V2f, V2g, K7: a scaler and projection that was saved and loaded, applied to all rows: the variance that it keeps."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    path = shared_path(spark, "projection")
+    moments.fit(rows, "embedding", 1 << 16).save(spark, path)
+    made = moments.load(spark, path).apply(rows, "vec_id", "embedding")
+    squares = F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x)
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(squares), 6).alias("variance"), F.max(F.size("components")).alias("components"))
+
+
+def collapse_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the embeddings have collapsed, over all rows and hashed random pairs."""
+    got = moments.collapse(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return got.select("rows", *[F.round(c, 6).alias(c) for c in got.columns[1:-1]], "collapsed")
+
+
+QUERIES = {f.__name__: f for f in (projected_variances, collapse_diagnostics, incremental_selection, live_phrases, live_votes, as_of_tolerance)}
 
 ORACLE = {
+    # a scaled component has variance 1, one without spread 0; an orthonormal projection onto all components keeps their sum
+    "projected_variances": """with x as (select vec_id, unnest(embedding::double[]) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings), s as (select i, stddev_pop(x) > 1e-12 as spread from x group by 1)
+      select (select count(*) from embeddings) as rows, round(count(*) filter (spread)::double, 6) as variance, count(*)::int as components from s""",
+    "collapse_diagnostics": """with v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings),
+      x as (select vec_id, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from v), s as (select stddev_pop(x) as sd from x group by i),
+      c as (select a.i as i, b.i as j, avg(a.x * b.x) - avg(a.x) * avg(b.x) as c from x a join x b using (vec_id) group by all),
+      p as (select list_dot_product(e, lead(e) over w) / norm / lead(norm) over w as cosine, label is not distinct from lead(label) over w as same from v window w as (order by sha1('42|' || vec_id), vec_id)),
+      q as (select * from p where cosine is not null)
+      select (select count(*) from v) as rows, round((select avg(norm) from v), 6) as mean_norm, round((select min(sd) from s), 6) as least_std, round((select avg(sd) from s), 6) as mean_std, round((select max(sd) from s), 6) as largest_std,
+        round((select pow(sum(c) filter (i = j), 2) / sum(c * c) from c), 6) as effective_rank, round(avg(cosine), 6) as random_cosine, round(avg(cosine) filter (not same), 6) as negative_cosine,
+        round(quantile_cont(cosine, 0.05), 6) as q05, round(quantile_cont(cosine, 0.5), 6) as q50, round(quantile_cont(cosine, 0.95), 6) as q95, (select avg(sd) from s) < 1e-3 or avg(cosine) > 0.9 as collapsed from q""",
     "incremental_selection": f"with {_SCORES} select score_id, mxl, (score_id % 1000 + case when score_id % 3 <= 1 then 0 else 1000 end)::bigint as n_views, (case when score_id % 3 <= 1 then 0 else 1 end)::bigint as epoch from scores where lic and dedup and mxl <> ''",
     "live_phrases": f"with {_SEG} select score_id, segment as phrase, round(min(o), 6) as start_q, round(max(o + d), 6) as end_q, count(*) as n_notes from s group by all",
     "live_votes": """with v as (select doc_id % 97 as trial, 't:' || lpad((doc_id % 1000)::varchar, 4, '0') as at0, doc_id as ordinal, source, quality = 1 as won, toxic = 1 as tie, doc_id % 19 = 0 as poor from labels join documents using (doc_id)),

@@ -287,6 +287,17 @@ def segmented_lines(spark, d):
     return segment.segment_lines(segmentation_input(notes), "score_id").select("score_id", _r("start_q", "start_q"), _r("end_q", "end_q"), "n_notes", _r("n_bars", "n_bars"))
 
 
+def segmented_in_sql(spark, d):
+    """2.13: segmented_lines by the table function, called in SQL."""
+    notes = note_queries.notes(spark, d)
+    given = segmentation_input(notes)
+    line, none = F.col("score_id").cast("string").alias("line"), F.lit(None).cast("double")
+    cuts = given.select(line, "measure_length", F.inline(F.arrays_zip(F.col("times").alias("t"), "evidence"))).withColumn("onset", none)
+    onsets = given.select(line, "measure_length", none.alias("t"), none.alias("evidence"), F.explode("onsets").alias("onset"))
+    segment.register(spark)
+    return spark.sql("select cast(line as bigint) as score_id, round(start_q, 6) as start_q, round(end_q, 6) as end_q, n_notes, round(n_bars, 6) as n_bars from segment_line(table({lines}) partition by line)", lines=cuts.unionByName(onsets))
+
+
 def segmentation_input(notes: DataFrame) -> DataFrame:
     line = N.Line(["score_id"])
     ev = N.boundary_evidence(notes, line, tonic=F.lit(0)).select("score_id", F.round("o", 6).alias("t"), "evidence")
@@ -336,11 +347,14 @@ def principal_components(spark, d):
 
 
 def ann_neighbors(spark, d):
-    """V4: the approximate index's neighbours of fifty queries; recall is measured in the tests."""
+    """An index built, saved, loaded and searched; ten neighbours of every query, its recall is tested."""
     from lineweave.operators import ann
+    from lineweave.sources.scratch import shared_path
 
     p = segment_vectors(spark, d)
-    return ann.approximate(ann.build(p), p, p.where(ASKED), 10).select("query_id", "rank", "id", _r("similarity", "similarity"))
+    path = shared_path(spark, "index")
+    ann.build(p, path, cell=64)
+    return ann.search(ann.load(spark, path), p.where(ASKED), 10).select("query_id", "rank", "id", _r("similarity", "similarity"))
 
 
 def as_of_neighbors(spark, d):
@@ -364,7 +378,7 @@ QUERIES = {f.__name__: f for f in (
     effective_vocab, ari_nmi, multi_resolution, codebook_comparison, member_samples, hard_negative, neighbor_preservation, preservation_means, retrieval_metrics, rerank, contrastive_loss,
     vector_validity, token_sequences, bigram_prob, trigram_counts, unigram_counts, turn_bigrams, sequence_stats, joint_tokens, joint_top_pairs, joint_diversity, concentration, token_export,
     wilson_votes, vote_total, cluster_reviews, trial_status, combined_status, segmented_lines, encoder_dataset, batches, augmented_tokens, codebook_build, codebook_sweep,
-    codebook_stability, principal_components, ann_neighbors, as_of_neighbors, session_segments,
+    codebook_stability, segmented_in_sql, principal_components, ann_neighbors, as_of_neighbors, session_segments,
 )}
 
 _MINE = f"""{_P}, s as (select a.id as id_a, b.id as id_b, a.score_id, round(list_dot_product(a.v, b.v), 9) as s, b.bars / greatest(1e-6::double, a.bars) as ratio from p a

@@ -72,6 +72,12 @@ def manifests(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.col("content").cast("string").alias("body")).orderBy("path")
 
 
+def indexed_runs(spark: SparkSession, root: str, index: str = "manifest.json") -> list[str]:
+    """The names of the runs under root that hold a saved index, in order; a run is a folder of root."""
+    found = manifests(spark, root, index).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run")).distinct().orderBy("run")
+    return [r["run"] for r in found.collect()]  # a row per run
+
+
 def checksum(value: dict) -> str:
     """of a JSON value with sorted keys."""
     return hashlib.sha1(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()

@@ -249,20 +249,6 @@ def test_loss_prefers_aligned_views(spark):
     assert g < b and g == pytest.approx(math.log(1 + 3 * math.exp(-10)), abs=1e-9)
 
 
-def test_approximate_index(spark):
-    from lineweave.operators import ann
-
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 16))
-    data = [(k, (centres[k % 30] + rng.normal(size=16) * 0.15).tolist()) for k in range(300)]
-    df = spark.createDataFrame(data, "id long, vector array<double>")
-    q = df.where("id < 60")
-    got = {(r.query_id, r.id) for r in ann.approximate(ann.build(df), df, q, 5).collect()}
-    want = {(r.query_id, r.id) for r in vectors.nearest(df, q, 5, other_score=False).collect()}
-    assert len(got & want) / len(want) >= 0.9
-    assert sorted(map(tuple, ann.search(df, q, 5).collect())) == sorted(map(tuple, vectors.nearest(df, q, 5, other_score=False).collect()))
-
-
 def test_alignment_lookup_and_saved_codebooks(spark, tmp_path):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     rows_ = spark.createDataFrame([(1, "a"), (3, "c")], "id long, v string")
