@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import entropy
-from lineweave.operators.ranks import quantiles, ranked
+from lineweave.operators.ranks import quantiles_of, ranked
 
 
 def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
@@ -20,9 +20,8 @@ def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
 def cluster_stats(assigned: DataFrame, cluster: str = "cluster_id", token: str = "token", cosine: str = "cosine", margin: str = "margin") -> DataFrame:
     """A5: per cluster its token, size, mean, median and tenth percentile of the cosine, mean and median margin."""
     means = assigned.groupBy(cluster).agg(F.min(token).alias("token"), F.count(F.lit(1)).alias("size"), F.avg(cosine).alias("mean_cosine"), F.avg(margin).alias("mean_margin"))
-    near = quantiles(assigned, cosine, {"median_cosine": 0.5, "p10_cosine": 0.1}, [cluster])
-    wide = quantiles(assigned, margin, {"median_margin": 0.5}, [cluster])
-    return means.join(near, cluster, "left").join(wide, cluster, "left").select(cluster, "token", "size", "mean_cosine", "median_cosine", "p10_cosine", "mean_margin", "median_margin")
+    marks = quantiles_of(assigned, {cosine: {"median_cosine": 0.5, "p10_cosine": 0.1}, margin: {"median_margin": 0.5}}, [cluster])
+    return means.join(marks, cluster, "left").select(cluster, "token", "size", "mean_cosine", "median_cosine", "p10_cosine", "mean_margin", "median_margin")
 
 
 def occupancy(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -42,8 +41,8 @@ def occupancy(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 def cohesion(assigned: DataFrame, cosine: str = "cosine", margin: str = "margin") -> DataFrame:
     """Mean, median and quantiles of cosine and margin, and the mean quantisation error 1 - cosine."""
     means = assigned.agg(F.avg(cosine).alias("mean_cosine"), F.avg(margin).alias("mean_margin"), F.avg(1 - F.col(cosine)).alias("quantization_error"))
-    near = quantiles(assigned, cosine, {"median_cosine": 0.5, "q10_cosine": 0.1, "q90_cosine": 0.9})
-    both = means.join(F.broadcast(near)).join(F.broadcast(quantiles(assigned, margin, {"median_margin": 0.5})))  # one row each
+    marks = quantiles_of(assigned, {cosine: {"median_cosine": 0.5, "q10_cosine": 0.1, "q90_cosine": 0.9}, margin: {"median_margin": 0.5}})
+    both = means.join(F.broadcast(marks))  # one row each
     return both.select("mean_cosine", "median_cosine", "q10_cosine", "q90_cosine", "mean_margin", "median_margin", "quantization_error")
 
 

@@ -28,16 +28,26 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
 
 
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """One row per key (one row without keys) with the interpolated quantiles of the values that aren't null.
+    """quantiles_of() one column."""
+    return quantiles_of(rows, {value: shares}, keys)
 
-    A key without such values has no row; without keys and values the row holds nulls.
+
+def quantiles_of(rows: DataFrame, wanted: dict[str, dict[str, float]], keys: list[str] | None = None) -> DataFrame:
+    """One row per key (one row without keys) with interpolated quantiles of several columns' values that aren't null.
+
+    wanted: for each column the names of its quantiles and their shares. All columns are ranked in one pass. A key
+    without any value has no row; without keys and values the row holds nulls.
     """
     keys = keys or []
-    own = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    placed = ranked(own, [*[F.col(k) for k in keys], F.col("_v")], "_rank")
-    groups = placed.groupBy(*keys).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in wanted])).alias("_e")
+    own = rows.select(*keys, values).select(*keys, "_e._c", "_e._v").where("_v is not null")
+    placed = ranked(own, [*[F.col(k) for k in keys], F.col("_c"), F.col("_v")], "_rank")
+    groups = placed.groupBy(*keys, "_c").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
-    marks = F.array(*[F.struct(F.lit(name).alias("q"), (F.col("_first") + e(at(q))).cast("long").alias("_rank"), w.alias("w")) for name, q in shares.items() for e, w in ((F.floor, 1 - (at(q) - F.floor(at(q)))), (F.ceil, at(q) - F.floor(at(q))))])
-    wanted = groups.where("_n > 0").select(*keys, F.inline(marks))
-    got = wanted.join(placed.select("_rank", "_v"), "_rank")
-    return got.groupBy(*keys).agg(*[F.sum(F.when(F.col("q") == name, F.col("_v") * F.col("w"))).alias(name) for name in shares])
+    marks = [
+        F.struct(F.lit(c).alias("c"), F.lit(name).alias("q"), (F.col("_first") + e(at(q))).cast("long").alias("_rank"), w.alias("w"))
+        for c, shares in wanted.items() for name, q in shares.items() for e, w in ((F.floor, 1 - (at(q) - F.floor(at(q)))), (F.ceil, at(q) - F.floor(at(q))))
+    ]
+    asked = groups.select(*keys, F.inline(F.filter(F.array(*marks), lambda m: m.c == F.col("_c"))))
+    got = asked.join(placed.select("_rank", "_v"), "_rank")
+    return got.groupBy(*keys).agg(*[F.sum(F.when((F.col("c") == c) & (F.col("q") == name), F.col("_v") * F.col("w"))).alias(name) for c, shares in wanted.items() for name in shares])
