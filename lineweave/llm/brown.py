@@ -183,11 +183,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.Reco
     yield from rows(*held)
 
 
-def _side(at: pa.Array, n: pa.Array, kind: np.ndarray) -> np.ndarray:
-    """Counts of (row, class of the neighbour)."""
+def _entries(at: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and count of all entries of rows of neighbours."""
     (data, off), (counts, _) = buffers(at), buffers(n)
-    row = np.repeat(np.arange(len(at)), np.diff(off) // 4)
-    return np.bincount(row * KINDS + kind[np.frombuffer(data.tobytes(), np.int32)], np.frombuffer(counts.tobytes(), np.int64), minlength=len(at) * KINDS).reshape(len(at), KINDS)
+    return np.repeat(np.arange(len(at)), np.diff(off) // 4), np.frombuffer(data.tobytes(), np.int32), np.frombuffer(counts.tobytes(), np.int64)
+
+
+def _side(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, kind: np.ndarray) -> np.ndarray:
+    """Counts of (row, class of the neighbour)."""
+    row, x, n = entries
+    return np.bincount(row * KINDS + kind[x], n, minlength=rows * KINDS).reshape(rows, KINDS)
 
 
 def _table(near: DataFrame, kind: np.ndarray) -> np.ndarray:
@@ -200,7 +205,7 @@ def _table(near: DataFrame, kind: np.ndarray) -> np.ndarray:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
                 k = shared.value[part.column(0).to_numpy()]
-                np.add.at(sums, k, _side(part.column(2), part.column(3), shared.value))
+                np.add.at(sums, k, _side(_entries(part.column(2), part.column(3)), len(part), shared.value))
                 np.add.at(sums, (k, k), part.column(1).to_numpy())
         some = np.flatnonzero(sums)
         yield pa.record_batch([flat(some, pa.int64()), flat(sums.ravel()[some], pa.float64())], names=["at", "n"])
@@ -289,16 +294,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _among(at: pa.Array, n: pa.Array, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _among(entries: tuple[np.ndarray, np.ndarray, np.ndarray], unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which rows of a slice have each of its words as a neighbour, and how often: (first place, row, count)."""
-    (data, off), (counts, _) = buffers(at), buffers(n)
-    x, row = np.frombuffer(data.tobytes(), np.int32), np.repeat(np.arange(len(at)), np.diff(off) // 4)
-    order = np.argsort(unit)
-    place = np.minimum(np.searchsorted(unit, x, sorter=order), len(unit) - 1)
-    hit = unit[order[place]] == x
-    word, row, counts = order[place[hit]], row[hit], np.frombuffer(counts.tobytes(), np.int64)[hit]
-    by = np.argsort(word, kind="stable")
-    return np.searchsorted(word[by], np.arange(len(unit) + 1)), row[by], counts[by]
+    row, x, n = entries
+    place = np.full(units, -1, np.int32)
+    place[unit] = np.arange(len(unit))
+    word = place[x]
+    hit = np.flatnonzero(word >= 0)
+    by = hit[np.argsort(word[hit], kind="stable")]
+    return np.searchsorted(word[by], np.arange(len(unit) + 1)), row[by], n[by]
 
 
 def _sweep(near: DataFrame, kind: np.ndarray, table: np.ndarray, parts: int, part: int) -> np.ndarray:
@@ -326,8 +330,9 @@ def move_words(model: Exchange, kind: np.ndarray, unit: np.ndarray, own: np.ndar
     Class and gain are those of that moment: the counts of a word's neighbours' classes follow the moves of those that
     lie in the slice.
     """
-    after, before = _side(right, right_n, kind), _side(left, left_n, kind)
-    sides = [(counts, *_among(at, n, unit)) for counts, at, n in ((after, right, right_n), (before, left, left_n))]
+    entries = _entries(right, right_n), _entries(left, left_n)
+    after, before = (_side(e, len(unit), kind) for e in entries)
+    sides = [(counts, *_among(e, unit, len(kind))) for counts, e in zip((after, before), entries, strict=True)]
     moved = []
     for i in np.flatnonzero(turn & (kind[unit] < CLASSES)):
         a, b = int(kind[unit[i]]), model.choice(after[i], before[i])
