@@ -45,7 +45,7 @@ SLICE = 128
 #: Added to counts of class bigrams when a word looks for a class.
 SOFT = 0.1
 #: Hands that the words of a sweep are dealt to.
-DEALT = 64
+DEALT = 128
 #: Added to the number of a neighbour to the left.
 LEFT = 1 << 24
 
