@@ -165,17 +165,19 @@ def boundary_evidence(notes: DataFrame, line: Line, weights: dict[str, float] |
 def _ended_before(notes: DataFrame, line: Line) -> DataFrame:
     """Adds _p1, _d1, _o1, _m1 of the last note (in line order) that has ended by each onset, and _p2 of the one before.
 
-    Ends and onsets run through one sort. The second largest of a running set is the running maximum of what each
-    newcomer or the largest so far, whichever is smaller, leaves behind.
+    Ends and onsets run through one sort. An end lies EPS early but never before its own note's onset, and among equal
+    times marks come in line order, a note's onset first: however short, a note ends before later notes only, never
+    before itself. The second largest of a running set is the running maximum of what each newcomer or the largest so
+    far, whichever is smaller, leaves behind.
     """
     own = F.struct(F.row_number().over(line.ordered()).alias("k"), "p", "d", "o", "measure")
-    marks = F.array(F.struct((F.col("o") + F.col("d") - EPS).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("o").alias("at"), F.lit(1).alias("kind")))
-    each = notes.withColumn("_own", own).withColumn("_mark", F.explode(marks)).withColumn("_end", F.when(F.col("_mark.kind") == 0, F.col("_own")))
-    time = Window.partitionBy(*line.keys).orderBy("_mark", "_own.k")
+    marks = F.array(F.struct(F.greatest("o", F.col("o") + F.col("d") - EPS).alias("at"), F.lit(1).alias("kind")), F.struct(F.col("o").alias("at"), F.lit(0).alias("kind")))
+    each = notes.withColumn("_own", own).withColumn("_mark", F.explode(marks)).withColumn("_end", F.when(F.col("_mark.kind") == 1, F.col("_own")))
+    time = Window.partitionBy(*line.keys).orderBy("_mark.at", "_own.k", "_mark.kind")
     before = time.rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("_first", F.max("_end").over(before))
     left = F.when(F.col("_end").isNotNull() & F.col("_first").isNotNull(), F.least("_end", "_first"))
-    each = each.withColumn("_left", left).withColumn("_second", F.max("_left").over(before)).where("_mark.kind = 1")
+    each = each.withColumn("_left", left).withColumn("_second", F.max("_left").over(before)).where("_mark.kind = 0")
     found = {"_p1": "_first.p", "_d1": "_first.d", "_o1": "_first.o", "_m1": "_first.measure", "_p2": "_second.p"}
     return each.withColumns({k: F.col(c) for k, c in found.items()}).drop("_own", "_mark", "_end", "_first", "_left", "_second")
 
