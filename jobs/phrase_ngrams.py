@@ -21,7 +21,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.functions.expressions import hash_split
+from lineweave.functions.expressions import hash_split, rounded
 from lineweave.operators import scans
 from lineweave.sources.events import notes_of
 from lineweave.sources.tables import read_json
@@ -38,7 +38,7 @@ def phrases(notes: DataFrame, config: dict, size: int = scans.SIZE) -> DataFrame
     cut = scans.gap_segments(notes, ["score_id"], config["rest"], size)
     order = F.struct("o", -F.col("p"), "d")
     each = cut.groupBy("score_id", F.col("segment").alias("phrase")).agg(
-        F.count(F.lit(1)).alias("n_notes"), F.round(F.min("o"), 6).alias("start_q"), F.round(F.max(F.col("o") + F.col("d")), 6).alias("end_q"),
+        F.count(F.lit(1)).alias("n_notes"), rounded(F.min("o")).alias("start_q"), rounded(F.max(F.col("o") + F.col("d"))).alias("end_q"),
         (F.max_by("p", order) - F.min_by("p", order)).alias("_way"), (F.max("p") - F.min("p")).alias("_range"),
     ).where(F.col("n_notes") >= config["least_notes"])
     melody = F.concat(F.lit("M"), F.when(F.col("_way") > 0, "U").when(F.col("_way") < 0, "D").otherwise("S"), F.floor(F.col("_range") / 6).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.functions.expressions import rounded
 from lineweave.operators import catalog as C
 from lineweave.operators import moments, scans
 from lineweave.plans.catalog_queries import _SCORES, scores, table
@@ -44,7 +45,7 @@ def live_phrases(spark: SparkSession, d: str) -> DataFrame:
             part = spark.range(1).select(F.lit(None).cast("long").alias("score_id"), F.timestamp_micros(F.lit((high or 0) + 10**15)).alias("t"), *[F.lit(None).cast(t).alias(c) for c, t in (("o", "double"), ("p", "int"), ("d", "double"), ("us", "long"))])
         stateful.write_live_phrases(_arrive(part, f"{path}/in"), "score_id", f"{path}/out", f"{path}/checkpoint", beat_ms=UNIT / 1000).awaitTermination()
     made = spark.read.schema("score_id long, phrase long, start_q double, end_q double, n_notes long").parquet(f"{path}/out")
-    return made.select("score_id", "phrase", F.round("start_q", 6).alias("start_q"), F.round("end_q", 6).alias("end_q"), "n_notes")
+    return made.select("score_id", "phrase", rounded(F.col("start_q")).alias("start_q"), rounded(F.col("end_q")).alias("end_q"), "n_notes")
 
 
 def live_votes(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.functions.expressions import rounded
 from lineweave.operators import features as V
 from lineweave.operators import notes as N
 from lineweave.plans.catalog_queries import table
@@ -30,7 +31,7 @@ s as (select score_id, part, p, o, d, measure, sum(case when o - pe >= 2 then 1
 
 
 def _r(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(F.col(c)).alias(name)
 
 
 def notes_derive(spark, d):
@@ -45,7 +46,7 @@ def gap_segments(spark, d):
     from lineweave.functions.expressions import segment_id
 
     s = N.ordered_notes(cut_notes(spark, d), ["score_id", "segment"])
-    sid = segment_id(F.col("score_id"), F.lit("part"), F.lit("0"), F.round("start_q", 6), F.round("end_q", 6))
+    sid = segment_id(F.col("score_id"), F.lit("part"), F.lit("0"), rounded(F.col("start_q")), rounded(F.col("end_q")))
     return s.select("score_id", "segment", _r("start_q", "start_q"), _r("end_q", "end_q"), F.size("notes").alias("n_notes"), sid.alias("segment_id"))
 
 
