@@ -36,6 +36,8 @@ CELL, MOST_CELLS, MOST_BYTES = 1000, 1 << 16, 1 << 26
 SAMPLE, SAMPLE_BYTES, EACH = 1 << 16, 1 << 27, 32
 #: Rows and queries of one block.
 ROWS, QUERIES = 8192, 4096
+#: Queries times cells that a search deals out at a time, each with its vector.
+PROBED = 8192
 #: Rows whose exact neighbours tell how many cells to look at, and how many neighbours.
 CHECKED, NEIGHBOURS = 256, 10
 
@@ -189,11 +191,12 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
     if not index.about["rows"]:
         return spark.createDataFrame([], f"query_id {kind}, rank int, id {own}, similarity double")
     shared = spark.sparkContext.broadcast(index.centres)
+    step = max(1, min(512, PROBED // probes))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo : lo + step]
                 cells = np.argsort(-(vectors._unit_rows(part["vector"]) @ shared.value.T), axis=1, kind="stable")[:, :probes]
                 yield part.loc[part.index.repeat(probes)].assign(cell=cells.ravel().astype(np.int32))
 
