@@ -13,6 +13,7 @@ from lineweave.functions.expressions import hash_order, hash_split, unit_hash
 from lineweave.operators import features
 from lineweave.operators.catalog import first_reason
 from lineweave.operators.ranks import ranked
+from lineweave.sources.scratch import written
 
 PAD, MASK = 0, 1
 #: Queries that go to all tasks in one search for hard negatives.
@@ -118,21 +119,26 @@ def hard_negatives(rows: DataFrame, queries: DataFrame, seed: int = 42) -> DataF
     """(query_id, id, token, score_id): for each query the row of another token and score nearest to it.
 
     Nearest in bars, then in notes, then by seeded hash. Both tables: id, token, score_id, n_bars, n_notes. Of rows
-    alike in all that counts only the first by hash can be chosen, so the others don't meet the queries, which are a
-    stated set and come in blocks of MOST_QUERIES. A query without any such row has none here.
+    alike in all that counts only the first by hash can be chosen, so the others don't meet the queries. Queries alike
+    in the same columns have the same answer, so each kind of query is asked once, in blocks of MOST_QUERIES kinds. A
+    query without any such row has none here.
     """
     alike = ["token", "score_id", "n_bars", "n_notes"]
     first = rows.groupBy(*alike).agg(F.min(F.struct(hash_order(seed, F.col("id")).alias("h"), "id")).alias("_r"))
-    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", *alike)])
-    found, blocks = None, -(-max(asked.count(), 1) // MOST_QUERIES)
+    first = written(first, "first")
+    q_alike = [f"q_{c}" for c in alike]
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("id", *alike)]).where("q_token is not null and q_score_id is not null")
+    kinds = written(asked.groupBy(*q_alike).agg(F.count(F.lit(1)).alias("q_n")).select(*q_alike), "kinds")
+    found, blocks = None, -(-max(kinds.count(), 1) // MOST_QUERIES)
     for block in range(blocks):
-        q = F.broadcast(asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block))  # about MOST_QUERIES rows
+        q = F.broadcast(kinds.where(F.pmod(F.xxhash64(*q_alike), F.lit(blocks)) == block))  # about MOST_QUERIES rows
         met = first.join(q, (F.col("token") != F.col("q_token")) & (F.col("score_id") != F.col("q_score_id")))
         nearness = F.struct(F.abs(F.col("n_bars") - F.col("q_n_bars")), F.abs(F.col("n_notes") - F.col("q_n_notes")), F.col("_r.h"))
-        best = met.groupBy(F.col("q_id").alias("query_id")).agg(F.min_by(F.struct("_r.id", "token", "score_id"), nearness).alias("b"))
-        one = best.select("query_id", "b.id", "b.token", "b.score_id")
+        one = met.groupBy(*q_alike).agg(F.min_by(F.struct("_r.id", "token", "score_id"), nearness).alias("b"))
         found = one if found is None else found.unionByName(one)
-    return found
+    answers = written(found.select(*[F.col(c).alias(f"a_{c}") for c in q_alike], "b"), "answers")
+    same = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in q_alike]
+    return asked.join(answers, same).select(F.col("q_id").alias("query_id"), "b.id", "b.token", "b.score_id")
 
 
 def members(assigned: DataFrame, how: str, n: int, key: str, seed: int = 42) -> DataFrame:
