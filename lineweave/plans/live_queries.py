@@ -11,7 +11,7 @@ from lineweave.operators import moments, scans
 from lineweave.plans.catalog_queries import _SCORES, scores, table
 from lineweave.plans.note_queries import _SEG
 from lineweave.sources.events import UNIT, notes_of
-from lineweave.sources.scratch import shared_path
+from lineweave.sources.scratch import shared_path, written
 from lineweave.streaming import incremental, stateful
 
 
@@ -36,7 +36,8 @@ def incremental_selection(spark: SparkSession, d: str) -> DataFrame:
 def live_phrases(spark: SparkSession, d: str) -> DataFrame:
     """2.12c: notes come in four ranges of time, the last a heartbeat that ends all phrases."""
     path = shared_path(spark, "phrases")
-    notes = notes_of(table(spark, d, "events")).select("score_id", F.timestamp_micros("us").alias("t"), "o", "p", "d", "us")
+    # written once, as each arrival would derive all notes anew
+    notes = written(notes_of(table(spark, d, "events")).select("score_id", F.timestamp_micros("us").alias("t"), "o", "p", "d", "us"), "notes")
     low, high = notes.agg(F.min("us"), F.max("us")).first()  # two numbers
     step = (high - low) // 3 + 1 if low is not None else 1
     for k in range(4):
