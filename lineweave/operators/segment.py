@@ -92,8 +92,10 @@ def line_segments(times: list[float], evidence: list[float], onsets: list[float]
 class SegmentLine:
     """segment_line of SQL: a table of one line's candidate cuts and onsets to its segments.
 
-    Takes rows (line, measure_length, t, evidence, onset): a candidate cut has t and evidence, a note has onset, a row may
-    be both. PARTITION BY line gives each line a call of its own; rows may come in any order.
+    Takes rows (line, measure_length, times, evidence, onsets) with arrays of a line's candidate cuts, of what speaks for
+    each and of its notes' onsets, or rows (line, measure_length, t, evidence, onset) of one of each: there a candidate cut
+    has t and evidence, a note has onset, a row may be both. Each row is a call into Python, so arrays are the form for
+    large tables. PARTITION BY line gives each line a call of its own; rows may come in any order.
     """
 
     def __init__(self) -> None:
@@ -101,6 +103,11 @@ class SegmentLine:
 
     def eval(self, row: Row) -> None:
         self.line, self.measure = row["line"], row["measure_length"]
+        if "times" in row:
+            times = row["times"] or []
+            self.cuts += [(t, e or 0.0) for t, e in zip(times, row["evidence"] or [0.0] * len(times), strict=True) if t is not None]
+            self.onsets += [o for o in row["onsets"] or [] if o is not None]
+            return
         if row["t"] is not None:
             self.cuts.append((row["t"], row["evidence"] or 0.0))
         if row["onset"] is not None:
