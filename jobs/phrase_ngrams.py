@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lineweave.functions.expressions import hash_split, rounded
 from lineweave.operators import scans
 from lineweave.sources.events import notes_of
+from lineweave.sources.scratch import written
 from lineweave.sources.tables import read_json
 
 log = logging.getLogger("jobs.phrase_ngrams")
@@ -62,7 +63,8 @@ def run(spark: SparkSession, events: str, output: str, config: dict | None = Non
         raise ValueError(f"unknown settings {sorted(unknown)}")
     rows = spark.read.parquet(events)
     log.info("read %d events from %s", rows.count(), events)
-    phrases(notes_of(rows), config).write.mode("overwrite").partitionBy("split").parquet(f"{output}/phrases")
+    # written first: what ranks the notes reads them twice, to sample their order and to deal them out
+    phrases(written(notes_of(rows), "notes"), config).write.mode("overwrite").partitionBy("split").parquet(f"{output}/phrases")
     grams(spark.read.schema(PHRASES).parquet(f"{output}/phrases"), config).write.mode("overwrite").partitionBy("space", "n").parquet(f"{output}/grams")
     made = {name: table.count() for name, table in tables(spark, output).items()}
     log.info("wrote %d phrases and %d grams to %s", made["phrases"], made["grams"], output)
