@@ -13,14 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions.expressions import dot, hash_order, unit
-from lineweave.operators import scans
 from lineweave.operators.ann import usable
-from lineweave.operators.ranks import quantiles
+from lineweave.operators.ranks import quantiles, ranked
 from lineweave.sources import tables
+from lineweave.sources.scratch import written
+
+#: Rows of one block in which each meets the one before it.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,13 @@ class Moments:
 
 def moments(rows: DataFrame, vector: str) -> Moments:
     """Of all vectors that aren't null and hold finite numbers; they have one length. Without any, of length 0."""
+    x = F.col(vector).cast("array<double>")
+    zero = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | (v != 0))  # zero vectors count here
+    return _added(rows.where(usable(F.col(vector)) | F.coalesce(zero, F.lit(False))).select(x.alias("x")))
+
+
+def _added(x: DataFrame) -> Moments:
+    """moments() of a column of vectors that all hold finite numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -48,9 +58,7 @@ def moments(rows: DataFrame, vector: str) -> Moments:
             i, j = np.triu_indices(len(total))
             yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
 
-    x = F.col(vector).cast("array<double>")
-    zero = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | (v != 0))  # zero vectors count here
-    sums = rows.where(usable(F.col(vector)) | F.coalesce(zero, F.lit(False))).select(x.alias("x")).mapInArrow(run, "i int, j int, v double")
+    sums = x.mapInArrow(run, "i int, j int, v double")
     got = sums.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # half a matrix of the vectors' length
     if got.empty:
         return Moments(0, np.zeros(0), np.zeros((0, 0)))
@@ -118,9 +126,19 @@ def fit(rows: DataFrame, vector: str, dims: int, scaled: bool = True) -> Project
 
 def random_pairs(rows: DataFrame, key: str, columns: list[str], seed: int = 42) -> DataFrame:
     """(a, b): structs of key and columns of each row and the next one in a seeded hash order; a row less than rows."""
-    own = F.struct(key, *columns).alias("b")
-    at = scans.placed(rows.select(F.lit(0).alias("_all"), own, hash_order(seed, F.col(key)).alias("_h")), ["_all"], [F.col("_h"), F.col(f"b.{key}")])
-    return scans.last_before(at, ["_all"], F.col("b"), "a").where("a is not null").select("a", "b")
+    return _in_pairs(_in_turn(rows, key, columns, seed)).where("a is not null")
+
+
+def _in_turn(rows: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
+    """(b, _h, _rank): structs of key and columns with their place in a seeded hash order, written."""
+    return ranked(rows.select(F.struct(key, *columns).alias("b"), hash_order(seed, F.col(key)).alias("_h")), [F.col("_h"), F.col(f"b.{key}")], "_rank")
+
+
+def _in_pairs(at: DataFrame) -> DataFrame:
+    """(a, b): each row and the one before it, null for the first. The last row of a block is in the next one as well."""
+    own = F.floor(F.col("_rank") / BLOCK)
+    both = at.select("b", "_rank", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_rank") + 1) / BLOCK)))).alias("_block"))
+    return both.withColumn("a", F.lag("b").over(Window.partitionBy("_block").orderBy("_rank"))).where(F.col("_block") == own).select("a", "b")
 
 
 def collapse(rows: DataFrame, key: str, vector: str, label: str, seed: int = 42, least_spread: float = 1e-3, most_alike: float = 0.9) -> DataFrame:
@@ -130,16 +148,17 @@ def collapse(rows: DataFrame, key: str, vector: str, label: str, seed: int = 42,
     covariance's trace over the sum of its squared entries), mean and quantiles of the cosines of random pairs, the
     mean of those with different labels, and collapsed: little spread in the mean, or random pairs too alike.
     """
-    fair = rows.where(usable(F.col(vector))).select(key, F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    m = moments(fair, "v")
+    at = _in_turn(rows.where(usable(F.col(vector))).select(key, F.col(label).alias("label"), F.col(vector).alias("v")), key, ["label", "v"], seed)
+    m = _added(at.select(F.col("b.v").cast("array<double>").alias("x")))
     spread = np.sqrt(np.maximum(np.diag(m.covariance), 0))
     square = float((m.covariance**2).sum())
     rank = float(np.trace(m.covariance)) ** 2 / square if square > 0 else 0.0
-    norms = fair.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg(F.sqrt(dot(F.col("v"), F.col("v")))), F.lit(0.0)).alias("mean_norm"))
-    pairs = random_pairs(fair, key, ["label", "v"], seed).select(dot(unit(F.col("a.v")), unit(F.col("b.v"))).alias("c"), F.col("a.label").eqNullSafe(F.col("b.label")).alias("same"))
-    means = pairs.agg(F.avg("c").alias("random_cosine"), F.avg(F.when(~F.col("same"), F.col("c"))).alias("negative_cosine"))
-    marks = quantiles(pairs, "c", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    # three numbers a row are written, so that vectors meet once and not for each figure
+    met = _in_pairs(at).select(F.sqrt(dot(F.col("b.v"), F.col("b.v"))).alias("norm"), dot(unit(F.col("a.v")), unit(F.col("b.v"))).alias("c"), F.col("a.label").eqNullSafe(F.col("b.label")).alias("same"))
+    met = written(met, "cosines")
+    means = met.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("norm"), F.lit(0.0)).alias("mean_norm"), F.avg("c").alias("random_cosine"), F.avg(F.when(~F.col("same"), F.col("c"))).alias("negative_cosine"))
+    marks = quantiles(met, "c", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
     stats = {"least_std": float(spread.min()) if len(spread) else 0.0, "mean_std": float(spread.mean()) if len(spread) else 0.0, "largest_std": float(spread.max()) if len(spread) else 0.0, "effective_rank": rank}
-    whole = norms.join(F.broadcast(means)).join(F.broadcast(marks))  # one row each
+    whole = means.join(F.broadcast(marks))  # one row each
     out = whole.select("rows", "mean_norm", *[F.lit(v).alias(k) for k, v in stats.items()], "random_cosine", "negative_cosine", "q05", "q50", "q95")
     return out.withColumn("collapsed", (F.col("mean_std") < least_spread) | F.coalesce(F.col("random_cosine") > most_alike, F.lit(False)))
